@@ -106,13 +106,13 @@ def hot_subscriptions(spark: SparkSession, sf_dir: str) -> HotKeys:
 def subscriptions(
     spark: SparkSession, sf_dir: str, hot: HotKeys | None = None
 ) -> DataFrame:
-    changes = staging.stg_subscription_changes(inputs.cdc_changes(spark, sf_dir))
+    changes = staging.stg_subscription_changes(inputs.cdc_changes(spark, sf_dir, "subscriptions"))
     found = hot_subscriptions(spark, sf_dir) if hot is None else hot
     return core.dim_subscription(changes, CTX, found)
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core.dim_account(staging.stg_account_changes(inputs.cdc_changes(spark, sf_dir)))
+    return core.dim_account(staging.stg_account_changes(inputs.cdc_changes(spark, sf_dir, "accounts")))
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +120,11 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core.fct_invoices(staging.stg_invoice_changes(inputs.cdc_changes(spark, sf_dir)))
+    return core.fct_invoices(staging.stg_invoice_changes(inputs.cdc_changes(spark, sf_dir, "invoices")))
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.stg_support_ticket_changes(inputs.cdc_changes(spark, sf_dir))
+    return staging.stg_support_ticket_changes(inputs.cdc_changes(spark, sf_dir, "support_tickets"))
 
 
 @query(
@@ -250,7 +250,7 @@ GROUP BY 1""",
 )
 def invoice_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.invoice_failures(
-        staging.stg_invoice_changes(inputs.cdc_changes(spark, sf_dir))
+        staging.stg_invoice_changes(inputs.cdc_changes(spark, sf_dir, "invoices"))
     )
 
 
@@ -313,7 +313,7 @@ FROM opened WHERE op <> 'd'""",
 )
 def account_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type-2 history of accounts, by the same operator as that of subscriptions."""
-    changes = staging.stg_account_changes(inputs.cdc_changes(spark, sf_dir))
+    changes = staging.stg_account_changes(inputs.cdc_changes(spark, sf_dir, "accounts"))
     versions = scd2(
         changes,
         "account_id",

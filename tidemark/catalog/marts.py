@@ -239,7 +239,7 @@ def account_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = staging.stg_subscription_changes(inputs.cdc_changes(spark, sf_dir))
+    changes = staging.stg_subscription_changes(inputs.cdc_changes(spark, sf_dir, "subscriptions"))
     return changes.where(F.col("op") != "d")
 
 

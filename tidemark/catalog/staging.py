@@ -242,7 +242,7 @@ SELECT * FROM sub_changes""",
     ts="source_ts effective_at loaded_at started_at ended_at",
 )
 def stg_subscription_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.stg_subscription_changes(inputs.cdc_changes(spark, sf_dir))
+    return staging.stg_subscription_changes(inputs.cdc_changes(spark, sf_dir, "subscriptions"))
 
 
 @query(
@@ -250,7 +250,7 @@ def stg_subscription_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts="source_ts effective_at loaded_at created_at",
 )
 def stg_account_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.stg_account_changes(inputs.cdc_changes(spark, sf_dir))
+    return staging.stg_account_changes(inputs.cdc_changes(spark, sf_dir, "accounts"))
 
 
 @query(
@@ -258,7 +258,7 @@ def stg_account_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts="effective_at loaded_at last_login_at created_at",
 )
 def stg_user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.stg_user_changes(inputs.cdc_changes(spark, sf_dir))
+    return staging.stg_user_changes(inputs.cdc_changes(spark, sf_dir, "users"))
 
 
 @query(
@@ -266,7 +266,7 @@ def stg_user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts="effective_at loaded_at issued_at paid_at",
 )
 def stg_invoice_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.stg_invoice_changes(inputs.cdc_changes(spark, sf_dir))
+    return staging.stg_invoice_changes(inputs.cdc_changes(spark, sf_dir, "invoices"))
 
 
 @query(
@@ -274,7 +274,7 @@ def stg_invoice_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts="effective_at loaded_at opened_at closed_at",
 )
 def stg_support_ticket_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.stg_support_ticket_changes(inputs.cdc_changes(spark, sf_dir))
+    return staging.stg_support_ticket_changes(inputs.cdc_changes(spark, sf_dir, "support_tickets"))
 
 
 @query(f"""WITH {SQL_SUBSCRIPTION_CHANGES}
@@ -283,7 +283,7 @@ SELECT subscription_id, op, source_lsn, status, plan_code FROM (
   QUALIFY row_number() OVER (PARTITION BY subscription_id ORDER BY source_lsn DESC) = 1
 ) WHERE op <> 'd'""")
 def current_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = staging.stg_subscription_changes(inputs.cdc_changes(spark, sf_dir))
+    changes = staging.stg_subscription_changes(inputs.cdc_changes(spark, sf_dir, "subscriptions"))
     return current_rows(changes, "subscription_id").select(
         "subscription_id", "op", "source_lsn", "status", "plan_code"
     )

@@ -16,11 +16,6 @@ NULL, BOOLEAN, NUMBER, STRING, ARRAY, OBJECT = (
 )
 
 
-def member(parent: Column, key: str) -> Column:
-    """A member of an object, itself a variant; SQL null when absent."""
-    return F.try_variant_get(parent, f"$.{key}", "variant")
-
-
 def json_type(value: Column) -> Column:
     """The JSON type name of a variant; SQL null when there is no value at all."""
     schema = F.schema_of_variant(value)
@@ -33,31 +28,3 @@ def json_type(value: Column) -> Column:
         .when(schema.startswith("OBJECT<"), OBJECT)
         .otherwise(NUMBER)
     )
-
-
-def is_absent(value: Column) -> Column:
-    """Missing key and JSON null count alike."""
-    return F.coalesce(json_type(value), F.lit(NULL)) == NULL
-
-
-def is_object(value: Column) -> Column:
-    return F.coalesce(json_type(value), F.lit(NULL)) == OBJECT
-
-
-def is_text(value: Column) -> Column:
-    return F.coalesce(json_type(value), F.lit(NULL)) == STRING
-
-
-def is_integer(value: Column) -> Column:
-    """A whole number as written: neither ``true`` nor ``1.0``."""
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID")) == "BIGINT"
-
-
-def text_of(value: Column) -> Column:
-    """The text of a string value, null for every other type."""
-    return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
-
-
-def integer_of(value: Column) -> Column:
-    """The value of a whole number, null for every other type."""
-    return F.when(is_integer(value), F.try_variant_get(value, "$", "bigint"))

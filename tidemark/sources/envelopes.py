@@ -11,16 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse_iso
-from tidemark.functions.variants import (
-    integer_of,
-    is_absent,
-    is_integer,
-    is_object,
-    is_text,
-    json_type,
-    member,
-    text_of,
-)
 
 OK, DEAD, SKIP, ERASED = "ok", "dead", "skip", "erased"
 
@@ -46,46 +36,83 @@ def _opened(log: DataFrame) -> DataFrame:
     return log.withColumn("_body", F.try_parse_json(F.col("value").cast("string")))
 
 
+def _unpack(df: DataFrame, parent: str, into: str, *names: str) -> DataFrame:
+    """Take members out of an object in one pass, as a struct of variants.
+
+    The struct is null when the parent is no object. It is a column of its own, as everything
+    costly here is, so that what refers to it often does not evaluate it often.
+    """
+    wanted = ", ".join(f"{n}: variant" for n in names)
+    return df.withColumn(into, F.try_variant_get(F.col(parent), "$", f"struct<{wanted}>"))
+
+
+def _describe(df: DataFrame, parent: str, *names: str) -> DataFrame:
+    """Add each scalar member's type as ``_<member>_type``; absent and JSON null are both VOID."""
+    types = {
+        f"_{n}_type": F.coalesce(F.schema_of_variant(F.col(f"{parent}.{n}")), F.lit("VOID"))
+        for n in names
+    }
+    return df.withColumns(types)
+
+
+def _is(name: str, kind: str) -> Column:
+    return F.col(f"_{name}_type") == kind
+
+
+def _absent(name: str) -> Column:
+    return _is(name, "VOID")
+
+
+def _text(parent: str, name: str) -> Column:
+    return F.when(_is(name, "STRING"), F.try_variant_get(F.col(f"{parent}.{name}"), "$", "string"))
+
+
+def _integer(parent: str, name: str) -> Column:
+    return F.when(_is(name, "BIGINT"), F.try_variant_get(F.col(f"{parent}.{name}"), "$", "bigint"))
+
+
+def _json(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
 def uuid_text(text: Column) -> Column:
     """A UUID in its usual dashed form, from any of the spellings accepted for one."""
-    bare = F.regexp_replace(F.lower(text), r"urn:|uuid:", "")
-    digits = F.regexp_replace(F.regexp_replace(bare, r"^[{}]+|[{}]+$", ""), "-", "")
+    bare = F.regexp_replace(F.lower(text), r"urn:|uuid:|^[{]+|[}]+$|-", "")
+    digits = F.regexp_replace(bare, r"^[{]+", "")
     dashed = F.regexp_replace(
         digits, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
     )
-    return F.when(digits.rlike(r"^[0-9a-f]{32}$"), dashed)
+    usual = text.rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+    return F.when(usual, F.lower(text)).when(digits.rlike(r"^[0-9a-f]{32}$"), dashed)
 
 
 def parse_product_events(log: DataFrame) -> DataFrame:
     """Product events: the envelope is checked, the payload is only required to be an object."""
-    body = F.col("_body")
-    part = {
-        name: member(body, name)
-        for name in (*ENVELOPE_FIELDS, "account_id", "user_id", "payload")
-    }
-    missing = F.concat_ws(
-        ",", *[F.when(is_absent(part[f]), F.lit(f)) for f in ENVELOPE_FIELDS]
-    )
-    typed = _opened(log).withColumns(
+    scalars = (*ENVELOPE_FIELDS, "account_id", "user_id")
+    opened = _unpack(_opened(log), "_body", "_event", *scalars, "payload")
+    opened = _unpack(opened, "_event.payload", "_inner", "feature")
+    typed = _describe(opened, "_event", *scalars).withColumns(
         {
-            "_missing": missing,
-            "event_id": uuid_text(F.try_variant_get(part["event_id"], "$", "string")),
-            "event_type": text_of(part["event_type"]),
-            "event_time": parse_iso(text_of(part["event_time"])),
-            "received_at": parse_iso(text_of(part["received_at"])),
-            "account_id": integer_of(part["account_id"]),
-            "user_id": integer_of(part["user_id"]),
-            "payload": F.coalesce(F.to_json(part["payload"]), F.lit("{}")),
+            "_missing": F.concat_ws(
+                ",", *[F.when(_absent(f), F.lit(f)) for f in ENVELOPE_FIELDS]
+            ),
+            "event_id": uuid_text(_json(F.col("_event.event_id"))),
+            "event_type": _text("_event", "event_type"),
+            "event_time": parse_iso(_text("_event", "event_time")),
+            "received_at": parse_iso(_text("_event", "received_at")),
+            "account_id": _integer("_event", "account_id"),
+            "user_id": _integer("_event", "user_id"),
+            "payload": F.coalesce(_json(F.col("_event.payload")), F.lit("{}")),
         }
     )
 
     def not_integer(name: str) -> Column:
-        return ~is_absent(part[name]) & ~is_integer(part[name])
+        return ~_absent(name) & ~_is(name, "BIGINT")
 
     reason = _reason(
         (F.col("value").isNull(), "tombstone_on_event_topic"),
-        (body.isNull(), "invalid_json: not parseable"),
-        (~is_object(body), "envelope_not_object"),
+        (F.col("_body").isNull(), "invalid_json: not parseable"),
+        (F.col("_event").isNull(), "envelope_not_object"),
         (F.col("_missing") != "", F.concat(F.lit("missing_envelope_fields: "), "_missing")),
         (F.col("event_id").isNull(), "invalid_envelope: event_id must be a uuid"),
         (F.col("event_time").isNull(), "invalid_envelope: event_time must be an ISO timestamp"),
@@ -97,37 +124,45 @@ def parse_product_events(log: DataFrame) -> DataFrame:
             "invalid_envelope: event_type must be a non-empty string",
         ),
         (
-            part["payload"].isNotNull() & ~is_object(part["payload"]),
+            F.col("_event.payload").isNotNull() & F.col("_inner").isNull(),
             "invalid_envelope: payload must be an object",
         ),
     )
-    return _settle(typed.withColumn("reason", reason), F.lit(False), "_body", "_missing")
+    return _settle(typed.withColumn("reason", reason), F.lit(False))
 
 
-def _truthy(value: Column) -> Column:
+def _given(parent: str, name: str) -> Column:
     """Whether a member counts as given: not absent, and neither empty, zero nor false."""
-    return ~is_absent(value) & ~F.coalesce(
-        F.to_json(value).isin('""', "0", "false", "{}", "[]", "0.0"), F.lit(False)
+    shown = F.col(f"_{name}_shown")
+    empty = F.when(_is(name, "STRING"), shown == "").otherwise(
+        shown.isin("0", "false", "{}", "[]")
     )
+    return ~_absent(name) & ~F.coalesce(empty, F.lit(False))
+
+
+def _show(df: DataFrame, parent: str, *names: str) -> DataFrame:
+    """Add each member's text as ``_<member>_shown``."""
+    return df.withColumns({f"_{n}_shown": _json(F.col(f"{parent}.{n}")) for n in names})
 
 
-def effective_at_expr(row: Column, commit_time: Column) -> Column:
+def business_time(parent: str, names: tuple[str, ...], commit_time: Column) -> Column:
     """Business time carried in a row image, else commit time.
 
-    The first given of three members decides. Text is read as ISO and a whole number as
-    microseconds; text that is no timestamp falls back to commit time, not to the next member.
+    The first member given decides. Text is read as ISO and a whole number as microseconds; text
+    that is no timestamp falls back to commit time, not to the next member.
     """
-    given = F.coalesce(
-        *[
-            F.when(_truthy(member(row, name)), member(row, name))
-            for name in ("effective_at", "updated_at", "created_at")
-        ]
-    )
-    return F.coalesce(parse_iso(text_of(given)), F.timestamp_micros(integer_of(given)), commit_time)
+    chosen = F.lit(None).cast("timestamp")
+    for name in reversed(names):
+        shown = F.col(f"_{name}_shown")
+        value = F.when(_is(name, "STRING"), parse_iso(shown)).when(
+            _is(name, "BIGINT"), F.timestamp_micros(shown.cast("bigint"))
+        )
+        chosen = F.when(_given(parent, name), value).otherwise(chosen)
+    return F.coalesce(chosen, commit_time)
 
 
-def _key_text(key: Column, after: Column, before: Column) -> Column:
-    """The primary key as text: key members joined in name order, else the image's ``id``."""
+def _key_text(key: Column) -> Column:
+    """A message key as text: its members joined in name order, or the key itself if no object."""
     parsed = F.try_parse_json(key.cast("string"))
     members = F.try_variant_get(parsed, "$", "map<string,string>")
     joined = F.array_join(
@@ -137,163 +172,155 @@ def _key_text(key: Column, after: Column, before: Column) -> Column:
         ),
         "|",
     )
-    from_key = F.when(
-        is_object(parsed) & (F.size(members) > 0), joined
-    ).otherwise(F.try_variant_get(parsed, "$", "string"))
-
-    def image_id(image: Column) -> Column:
-        found = member(image, "id")
-        return F.when(
-            found.isNotNull(), F.coalesce(F.try_variant_get(found, "$", "string"), F.lit("None"))
-        )
-
-    has_key = F.coalesce(F.length(key) > 0, F.lit(False))
-    return F.when(has_key, from_key).otherwise(F.coalesce(image_id(after), image_id(before)))
+    return F.when(F.size(members) > 0, joined).otherwise(_json(parsed))
 
 
 def parse_cdc_changes(log: DataFrame) -> DataFrame:
     """Row changes with before and after images, bare or wrapped in a payload."""
-    body = F.col("_body")
-    change, source = F.col("_change"), F.col("_source")
-    before, after = F.col("_before"), F.col("_after")
-    op = F.col("op")
-    opened = (
-        _opened(log)
-        .withColumn("_wrapped", member(body, "payload"))
-        .withColumn("_change", F.coalesce("_wrapped", body))
-        .withColumns(
-            {
-                "_op": member(change, "op"),
-                "op": text_of(member(change, "op")),
-                "_source": member(change, "source"),
-                "_before": member(change, "before"),
-                "_after": member(change, "after"),
-            }
-        )
-    )
-    # Text as itself in quotes, nothing as None, anything else as written.
-    op_shown = F.when(op.isNotNull(), F.concat(F.lit("'"), op, F.lit("'"))).otherwise(
-        F.when(is_absent(F.col("_op")), F.lit("None")).otherwise(F.to_json(F.col("_op")))
-    )
-    millis = F.coalesce(
-        *[
-            F.when(_truthy(given), F.try_variant_get(given, "$", "bigint"))
-            for given in (member(source, "ts_ms"), member(change, "ts_ms"))
-        ],
-        F.lit(0).cast("bigint"),
+    times = ("effective_at", "updated_at", "created_at")
+    has_key = F.coalesce(F.length("key") > 0, F.lit(False))
+    opened = _unpack(_opened(log), "_body", "_outer", "payload")
+    # A wrapped change is taken out of its wrapping whatever it is, JSON null included.
+    opened = opened.withColumn("_inside", F.coalesce("_outer.payload", "_body"))
+    opened = _unpack(opened, "_inside", "_change", "op", "source", "before", "after", "ts_ms")
+    opened = _unpack(opened, "_change.source", "_source", "table", "lsn", "snapshot", "ts_ms")
+    opened = _unpack(opened, "_change.after", "_new", "id", "account_id", *times)
+    opened = _unpack(opened, "_change.before", "_old", "id", "account_id")
+    opened = opened.withColumns(
+        {
+            "before": _json(F.col("_change.before")),
+            "after": _json(F.col("_change.after")),
+            "_key": F.when(has_key, _key_text(F.col("key"))),
+            "_millis": F.coalesce(
+                F.nullif(F.try_variant_get("_source.ts_ms", "$", "bigint"), F.lit(0)),
+                F.nullif(F.try_variant_get("_change.ts_ms", "$", "bigint"), F.lit(0)),
+                F.lit(0).cast("bigint"),
+            ),
+            "_new_account": F.when(
+                F.schema_of_variant("_new.account_id") == "BIGINT",
+                F.try_variant_get("_new.account_id", "$", "bigint"),
+            ),
+            "_old_account": F.when(
+                F.schema_of_variant("_old.account_id") == "BIGINT",
+                F.try_variant_get("_old.account_id", "$", "bigint"),
+            ),
+        }
     )
-    source_ts = F.timestamp_millis(millis)
-    table = text_of(member(source, "table"))
-    pk = _key_text(F.col("key"), after, before)
+    opened = _describe(opened, "_source", "table", "lsn")
+    opened = _show(_describe(opened, "_new", *times), "_new", *times)
+    opened = _describe(opened, "_change", "op")
+
+    def image_id(image: str) -> Column:
+        found = F.col(f"{image}.id")
+        return F.when(found.isNotNull(), F.coalesce(_json(found), F.lit("None")))
+
     typed = opened.withColumns(
         {
-            "source_table": table,
-            "pk": pk,
-            "source_lsn": integer_of(member(source, "lsn")),
-            "source_ts": source_ts,
-            "effective_at": F.when(op == "d", source_ts).otherwise(
-                effective_at_expr(after, source_ts)
+            "op": _text("_change", "op"),
+            "source_table": _text("_source", "table"),
+            "source_lsn": _integer("_source", "lsn"),
+            "source_ts": F.timestamp_millis("_millis"),
+            "pk": F.when(has_key, F.col("_key")).otherwise(
+                F.coalesce(image_id("_new"), image_id("_old"))
             ),
             "is_snapshot": F.coalesce(
-                F.lower(F.try_variant_get(member(source, "snapshot"), "$", "string")).isin(
-                    "true", "first", "last"
-                ),
+                F.lower(_json(F.col("_source.snapshot"))).isin("true", "first", "last"),
                 F.lit(False),
             ),
+        }
+    )
+    typed = typed.withColumns(
+        {
+            "effective_at": F.when(F.col("op") == "d", F.col("source_ts")).otherwise(
+                business_time("_new", times, F.col("source_ts"))
+            ),
             "account_id": F.coalesce(
-                integer_of(member(after, "account_id")),
-                integer_of(member(before, "account_id")),
-                F.when(table == "accounts", pk.try_cast("bigint")),
+                "_new_account",
+                "_old_account",
+                F.when(F.col("source_table") == "accounts", F.col("pk").try_cast("bigint")),
             ),
-            "before": F.when(~is_absent(before), F.to_json(before)),
-            "after": F.when(~is_absent(after), F.to_json(after)),
         }
     )
+    op = F.col("op")
+    # Text is shown in quotes, nothing as None, anything else as written.
+    op_shown = (
+        F.when(op.isNotNull(), F.concat(F.lit("'"), op, F.lit("'")))
+        .when(_absent("op"), F.lit("None"))
+        .otherwise(_json(F.col("_change.op")))
+    )
     reason = _reason(
-        (body.isNull(), "invalid_json: not parseable"),
-        (~is_object(body), "envelope_not_object"),
-        (~is_object(change), "payload_not_object"),
+        (F.col("_body").isNull(), "invalid_json: not parseable"),
+        (F.col("_outer").isNull(), "envelope_not_object"),
+        (F.col("_change").isNull(), "payload_not_object"),
         (
             ~F.coalesce(op.isin(*CHANGE_OPS), F.lit(False)),
             F.concat(F.lit("invalid_op: "), op_shown),
         ),
-        (~is_object(source), "missing_source_block"),
+        (F.col("_source").isNull(), "missing_source_block"),
         (F.coalesce(F.col("source_table"), F.lit("")) == "", "missing_source_table"),
         (F.col("source_lsn").isNull(), "missing_source_lsn"),
-        (~is_absent(before) & ~is_object(before), "before_not_object"),
-        (~is_absent(after) & ~is_object(after), "after_not_object"),
-        ((op == "d") & is_absent(before), "delete_without_before_image"),
-        ((op != "d") & is_absent(after), F.concat(op, F.lit("_without_after_image"))),
+        (F.col("before").isNotNull() & F.col("_old").isNull(), "before_not_object"),
+        (F.col("after").isNotNull() & F.col("_new").isNull(), "after_not_object"),
+        ((op == "d") & F.col("before").isNull(), "delete_without_before_image"),
+        ((op != "d") & F.col("after").isNull(), F.concat(op, F.lit("_without_after_image"))),
         (F.col("pk").isNull(), "missing_primary_key"),
     )
     # A delete is followed by a message with its key and no value; it carries nothing.
     return _settle(
         typed.withColumn("reason", F.when(F.col("value").isNotNull(), reason)),
         F.col("value").isNull(),
-        "_body",
-        "_wrapped",
-        "_change",
-        "_op",
-        "_source",
-        "_before",
-        "_after",
     )
 
 
 def parse_billing_webhooks(log: DataFrame) -> DataFrame:
     """Billing notifications. Without the provider's own id there is nothing to reconcile by."""
-    body = F.col("_body")
-    account = member(body, "account_id")
-    received = F.when(
-        _truthy(member(body, "received_at")), member(body, "received_at")
-    ).otherwise(member(body, "created_at"))
+    names = ("id", "type", "created_at", "received_at", "account_id")
+    opened = _unpack(_opened(log), "_body", "_hook", *names)
+    opened = _show(_describe(opened, "_hook", *names), "_hook", "received_at")
+    created = parse_iso(_text("_hook", "created_at"))
     # Unlike an event's ids, true and false pass as 1 and 0 here.
-    account_id = F.when(json_type(account) == "boolean", F.try_variant_get(account, "$", "bigint"))
-    typed = _opened(log).withColumns(
+    flag = F.when(
+        _is("account_id", "BOOLEAN"), F.try_variant_get("_hook.account_id", "$", "bigint")
+    )
+    typed = opened.withColumns(
         {
-            "provider_event_id": text_of(member(body, "id")),
-            "event_type": text_of(member(body, "type")),
-            "provider_created_at": parse_iso(text_of(member(body, "created_at"))),
-            "received_at": parse_iso(text_of(received)),
-            "account_id": F.coalesce(integer_of(account), account_id),
-            "payload": F.to_json(body),
+            "provider_event_id": _text("_hook", "id"),
+            "event_type": _text("_hook", "type"),
+            "provider_created_at": created,
+            "received_at": F.when(
+                _given("_hook", "received_at"), parse_iso(_text("_hook", "received_at"))
+            ).otherwise(created),
+            "account_id": F.coalesce(_integer("_hook", "account_id"), flag),
+            "payload": _json(F.col("_body")),
         }
     )
     reason = _reason(
         (F.col("value").isNull(), "tombstone_on_billing_topic"),
-        (body.isNull(), "invalid_json: not parseable"),
-        (~is_object(body), "envelope_not_object"),
+        (F.col("_body").isNull(), "invalid_json: not parseable"),
+        (F.col("_hook").isNull(), "envelope_not_object"),
         (F.coalesce(F.col("provider_event_id"), F.lit("")) == "", "missing_provider_event_id"),
         (F.coalesce(F.col("event_type"), F.lit("")) == "", "missing_event_type"),
         (
             F.col("provider_created_at").isNull() | F.col("received_at").isNull(),
             "invalid_timestamps: created_at and received_at must be ISO timestamps",
         ),
-        (~is_absent(account) & F.col("account_id").isNull(), "invalid_account_id"),
+        (~_absent("account_id") & F.col("account_id").isNull(), "invalid_account_id"),
     )
-    return _settle(typed.withColumn("reason", reason), F.lit(False), "_body")
+    return _settle(typed.withColumn("reason", reason), F.lit(False))
+
 
+def _settle(df: DataFrame, skipped: Column) -> DataFrame:
+    """Give each record its disposition and fix the parsed columns in place.
 
-def _settle(df: DataFrame, skipped: Column, *scratch: str) -> DataFrame:
+    The one-element array is a fence. Without it the optimizer substitutes every parsing expression
+    into each later filter on these columns, and a filter on the disposition would hold the whole
+    parser several hundred times over.
+    """
     disposition = F.when(skipped, SKIP).when(F.col("reason").isNotNull(), DEAD).otherwise(OK)
-    return df.withColumn("disposition", disposition).drop(*scratch)
+    kept = [c for c in df.columns if not c.startswith("_")]
+    return df.select(F.inline(F.array(F.struct(*kept, disposition.alias("disposition")))))
 
 
 def raw_text(value: Column) -> Column:
     """A message as text for its dead letter: bad bytes replaced, length limited."""
     return F.substring(F.make_valid_utf8(value.cast("string")), 1, RAW_TEXT_LIMIT)
-
-
-__all__ = [
-    "DEAD",
-    "ERASED",
-    "OK",
-    "SKIP",
-    "effective_at_expr",
-    "is_text",
-    "parse_billing_webhooks",
-    "parse_cdc_changes",
-    "parse_product_events",
-    "raw_text",
-    "uuid_text",
-]
