@@ -27,7 +27,10 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, its timestamps read as UTC instants."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return in_utc(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def in_utc(df: DataFrame) -> DataFrame:
     zoned = {n: F.col(n).cast("timestamp") for n, kind in df.dtypes if kind == "timestamp_ntz"}
     return df.withColumns(zoned) if zoned else df
 
@@ -99,8 +102,11 @@ SQL_EVENTS = """ev AS (
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table with the number in its JSON column beside it."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").withColumn("k", k)
+    return with_number(table(spark, sf_dir, "events"))
+
+
+def with_number(events_table: DataFrame) -> DataFrame:
+    return events_table.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def _event_fields() -> dict[str, Column]:
@@ -128,6 +134,10 @@ def _event_fields() -> dict[str, Column]:
 
 def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw product events: a row per received copy."""
+    return as_received(events(spark, sf_dir))
+
+
+def as_received(numbered_events: DataFrame) -> DataFrame:
     k = F.col("k")
     delay = (
         F.when(k >= 97, F.expr("interval '5' day"))
@@ -136,7 +146,7 @@ def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fields = _event_fields()
     session = F.col("event_type").isin("view", "signup")
-    copies = events(spark, sf_dir).withColumn("copy", _copies(k < 3))
+    copies = numbered_events.withColumn("copy", _copies(k < 3))
     again = hours(F.col("copy"))
     loaded_at = F.col("ts") + delay + again
     return copies.select(

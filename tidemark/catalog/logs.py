@@ -25,6 +25,10 @@ POISON = (7, 8, 9, 11, 12, 14, 15, 16, 17, 18, 19)
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages: offsets run without holes in each of six partitions."""
+    return as_messages(events(spark, sf_dir))
+
+
+def as_messages(numbered_events: DataFrame) -> DataFrame:
     fields = _event_fields()
     k = F.col("k")
     envelope = F.to_json(
@@ -51,7 +55,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 18, F.regexp_replace(envelope, r"\}$", ',"user_id":1.5}'))
         .otherwise(envelope)
     )
-    return events(spark, sf_dir).select(
+    return numbered_events.select(
         F.lit(EVENT_TOPIC).alias("topic"),
         (F.col("event_id") % 6).cast("int").alias("partition"),
         F.expr("event_id div 6").alias("offset"),

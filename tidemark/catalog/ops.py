@@ -15,10 +15,12 @@ from tidemark.plans import staging as staging_plans
 
 # ------------------------------------------------------------------ verdict history
 
-SQL_RESULTS = """hourly AS (
+SQL_HOURLY = """hourly AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
     date_trunc('hour', ts) AS hour FROM events
-), results AS (
+)"""
+
+SQL_RESULTS = f"""{SQL_HOURLY}, results AS (
   SELECT hour AS checked_at, 'quarantine_rate' AS check_name, event_type AS target,
     CASE WHEN count(*) FILTER (WHERE k >= 97) = 0 THEN 'pass'
       WHEN count(*) FILTER (WHERE k >= 97) * 10 < count(*) THEN 'warn' ELSE 'fail' END AS status,
@@ -107,26 +109,26 @@ def freshness_vs_slo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_WINDOWS = """windows AS (
   SELECT
-    CASE event_type WHEN 'view' THEN 'connector_outage' WHEN 'click' THEN 'poison_message'
-      WHEN 'error' THEN 'schema_drift' ELSE 'late_duplicate_storm' END AS scenario,
+    CASE WHEN k < 25 THEN 'connector_outage' WHEN k < 50 THEN 'poison_message'
+      WHEN k < 75 THEN 'schema_drift' ELSE 'late_duplicate_storm' END AS scenario,
     ts AS opened_at,
     CASE WHEN value >= 5
       THEN ts + CAST(floor(value) AS BIGINT) * INTERVAL 1 MINUTE END AS closed_at,
     CASE WHEN user_id < 10 THEN 'console' ELSE 'schedule' END AS opened_by
-  FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) = 42
+  FROM hourly WHERE event_type = 'error'
 )"""
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incident windows opened by certain events; those of little value were never closed."""
-    event_type, at = F.col("event_type"), F.col("ts")
+    """Incident windows opened by error events; those of little value were never closed."""
+    k, at = F.col("k"), F.col("ts")
     return (
         inputs.events(spark, sf_dir)
-        .where(F.col("k") == 42)
+        .where(F.col("event_type") == "error")
         .select(
-            F.when(event_type == "view", "connector_outage")
-            .when(event_type == "click", "poison_message")
-            .when(event_type == "error", "schema_drift")
+            F.when(k < 25, "connector_outage")
+            .when(k < 50, "poison_message")
+            .when(k < 75, "schema_drift")
             .otherwise("late_duplicate_storm")
             .alias("scenario"),
             at.alias("opened_at"),
@@ -144,7 +146,7 @@ LAST_EVENING = datetime(2024, 1, 30, 12, 0, tzinfo=UTC)
 
 
 @query(
-    f"""WITH {SQL_WINDOWS}
+    f"""WITH {SQL_HOURLY}, {SQL_WINDOWS}
 SELECT scenario, opened_at, opened_by FROM windows WHERE closed_at IS NULL""",
     ts="opened_at",
 )
@@ -153,10 +155,10 @@ def open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_WINDOWS}, aged AS (
+    f"""WITH {SQL_HOURLY}, {SQL_WINDOWS}, aged AS (
   SELECT *, closed_at IS NULL AND epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(opened_at)
     > CASE scenario WHEN 'connector_outage' THEN 45 WHEN 'poison_message' THEN 15 ELSE 30 END
-      * 60000000 AS stale
+      * CAST(60000000 AS BIGINT) AS stale
   FROM windows
 )
 SELECT scenario, opened_at, opened_by,
@@ -248,7 +250,7 @@ SQL_TICKS = """ticks AS (
 ), states AS (
   SELECT alert, severity, label, ts, value,
     min(ts) OVER (PARTITION BY alert, label, breaks) AS since,
-    epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY alert, label, breaks)) >= held * 1000000
+    epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY alert, label, breaks)) >= held * CAST(1000000 AS BIGINT)
       AS firing
   FROM islands WHERE holds
 )"""
