@@ -99,7 +99,8 @@ SQL_INVOICES = """invoices AS (
 
 def hot_subscriptions(spark: SparkSession, sf_dir: str) -> HotKeys:
     """Counted once per query, on the key column of the log alone."""
-    keys = inputs.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subscription_id"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    keys = orders.select(F.col("o_custkey").alias("subscription_id"))
     return hot_keys(keys, ["subscription_id"], CTX.hot_rows)
 
 

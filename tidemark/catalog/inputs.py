@@ -27,7 +27,17 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, its timestamps read as UTC instants."""
-    return in_utc(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return in_utc(spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of too few splits out to all cores.
+
+    A small file with one row group is one task, however many cores there are. A table with at
+    least a split per core, so any large one, is read as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def in_utc(df: DataFrame) -> DataFrame:
@@ -195,7 +205,7 @@ SQL_SUBSCRIPTION_CHANGES = f"""sub_rows AS (
     subscription_id, op, op = 'r' AS is_snapshot, source_lsn,
     base_at + INTERVAL 12 HOUR AS source_ts,
     CASE WHEN op = 'd' THEN base_at + INTERVAL 12 HOUR
-      WHEN o_totalprice >= 480000 AND o_totalprice < 490000
+      WHEN o_totalprice >= 488000 AND o_totalprice < 490000
         THEN base_at + seats * INTERVAL 1 HOUR - INTERVAL 400 DAY
       ELSE base_at + seats * INTERVAL 1 HOUR END AS effective_at,
     base_at + INTERVAL 13 HOUR AS loaded_at,
@@ -364,7 +374,7 @@ def subscription_changes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     effective_at = (
         F.when(op == "d", source_ts)
         .when(
-            (price >= 480000) & (price < 490000), in_time - F.expr("interval 400 days")
+            (price >= 488000) & (price < 490000), in_time - F.expr("interval 400 days")
         )
         .otherwise(in_time)
     )

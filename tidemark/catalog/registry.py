@@ -37,8 +37,7 @@ def query(sql: str | None = None, ts: str = "", days: str = ""):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return portable(function(configure(spark), sf_dir))
 
-        shown = [f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in ts.split()]
-        shown += [f"CAST({c} AS VARCHAR) AS {c}" for c in days.split()]
+        shown = [f"CAST({c} AS VARCHAR) AS {c}" for c in (*ts.split(), *days.split())]
         text = sql
         if sql is not None and shown:
             text = f"SELECT * REPLACE ({', '.join(shown)}) FROM (\n{sql}\n) AS shown"
@@ -55,9 +54,7 @@ def portable(df: DataFrame) -> DataFrame:
     shown = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.TimestampType):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        elif isinstance(field.dataType, T.DateType):
+        if isinstance(field.dataType, T.TimestampType | T.DateType):
             column = column.cast("string")
         elif isinstance(field.dataType, T.DecimalType):
             column = column.cast("double")

@@ -19,6 +19,8 @@ SESSION_SETTINGS = {
     # Hot join keys are split at run time, for outer, semi and anti joins on their left side too.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Call sites of column expressions are for error messages only, and slow to record.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -126,6 +126,27 @@ def with_overlap_flag(
     return per_key_order(versions, [key], order_col, step, hot_rows, hot)
 
 
+def _on_days(
+    versions: DataFrame, spine_start: date, spine_end: date, day_col: str
+) -> DataFrame:
+    first, last = _clamped_days("valid_from", "valid_to", spine_start, spine_end)
+    days = F.when(last >= first, F.sequence(first, last, F.expr("interval 1 day")))
+    return versions.withColumn(day_col, F.explode(days))
+
+
+def winner_per_day(
+    versions: DataFrame,
+    key: str,
+    order_col: str,
+    spine_start: date,
+    spine_end: date,
+    day_col: str = "date_day",
+) -> DataFrame:
+    """One row per key and day where versions may share days: the latest start, then log position."""
+    daily = _on_days(versions, spine_start, spine_end, day_col)
+    return latest_per(daily, [key, day_col], ["valid_from", order_col])
+
+
 def flatten_intervals(
     versions: DataFrame,
     key: str,
@@ -140,17 +161,14 @@ def flatten_intervals(
 
     Days are generated per version, so the work is linear in the rows produced and no join with
     the spine is planned. Only keys whose versions may share a day need a winner per day, and only
-    their rows are shuffled for it: the latest start wins, then the later log position.
+    their rows are shuffled for it.
     """
     flagged = with_overlap_flag(versions, key, order_col, hot_rows, hot)
-    first, last = _clamped_days("valid_from", "valid_to", spine_start, spine_end)
-    days = F.when(last >= first, F.sequence(first, last, F.expr("interval 1 day")))
-    daily = flagged.withColumn(day_col, F.explode(days))
-    alone = daily.where(~F.col("_overlaps"))
-    shared = latest_per(
-        daily.where(F.col("_overlaps")), [day_col, key], ["valid_from", order_col]
+    alone = flagged.where(~F.col("_overlaps")).drop("_overlaps")
+    shared = flagged.where(F.col("_overlaps")).drop("_overlaps")
+    return _on_days(alone, spine_start, spine_end, day_col).unionByName(
+        winner_per_day(shared, key, order_col, spine_start, spine_end, day_col)
     )
-    return alone.unionByName(shared).drop("_overlaps")
 
 
 def interval_deltas(

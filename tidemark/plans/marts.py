@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.context import Context
 from tidemark.functions import day_start
-from tidemark.operators.history import flatten_intervals, interval_deltas, with_overlap_flag
+from tidemark.operators.history import interval_deltas, winner_per_day, with_overlap_flag
 from tidemark.operators.ordered import HotKeys
 
 REQUIRED_FIELDS = {
@@ -68,14 +68,8 @@ def revenue_from_versions(
     )
     key, order = "subscription_id", "source_lsn"
     flagged = with_overlap_flag(versions, key, order, ctx.hot_rows, hot, "_clash")
-    single_days = flatten_intervals(
-        flagged.where("_clash").drop("_clash"),
-        key,
-        order,
-        ctx.spine_start,
-        ctx.spine_end,
-        ctx.hot_rows,
-        hot,
+    single_days = winner_per_day(
+        flagged.where("_clash").drop("_clash"), key, order, ctx.spine_start, ctx.spine_end
     ).withColumns(
         {
             "valid_from": day_start("date_day"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.context import Context
 from tidemark.functions import at
 from tidemark.operators.latest import first_per, latest_per
-from tidemark.operators.ordered import KeyOrder, per_key_order
+from tidemark.operators.ordered import KeyOrder, hot_keys, per_key_order
 from tidemark.sources.log import latest_attempts
 
 # Verdicts as numbers, an unknown one counting as failed.
@@ -287,32 +287,36 @@ def _series(labels: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
 
 
+def rule_readings(samples: DataFrame, rules: DataFrame) -> DataFrame:
+    """Samples beside the rules that read them, each under the series the rule sees it in."""
+    read = samples.join(F.broadcast(rules), "metric")  # one row per rule
+    kept = F.map_filter("labels", lambda name, _: F.array_contains(F.col("by_labels"), name))
+    return read.withColumn(
+        "labels", F.when(F.col("by_labels").isNull(), F.col("labels")).otherwise(kept)
+    ).withColumn("series", _series(F.col("labels")))
+
+
 def alert_readings(samples: DataFrame, rules: DataFrame) -> DataFrame:
-    """Samples beside the rules that read them, with the guard's or the threshold's own value.
+    """One reading per rule, series and instant, with the guard's or the threshold's own value.
 
     Another metric is met at the same instant, and per layer where it holds a threshold.
     """
-    read = samples.join(F.broadcast(rules), "metric")  # one row per rule
+    read = rule_readings(samples, rules)
     whole = read.where(F.col("by_labels").isNull())
     reduced = (
         read.where(F.col("by_labels").isNotNull())
-        .withColumn(
-            "labels",
-            F.map_filter("labels", lambda name, _: F.array_contains(F.col("by_labels"), name)),
-        )
-        .withColumn("_series", _series(F.col("labels")))
-        .groupBy("alert", "_series", "ts")
+        .groupBy("alert", "series", "ts")
         .agg(
             F.max("value").alias("value"),
-            *[F.first(c).alias(c) for c in read.columns if c not in ("alert", "ts", "value")],
+            *[
+                F.first(c).alias(c)
+                for c in read.columns
+                if c not in ("alert", "series", "ts", "value")
+            ],
         )
-        .drop("_series")
     )
-    readings = whole.unionByName(reduced).withColumns(
-        {
-            "series": _series(F.col("labels")),
-            "_other": F.coalesce("guard", "threshold_metric"),
-        }
+    readings = whole.unionByName(reduced).withColumn(
+        "_other", F.coalesce("guard", "threshold_metric")
     )
     needed = (
         rules.select(F.coalesce("guard", "threshold_metric").alias("metric"))
@@ -368,9 +372,9 @@ def alert_states(samples: DataFrame, rules: DataFrame, hot_rows: int = 2_000_000
         begun = linked.withColumn("_begins", F.when(begins, F.col("ts")))
         return in_order.running_max(begun, F.col("_begins"), "since").where("_holds")
 
-    states = per_key_order(
-        alert_readings(samples, rules), ["alert", "series"], "ts", step, hot_rows
-    )
+    keys = ["alert", "series"]
+    hot = hot_keys(rule_readings(samples, rules), keys, hot_rows)
+    states = per_key_order(alert_readings(samples, rules), keys, "ts", step, hot_rows, hot)
     held = F.unix_micros("ts") - F.unix_micros("since") >= F.col("held_seconds") * 1_000_000
     return states.select(
         "alert", "severity", "series", "labels", "ts", "value", "since", held.alias("firing")

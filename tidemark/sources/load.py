@@ -58,6 +58,7 @@ RANGE_SCHEMA = (
     "topic STRING, partition INT, start_offset BIGINT, end_offset BIGINT, loaded_date DATE, "
     "attempt INT"
 )
+BOUNDS_SCHEMA = "topic STRING, partition INT, earliest BIGINT, high_water BIGINT"
 _SLOT_COLUMNS = {"loaded_date": "DATE", "topic": "STRING", "partition_id": "SMALLINT"}
 _LOAD_COLUMNS = {"kafka_offset": "BIGINT", "ledger_id": "BIGINT"}
 _CLOCK_COLUMNS = {"kafka_ts": "TIMESTAMP", "loaded_at": "TIMESTAMP", "source_path": "STRING"}
@@ -328,10 +329,9 @@ def run_load(
     spark = warehouse.spark
     one_topic = log.where(F.col("topic") == topic)
     ledger = warehouse.ledger()
-    bounds = log_bounds(one_topic)
-    claimed = run_ranges(bounds, ledger, run_id, max_records, ctx)
-    rows = claimed.select("topic", "partition", "start_offset", "end_offset", "loaded_date",
-                          "attempt").collect()
+    # One row per partition of the topic, read once and reused by the checks below.
+    bounds = spark.createDataFrame(log_bounds(one_topic).collect(), BOUNDS_SCHEMA)
+    rows = run_ranges(bounds, ledger, run_id, max_records, ctx).collect()
     if not rows:
         return None
     ranges = spark.createDataFrame(rows, RANGE_SCHEMA)
