@@ -19,8 +19,6 @@ SESSION_SETTINGS = {
     # Hot join keys are split at run time, for outer, semi and anti joins on their left side too.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Call sites of column expressions are for error messages only, and slow to record.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -38,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only where it is unset, as in tests, one is made for this session.
     """
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
