@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tidemark import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -27,7 +28,7 @@ FEW = (
     "scd2_reconciliation",
     "drift_findings",
 )
-NAMES = sorted(__spark_entry__.queries()) if os.environ.get("TIDEMARK_ALL") else FEW
+NAMES = sorted(catalog.queries()) if os.environ.get("TIDEMARK_ALL") else FEW
 
 
 @pytest.fixture(scope="module")
@@ -60,4 +61,5 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracles())
+    assert set(catalog.queries()) <= set(__spark_entry__.queries())
