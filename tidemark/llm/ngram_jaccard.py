@@ -11,8 +11,10 @@ one of several orders, and only candidates are verified:
    boilerplate last, where it is in no prefix.
 2. Documents of equal sets become one class. Prefix tokens of the classes under order 1 are grouped
    by token; tokens of a single class are dropped at once.
-3. In each token's group all classes are paired with one leader, the pairs are filtered under orders
-   2 and 3, verified on whole sets, and linked classes are put into components.
+3. In each token's group all classes are paired with one leader. A pair goes on if, under each of
+   the orders, the prefixes share a token and miss few enough of each other's tokens for the
+   threshold still to be met. Those left are verified on whole sets, which are made for their
+   classes only, and linked classes are put into components.
 4. Only pairs of *different* components are still open. For each token that has several, all classes
    outside its largest component are paired with all classes of other components, under length and
    positional bounds, and filtered and verified likewise. Together the two steps find every link
@@ -26,7 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytescan import chunks, lists, longs, mix
@@ -40,7 +42,8 @@ MEMBER_BITS = 23
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = (np.uint64(0x51ED270B7A2C1F05), np.uint64(0xA24BAED4963EE407), np.uint64(0x8CB92BA72F3D8DD7))
 _SET_FIELDS = "n long, sig1 long, sig2 long, prefix array<long>"
-_FULL_FIELDS = "node long, second array<long>, third array<long>, tokens array<long>"
+_ORDERS = ("first", "second", "third")
+_NARROW_FIELDS = "node long, n long, first array<long>, second array<long>, third array<long>"
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,15 +105,14 @@ def _prefix_size(n: int, percent: int) -> int:
 
 
 def _ordered(token: np.ndarray, level: np.ndarray | None, salt: np.uint64, size: int) -> np.ndarray:
-    """The first ``size`` tokens under one global order."""
-    key = mix(token ^ salt)
+    """The first ``size`` order keys under one global order, ascending. A key stands for its token:
+    equal tokens have equal keys, and keys that agree by chance only let a pair go on."""
+    key = mix(token ^ salt) >> np.uint64(6)
     if level is not None:
-        key = (key >> np.uint64(6)) | (level.astype(np.uint64) << np.uint64(58))
+        key |= np.minimum(level, 31).astype(np.uint64) << np.uint64(58)
     if size < len(key):
-        first = np.argpartition(key, size - 1)[:size]
-    else:
-        first = np.arange(len(key))
-    return token[first[np.lexsort((token[first], key[first]))]]
+        key = key[np.argpartition(key, size - 1)[:size]]
+    return np.sort(key)
 
 
 def _distinct(token: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,31 +151,46 @@ def _member(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.view(np.uint64)) >> np.uint64(64 - MEMBER_BITS)).astype(np.int64)
 
 
-def _full_sets(
+def _narrow_sets(
     levels, members, width, percent, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
-    """Whole sets, and prefixes under orders 2 and 3, of documents in the member table."""
+    """Prefixes under all orders, of documents in the member table."""
+    for ids, chunk in _kept(members, batches):
+        token, low, bounds = _shingles(chunk, width, levels.value)
+        orders = ([], [], [])
+        sizes = np.zeros(chunk.docs, np.int64)
+        for d in range(chunk.docs):
+            own, level = _distinct(token[bounds[d] : bounds[d + 1]], low[bounds[d] : bounds[d + 1]])
+            sizes[d] = len(own)
+            size = _prefix_size(len(own), percent) if len(own) else 0
+            for found, by, salt in zip(orders, (level, level, None), _SALTS, strict=True):
+                found.append(_ordered(own, by, salt, size) if size else own)
+        yield pa.RecordBatch.from_arrays(
+            [ids, longs(sizes), *[_list_of(found) for found in orders]], ["node", "n", *_ORDERS]
+        )
+
+
+def _whole_sets(
+    levels, members, width, batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    """Whole sets of documents in the member table."""
+    for ids, chunk in _kept(members, batches):
+        token, _, bounds = _shingles(chunk, width, levels.value)
+        found = [np.unique(token[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([ids, _list_of(found)], ["node", "tokens"])
+
+
+def _list_of(parts: list[np.ndarray]) -> pa.Array:
+    return lists(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
+
+
+def _kept(members, batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        at = _member(ids)
+        at = _member(batch.column("doc_id").to_numpy())
         keep = (members.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
         kept = batch.filter(pa.array(keep.astype(bool)))
         for chunk in chunks(kept.column("text")):
-            token, low, bounds = _shingles(chunk, width, levels.value)
-            second, third, sets = [], [], []
-            for d in range(chunk.docs):
-                own, own_level = _distinct(
-                    token[bounds[d] : bounds[d + 1]], low[bounds[d] : bounds[d + 1]]
-                )
-                size = _prefix_size(len(own), percent) if len(own) else 0
-                second.append(_ordered(own, own_level, _SALTS[1], size) if size else own)
-                third.append(_ordered(own, None, _SALTS[2], size) if size else own)
-                sets.append(own)
-            columns = [kept.column("doc_id").slice(chunk.first, chunk.docs)]
-            for part in (second, third, sets):
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in part])])
-                columns.append(lists(np.concatenate(part), ends))
-            yield pa.RecordBatch.from_arrays(columns, ["node", "second", "third", "tokens"])
+            yield kept.column("doc_id").slice(chunk.first, chunk.docs), chunk
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,26 +224,43 @@ def _member_table(nodes: DataFrame) -> np.ndarray:
     return table
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a prefix token under orders 2 and 3 and pass on their whole sets."""
+def _side(sets: DataFrame, name: str, *columns: str) -> DataFrame:
+    return sets.select(
+        F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns]
+    )
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(
-            F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns]
-        )
 
-    filtered = (
-        pairs.join(side("a", "second", "third"), "a")
-        .join(side("b", "second", "third"), "b")
-        .where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
-        .select("a", "b")
+def _filtered(pairs: DataFrame, narrow: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can still reach the threshold under every one of the orders.
+
+    A token of a's prefix that does not lie beyond b's prefix is in b only if it is in b's prefix.
+    So the ones that are not there are missing from b, and bound the overlap.
+    """
+    joined = pairs.join(_side(narrow, "a", "n", *_ORDERS), "a").join(
+        _side(narrow, "b", "n", *_ORDERS), "b"
     )
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+
+    def missing(own: str, other: str) -> Column:
+        last = F.element_at(other, -1)
+        reach = F.size(F.filter(own, lambda key: key <= last))
+        return reach - F.size(F.array_intersect(own, other))
+
+    passes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    needed = percent * (F.col("a_n") + F.col("b_n"))
+    for order in _ORDERS:
+        a, b = f"a_{order}", f"b_{order}"
+        overlap = F.least(F.col("a_n") - missing(a, b), F.col("b_n") - missing(b, a))
+        passes &= F.arrays_overlap(a, b) & ((100 + percent) * overlap >= needed)
+    return joined.where(passes).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets reach the threshold."""
     union = F.size("a_tokens") + F.size("b_tokens") - F.col("shared")
     return (
-        filtered.join(side("a", "tokens"), "a")
-        .join(side("b", "tokens"), "b")
-        .withColumn("shared", shared)
+        pairs.join(_side(sets, "a", "tokens"), "a")
+        .join(_side(sets, "b", "tokens"), "b")
+        .withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
         .where(100 * F.col("shared") >= percent * union)
         .select("a", "b")
     )
@@ -309,21 +343,30 @@ def jaccard_components(
         .select("token", "leader")
     )
     postings = written(tokens.join(common, "token"))
-    members = spark.sparkContext.broadcast(_member_table(postings.select("node")))
-    full = written(
-        source.where(F.col("doc_id").isNotNull()).mapInArrow(
-            partial(_full_sets, levels, members, width, percent), _FULL_FIELDS
+    known = source.where(F.col("doc_id").isNotNull())
+
+    def of_members(nodes: DataFrame, make, *options) -> DataFrame:
+        members = spark.sparkContext.broadcast(_member_table(nodes.select("node")))
+        fields = _NARROW_FIELDS if make is _narrow_sets else "node long, tokens array<long>"
+        return written(
+            known.mapInArrow(partial(make, levels, members, width, *options), fields)
         )
-    )
+
+    narrow = of_members(postings, _narrow_sets, percent)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        left = written(_filtered(pairs, narrow, percent))
+        nodes = left.select(F.explode(F.array("a", "b")).alias("node"))
+        return written(_verified(left, of_members(nodes, _whole_sets), percent))
+
     tested = written(
         postings.where(F.col("leader") != F.col("node"))
         .select(F.col("leader").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    links = written(_verified(tested, full, percent))
+    links = linked(tested)
     comps = components(links, "a", "b")
-    open_pairs = _open_pairs(postings, comps, percent).join(tested, ["a", "b"], "left_anti")
-    late = written(_verified(open_pairs, full, percent))
+    late = linked(_open_pairs(postings, comps, percent).join(tested, ["a", "b"], "left_anti"))
     if not late.isEmpty():
         comps = components(links.unionByName(late), "a", "b")
     joined = classes.select(*key, "node").join(comps, "node", "left")
