@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.context import configure
 from tidemark.llm import oracle_sql
+from tidemark.llm.lm_scoring import lm_scores
 from tidemark.llm.ngram_jaccard import jaccard_components
 
 
@@ -16,11 +17,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _slot(buckets: int) -> Column:
+    """The part of the given split that a document's id falls into."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(buckets))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and recurrent log10 probabilities of whole documents."""
+    return lm_scores(_table(spark, sf_dir, "documents"), training=_slot(5) != 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
