@@ -60,9 +60,9 @@ class Chunk:
     def docs(self) -> int:
         return len(self.offsets) - 1
 
-    def words(self) -> Words:
-        n = len(self.data)
-        inside = ~SPACE[self.data]
+    def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the longest runs of marked bytes; none reaches into two documents."""
+        n = len(inside)
         begins = self.offsets[:-1][self.offsets[:-1] < n]
         before = np.empty(n, bool)
         before[:1] = False
@@ -70,12 +70,17 @@ class Chunk:
         before[begins] = False
         starts = np.flatnonzero(inside & ~before)
         after = np.empty(n, bool)
-        after[n - 1 :] = False
-        after[: n - 1] = inside[1:]
+        after[max(n - 1, 0) :] = False
+        after[: max(n - 1, 0)] = inside[1:]
         after[begins[begins > 0] - 1] = False
-        ends = np.flatnonzero(inside & ~after) + 1
-        bounds = np.searchsorted(starts, self.offsets)
-        return Words(self, starts, ends, bounds)
+        return starts, np.flatnonzero(inside & ~after) + 1
+
+    def words(self) -> Words:
+        return self.tokens(~SPACE[self.data])
+
+    def tokens(self, inside: np.ndarray) -> Words:
+        starts, ends = self.runs(inside)
+        return Words(self, starts, ends, np.searchsorted(starts, self.offsets))
 
 
 @dataclass

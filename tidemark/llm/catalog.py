@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.context import configure
 from tidemark.llm import oracle_sql
+from tidemark.llm.language_id import identify
 from tidemark.llm.lm_scoring import lm_scores
 from tidemark.llm.ngram_jaccard import jaccard_components
 
@@ -22,6 +23,11 @@ def _slot(buckets: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(buckets))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by family and then by duels within the family."""
+    return identify(_table(spark, sf_dir, "documents"), training=_slot(4) != 2)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
