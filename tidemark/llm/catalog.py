@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.context import configure
 from tidemark.llm import oracle_sql
+from tidemark.llm.decision_list import judged
 from tidemark.llm.language_id import identify
 from tidemark.llm.lm_scoring import lm_scores
 from tidemark.llm.ngram_jaccard import jaccard_components
@@ -28,6 +29,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), training=_slot(4) != 2)
 
 
+def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics of every document and the verdict of the learned rules."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ = judged(docs, _table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id",
+        *[f"stats.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines")],
+        "stats.n_repeat_words",
+        "base_failed",
+        "rule",
+        "kept",
+    )
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
