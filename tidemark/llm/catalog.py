@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.context import configure
 from tidemark.llm import oracle_sql
 from tidemark.llm.decision_list import judged
+from tidemark.llm.decontaminate import decontaminated
 from tidemark.llm.language_id import identify
 from tidemark.llm.lm_scoring import lm_scores
 from tidemark.llm.ngram_jaccard import jaccard_components
@@ -29,6 +30,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), training=_slot(4) != 2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie inside a ten-word window of a benchmark item."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics of every document and the verdict of the learned rules."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")

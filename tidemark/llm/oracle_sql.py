@@ -32,3 +32,34 @@ SELECT reach.doc_id, CAST(coalesce(max(sizes.n), 0) AS BIGINT) AS n_shingles,
 FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id
 GROUP BY reach.doc_id
 """
+
+_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL["op2_decontamination"] = rf"""
+WITH docs AS (
+    SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents
+), items AS (
+    SELECT item_id, {_WORDS} AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, w[i : i + 9] AS words
+    FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS spots(i)
+    WHERE len(w) > 0
+), places AS (
+    SELECT doc_id, i AS start, size, w[i : i + size - 1] AS words
+    FROM docs, (SELECT DISTINCT len(words) AS size FROM windows) AS sizes,
+         unnest(range(1, len(w) - size + 2)) AS spots(i)
+), hits AS (
+    SELECT doc_id, start, size, item_id FROM places JOIN windows USING (words)
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT pos) AS n_hit
+    FROM hits, unnest(range(start, start + size)) AS inside(pos) GROUP BY doc_id
+), found AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) AS named
+    GROUP BY doc_id
+)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
