@@ -5,10 +5,12 @@ threshold must share a token among the first ``n - ceil(t * n) + 1`` of each, wh
 the tokens are sorted by. So a pair is a candidate only if it shares such a prefix token under every
 one of several orders, and only candidates are verified:
 
-1. Word counts over all documents go into a table of fixed size. A shingle is at most as frequent as
-   its rarest word, which gives it a rarity level; order 1 sorts by level and then by a hash, order
-   2 by level and another hash, order 3 by a third hash alone. Any order is right; these put
-   boilerplate last, where it is in no prefix.
+1. Counts of words and of shingles over all documents go into tables of fixed size, by hash. A
+   shingle is at most as frequent as its own counter and as the counters of its words say; the least
+   of them gives it a rarity level. Order 1 sorts by level and then by a hash, order 2 by level and
+   another hash, order 3 by a third hash alone. Any order is right; these put boilerplate last,
+   where it is in no prefix, and what near copies of one text do not share first, where it counts
+   against the pair at once.
 2. Documents of equal sets become one class. Prefix tokens of the classes under order 1 are grouped
    by token; tokens of a single class are dropped at once.
 3. In each token's group all classes are paired with one leader. A pair goes on if, under each of
@@ -36,7 +38,9 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import small_batches, written
 
 # Fixed sizes whatever the input: rarity counters, and bits of the table of candidate classes.
-RARITY_BITS = 20
+WORD_BITS = 20
+SHINGLE_BITS = 21
+SLICE = 1 << 12
 MEMBER_BITS = 23
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -46,44 +50,77 @@ _ORDERS = ("first", "second", "third")
 _NARROW_FIELDS = "node long, n long, first array<long>, second array<long>, third array<long>"
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts by hash bucket, added up over the task."""
-    total = np.zeros(1 << RARITY_BITS, np.int64)
+def _top_bits(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _slices(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    parts = total.reshape(-1, SLICE)
+    for at in range(0, len(parts), 64):
+        rows = np.arange(at, min(at + 64, len(parts)))
+        bounds = np.arange(len(rows) + 1) * SLICE
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(rows, pa.int32()),
+                pa.ListArray.from_arrays(
+                    pa.array(bounds, pa.int32()), pa.array(parts[rows].ravel(), pa.int64())
+                ),
+            ],
+            ["slice", "counts"],
+        )
+
+
+def _count(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words and shingles by hash, added up over the task, as slices of one table."""
+    words = np.zeros(1 << WORD_BITS, np.int64)
+    shingles = np.zeros(1 << SHINGLE_BITS, np.int64)
     for batch in batches:
         for chunk in chunks(batch.column(0)):
-            found = chunk.words().hashes() >> np.uint64(64 - RARITY_BITS)
-            total += np.bincount(found.astype(np.int64), minlength=len(total))
-    used = np.flatnonzero(total)
-    for at in range(0, len(used), 50_000):
-        part = used[at : at + 50_000]
+            h, token, _, _ = _tokens(chunk, width)
+            words += np.bincount(_top_bits(h, WORD_BITS), minlength=len(words))
+            shingles += np.bincount(_top_bits(token, SHINGLE_BITS), minlength=len(shingles))
+    yield from _slices(np.concatenate([words, shingles]))
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of equal slices of a partition; what is held is one table at most."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        counts = batch.column(1)
+        flat = counts.flatten().to_numpy().reshape(-1, SLICE)
+        for k, row in zip(batch.column(0).to_pylist(), flat, strict=True):
+            held[k] = held[k] + row if k in held else row.copy()
+    for k, row in held.items():
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["bucket", "n"]
+            [pa.array([k], pa.int32()), pa.array([row], pa.list_(pa.int64()))], ["slice", "counts"]
         )
 
 
-def rarity_levels(docs: DataFrame, text: str) -> np.ndarray:
-    """Per hash bucket of words, the bit length of the number of their occurrences.
+def rarity_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """For each counter of words, then of shingles, the bit length of its count, as one byte.
 
-    The table has 2**RARITY_BITS bytes at any size of input; it orders tokens and decides nothing.
+    The tables have 2**WORD_BITS and 2**SHINGLE_BITS counters at any size of input; they order
+    tokens and decide nothing.
     """
-    counted = (
+    fields = "slice int, counts array<long>"
+    summed = (
         docs.select(text)
-        .mapInArrow(_count_words, "bucket long, n long")
-        .groupBy("bucket")
-        .agg(F.sum("n").alias("n"))
+        .mapInArrow(partial(_count, width), fields)
+        .repartition("slice")
+        .mapInArrow(_add, fields)
+        .select("slice", F.transform("counts", lambda n: F.length(F.bin(n)).cast("byte")).alias("level"))
         .toArrow()
     )
-    levels = np.zeros(1 << RARITY_BITS, np.uint8)
-    n = counted.column("n").to_numpy()
-    levels[counted.column("bucket").to_numpy()] = np.floor(np.log2(np.maximum(n, 1))) + 1
+    levels = np.zeros((1 << WORD_BITS) + (1 << SHINGLE_BITS), np.uint8)
+    for k, level in zip(summed["slice"].to_pylist(), summed["level"], strict=True):
+        levels[k * SLICE : (k + 1) * SLICE] = level.values.to_numpy()
     return levels
 
 
-def _shingles(chunk, width: int, levels: np.ndarray):
-    """(tokens, levels, bounds): shingle hashes of each document, repeats still in."""
+def _tokens(chunk, width: int):
+    """(word hashes, shingle hashes, their words as (first, number), bounds by document)."""
     words = chunk.words()
     h = words.hashes()
-    level = levels[(h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
     counts = words.counts
     per_doc = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     bounds = np.concatenate([[0], np.cumsum(per_doc)])
@@ -91,12 +128,20 @@ def _shingles(chunk, width: int, levels: np.ndarray):
     at = words.bounds[doc] + np.arange(bounds[-1]) - bounds[doc]
     length = np.minimum(counts[doc], width)
     token = mix(length.astype(np.uint64))
-    low = np.full(len(at), 255, np.uint8)
     for k in range(width):
         here = np.minimum(at + k, max(len(h) - 1, 0))
-        use = k < length
-        token = np.where(use, mix(token * _STEP + h[here]), token)
-        low = np.where(use, np.minimum(low, level[here]), low)
+        token = np.where(k < length, mix(token * _STEP + h[here]), token)
+    return h, token, (at, length), bounds
+
+
+def _shingles(chunk, width: int, levels: np.ndarray):
+    """(tokens, levels, bounds): shingle hashes of each document, repeats still in."""
+    h, token, (at, length), bounds = _tokens(chunk, width)
+    low = levels[(1 << WORD_BITS) + _top_bits(token, SHINGLE_BITS)]
+    level = levels[_top_bits(h, WORD_BITS)]
+    for k in range(width):
+        here = np.minimum(at + k, max(len(h) - 1, 0))
+        low = np.where(k < length, np.minimum(low, level[here]), low)
     return token, low, bounds
 
 
@@ -323,7 +368,7 @@ def jaccard_components(
     """
     spark = small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    levels = spark.sparkContext.broadcast(rarity_levels(source, "text"))
+    levels = spark.sparkContext.broadcast(rarity_levels(source, "text", width))
     sets = written(
         source.mapInArrow(
             partial(_prefixes, levels, width, percent), f"doc_id long, {_SET_FIELDS}"
@@ -356,7 +401,9 @@ def jaccard_components(
 
     def linked(pairs: DataFrame) -> DataFrame:
         left = written(_filtered(pairs, narrow, percent))
-        nodes = left.select(F.explode(F.array("a", "b")).alias("node"))
+        nodes = left.select(F.col("a").alias("node")).unionByName(
+            left.select(F.col("b").alias("node"))
+        )
         return written(_verified(left, of_members(nodes, _whole_sets), percent))
 
     tested = written(
