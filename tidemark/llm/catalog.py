@@ -12,6 +12,7 @@ from tidemark.llm import oracle_sql
 from tidemark.llm.decision_list import judged
 from tidemark.llm.decontaminate import decontaminated
 from tidemark.llm.language_id import identify
+from tidemark.llm.line_suffixes import repeated_lines
 from tidemark.llm.lm_scoring import lm_scores
 from tidemark.llm.ngram_jaccard import jaccard_components
 
@@ -50,6 +51,18 @@ def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that belong to later copies of repeated runs of lines."""
+    found = repeated_lines(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("drops").cast("long").alias("n_removed"),
+        F.array_join(F.transform("drops", lambda at: at.cast("string")), ",").alias("removed"),
+        F.col("shared_lines").cast("long").alias("shared_lines"),
+    )
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"))

@@ -63,3 +63,40 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_h
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+SQL["op7_line_dedup"] = r"""
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), numbered AS (
+    SELECT doc_id, i - 1 AS line_no, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+    FROM split, unnest(range(1, len(ls) + 1)) AS spots(i)
+), lines AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos
+    FROM numbered WHERE line <> ''
+), packed AS (
+    SELECT doc_id, list(line ORDER BY pos) AS ls FROM lines GROUP BY doc_id
+), runs AS (
+    SELECT doc_id, i AS pos, size, ls[i : i + size - 1] AS run
+    FROM packed, (SELECT 1 << k AS size FROM range(0, 12) AS powers(k)) AS sizes,
+         unnest(range(1, len(ls) - size + 2)) AS spots(i)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS copy FROM runs
+), later AS (
+    SELECT * FROM ranked WHERE copy > 1
+), dropped AS (
+    SELECT DISTINCT later.doc_id, lines.line_no
+    FROM later JOIN lines ON lines.doc_id = later.doc_id
+    WHERE (size = 2 AND lines.pos IN (later.pos, later.pos + 1))
+       OR (size = 1 AND lines.pos = later.pos
+           AND len(regexp_split_to_array(lines.line, '[\x20\x09-\x0D]+')) >= 8)
+), removed AS (
+    SELECT doc_id, count(*) AS n_removed,
+           string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS removed
+    FROM dropped GROUP BY doc_id
+), shared AS (
+    SELECT doc_id, max(size) AS shared_lines FROM later GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       coalesce(removed, '') AS removed, CAST(coalesce(shared_lines, 0) AS BIGINT) AS shared_lines
+FROM split LEFT JOIN removed USING (doc_id) LEFT JOIN shared USING (doc_id)
+"""
