@@ -15,6 +15,7 @@ from tidemark.llm.language_id import identify
 from tidemark.llm.line_suffixes import repeated_lines
 from tidemark.llm.lm_scoring import lm_scores
 from tidemark.llm.ngram_jaccard import jaccard_components
+from tidemark.llm.pfair import mixed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,14 @@ def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a mixture of sources by the square roots of their sizes."""
+    found = mixed(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc_id"), "source", "block", "slot", "position", "on_target"
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that belong to later copies of repeated runs of lines."""
     found = repeated_lines(_table(spark, sf_dir, "documents"))
