@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.context import configure
 from tidemark.llm import oracle_sql
-from tidemark.llm.decision_list import judged
+from tidemark.llm.decision_list import judged, learned, statistics
 from tidemark.llm.decontaminate import decontaminated
 from tidemark.llm.language_id import identify
 from tidemark.llm.line_suffixes import repeated_lines
 from tidemark.llm.lm_scoring import lm_scores
 from tidemark.llm.ngram_jaccard import jaccard_components
 from tidemark.llm.pfair import mixed
+from tidemark.llm.shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +42,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics of every document and the verdict of the learned rules."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ = judged(docs, _table(spark, sf_dir, "labels"))
-    return found.select(
+    measured = written(statistics(docs).drop("text"))
+    rules = learned(measured, _table(spark, sf_dir, "labels"))
+    return judged(measured, rules).select(
         "doc_id",
         *[f"stats.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines")],
         "stats.n_repeat_words",

@@ -315,33 +315,41 @@ def base_failed() -> Column:
     return (words < 50) | (100 * repeated > 50 * words)
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """``docs`` with ``stats``, ``base_failed``, ``rule`` and ``kept``, and the rules themselves.
+def learned(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> list[Rule]:
+    """Rules from rows with ``stats`` and from ``labels`` (doc_id, quality), bad where quality is 0.
 
-    ``labels`` (doc_id, quality) marks bad rows by quality 0; rows repeated there count once, by
-    their lowest quality. Learning looks at the rows that pass the base test, the only ones left to
-    it. Null text has no words and fails the base test. Null ids and repeated rows are judged like
-    any other; without labels, or with labels of one kind only, no rule is learned and the base test
-    decides alone. An empty table gives no rows.
+    Rows repeated in ``labels`` count once, by their lowest quality; rows without an id or a quality
+    are left out. Learning looks at the rows that pass the base test, the only ones left to it.
     """
-    measured = written(statistics(docs, text_col))
     marks = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy(F.col("doc_id").alias("_id"))
         .agg((F.min("quality") == 0).alias("_bad"))
     )
-    shown = F.struct(*[c.alias(n) for n, c in features().items()]).alias("features")
     known = (
         measured.where(~base_failed())
-        .select(F.col(id_col).alias("doc_id"), shown)
+        .select(F.col(id_col).alias("doc_id"), _features_struct())
         .join(marks, F.col("doc_id") == F.col("_id"))
     )
-    rules = learn(known, F.col("_bad"))
-    out = (
-        measured.select("*", shown)
+    return learn(known, F.col("_bad"))
+
+
+def _features_struct() -> Column:
+    return F.struct(*[c.alias(n) for n, c in features().items()]).alias("features")
+
+
+def judged(measured: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows with ``stats``, with ``base_failed``, ``rule`` (the first that holds, 0 if none) and
+    ``kept`` added.
+
+    Null text has no words and fails the base test. Null ids and repeated rows are judged like any
+    other. Without rules, as when there are no labels or labels of one kind only, the base test
+    decides alone. An empty table gives no rows.
+    """
+    return (
+        measured.select("*", _features_struct())
         .withColumn("base_failed", base_failed())
         .withColumn("rule", verdict(rules))
         .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
         .drop("features")
     )
-    return out, rules

@@ -152,7 +152,8 @@ def mixed(
     n_rows = totals.agg(F.sum("n")).first()[0] or 0
     chunks = max(1, n_rows // CHUNK_ROWS)
     order = ["draw", "key", "row"]
-    begun = _running(rows, "source", order, "size", chunks, "begin")
+    slim = rows.select("row", "source", "size", "draw", "key")
+    begun = _running(slim, "source", order, "size", chunks, "begin")
     blocks = begun.withColumn("block", F.floor(F.col("begin") / block_chars)).drop("begin")
     if parts:
         table = _slot_table(docs, schedule(parts), parts)
@@ -172,16 +173,15 @@ def mixed(
     else:
         in_frame, slot = blocks, F.lit(None).cast("long")
     placed = written(
-        in_frame.select(
-            "row", "doc_id", *keep, "source", "block", slot.alias("slot"), "draw", "key"
-        )
+        in_frame.select("row", "source", "block", slot.alias("slot"), "draw", "key")
     )
     # A source runs out with its last block; from the slot its next one would have, weights fail.
     used = placed.where("slot IS NOT NULL").groupBy("source").agg(F.max("block").alias("last"))
     horizon = _horizon(used, parts)
-    return _positions(placed, keep).withColumn(
+    found = _positions(placed).withColumn(
         "on_target", F.coalesce(F.col("slot") < F.lit(horizon), F.lit(False))
     )
+    return rows.select("row", "doc_id", *keep).join(found, "row").drop("row")
 
 
 def _horizon(used: DataFrame, parts: Mapping[str, int]) -> int:
@@ -195,7 +195,7 @@ def _horizon(used: DataFrame, parts: Mapping[str, int]) -> int:
     return min(nexts[k] // n * period + place[k, nexts[k] % n] for k, n in parts.items())
 
 
-def _positions(placed: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def _positions(placed: DataFrame) -> DataFrame:
     """Numbers rows by slot, then by source and draw: sums per slot, per thousand slots, over all."""
     behind = F.lit((1 << 62) - 1)
     bucket = F.coalesce(F.col("slot"), behind)
@@ -228,8 +228,7 @@ def _positions(placed: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         spread.withColumn("_nth", F.row_number().over(in_cell) - 1)
         .join(starts, cell)
         .select(
-            "doc_id",
-            *keep,
+            "row",
             "source",
             "block",
             "slot",
