@@ -16,6 +16,7 @@ from tidemark.llm.line_suffixes import repeated_lines
 from tidemark.llm.lm_scoring import lm_scores
 from tidemark.llm.ngram_jaccard import jaccard_components
 from tidemark.llm.pfair import mixed
+from tidemark.llm.secret_crf import scan
 from tidemark.llm.shared import written
 
 
@@ -79,6 +80,11 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by patterns and by a conditional random field."""
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and recurrent log10 probabilities of whole documents."""
     return lm_scores(_table(spark, sf_dir, "documents"), training=_slot(5) != 1)
