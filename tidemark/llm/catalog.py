@@ -18,6 +18,8 @@ from tidemark.llm.ngram_jaccard import jaccard_components
 from tidemark.llm.pfair import mixed
 from tidemark.llm.secret_crf import scan
 from tidemark.llm.shared import written
+from tidemark.llm.token_files import document_tokens
+from tidemark.llm.unit_dedup import repeated_units
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
+def op3_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ten words or more that occur earlier in the corpus, with their offsets."""
+    return repeated_units(_table(spark, sf_dir, "documents"))
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics of every document and the verdict of the learned rules."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,6 +62,12 @@ def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files of the whole table."""
+    found = document_tokens(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens")
+
+
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in a mixture of sources by the square roots of their sizes."""
     found = mixed(_table(spark, sf_dir, "documents"))
