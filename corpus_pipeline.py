@@ -80,8 +80,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     benchmark = configure(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     named = docs.select(*COLUMNS, F.md5("text").alias("digest"))
     # The verdict follows from the text alone, so the text's digest can stand for the row.
-    found = decontaminated(named.select("digest", "text"), benchmark)
-    hit = found.where("contaminated").select("digest").distinct()
+    found = decontaminated(named, benchmark, id_col="digest")
+    hit = found.where("contaminated").select(F.col("doc_id").alias("digest")).distinct()
     return named.join(hit, "digest", "left_anti").select(*COLUMNS)
 
 

@@ -68,45 +68,27 @@ def _count_of(text: Column, pattern: str) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``stats`` of counts; null text counts as empty."""
+    """``docs`` with a struct ``stats`` of counts, in place of any column of that name; null text
+    counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
     def of_words(w: Column) -> Column:
-        return let(
-            F.size(w),
-            lambda n: F.struct(
-                n.cast("long").alias("n_words"),
-                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-                let(_windows(w, n), _covered).cast("long").alias("n_repeat_words"),
-            ),
-        )
-
-    return docs.select(
-        "*",
-        let(words, of_words).alias("_words"),
-        _count_of(text, SYMBOL).cast("long").alias("_symbols"),
-        _repeated_lines(text).cast("long").alias("_dup_lines"),
-        _count_of(text, "[A-Z]").cast("long").alias("_upper"),
-        _count_of(text, "[a-z]").cast("long").alias("_lower"),
-        _count_of(text, "[!?]").cast("long").alias("_marks"),
-        _count_of(text, "[0-9]").cast("long").alias("_digits"),
-        _count_of(text, "\n").cast("long").alias("_breaks"),
-    ).select(
-        *docs.columns,
-        F.struct(
-            "_words.n_words",
-            "_words.word_chars",
-            F.col("_symbols").alias("n_symbols"),
-            F.col("_dup_lines").alias("n_dup_lines"),
-            "_words.n_repeat_words",
-            F.col("_upper").alias("n_upper"),
-            F.col("_lower").alias("n_lower"),
-            F.col("_marks").alias("n_marks"),
-            F.col("_digits").alias("n_digits"),
-            F.col("_breaks").alias("n_breaks"),
-        ).alias("stats"),
-    )
+        counts = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": _count_of(text, SYMBOL),
+            "n_dup_lines": _repeated_lines(text),
+            "n_repeat_words": let(let(F.size(w), lambda n: _windows(w, n)), _covered),
+            "n_upper": _count_of(text, "[A-Z]"),
+            "n_lower": _count_of(text, "[a-z]"),
+            "n_marks": _count_of(text, "[!?]"),
+            "n_digits": _count_of(text, "[0-9]"),
+            "n_breaks": _count_of(text, "\n"),
+        }
+        return F.struct(*[c.cast("long").alias(n) for n, c in counts.items()])
+
+    return docs.withColumn("stats", let(words, of_words))
 
 
 def features() -> dict[str, Column]:
@@ -135,7 +117,7 @@ class Condition:
     threshold: float
 
     def column(self) -> Column:
-        value = F.col(f"features.{self.feature}")
+        value = features()[self.feature]
         return value > self.threshold if self.above else value <= self.threshold
 
     def __str__(self) -> str:
@@ -340,16 +322,13 @@ def _features_struct() -> Column:
 
 def judged(measured: DataFrame, rules: list[Rule]) -> DataFrame:
     """Rows with ``stats``, with ``base_failed``, ``rule`` (the first that holds, 0 if none) and
-    ``kept`` added.
+    ``kept`` added, in place of any columns of these names.
 
     Null text has no words and fails the base test. Null ids and repeated rows are judged like any
     other. Without rules, as when there are no labels or labels of one kind only, the base test
     decides alone. An empty table gives no rows.
     """
-    return (
-        measured.select("*", _features_struct())
-        .withColumn("base_failed", base_failed())
-        .withColumn("rule", verdict(rules))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
-        .drop("features")
+    failed, rule = base_failed(), verdict(rules)
+    return measured.withColumns(
+        {"base_failed": failed, "rule": rule, "kept": ~failed & (rule == 0)}
     )

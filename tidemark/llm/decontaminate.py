@@ -106,7 +106,10 @@ def _positions(docs: DataFrame, bitmaps: dict[int, list[int]], window: int) -> D
 
     def found(words: Column) -> Column:
         parts = [
-            let(F.array(*[F.lit(v) for v in table]), partial(marked, words, width))
+            let(
+                F.array(*[F.lit(v) for v in table]).cast("array<long>"),
+                partial(marked, words, width),
+            )
             for width, table in bitmaps.items()
         ]
         empty = F.array().cast(
@@ -120,7 +123,7 @@ def _positions(docs: DataFrame, bitmaps: dict[int, list[int]], window: int) -> D
     return written(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
-            *[F.col(c) for c in docs.columns if c != "text"],
+            "doc_id",
             let(words_of(F.col("text")), found).alias("scan"),
         ).select("*", "scan.n_words", "scan.found").drop("scan")
     )
@@ -194,16 +197,21 @@ def _hit_words(hits: DataFrame) -> DataFrame:
 
 
 def decontaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, width: int = 3
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 10,
+    width: int = 3,
 ) -> DataFrame:
-    """``docs`` without ``text``, with n_words, n_hit, n_items, items_sha256 and contaminated.
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z lowered. Items are told apart
     by id; rows that repeat an item add nothing, and items without an id or without a word are left
-    out. Null text has no words. Null ids and repeated rows of ``docs`` are kept as they are. Without
-    items every document is clean; an empty table gives no rows.
+    out. Null text has no words. Null ids and repeated rows of ``docs`` come out as they are. Other
+    columns are ignored. Without items every document is clean; an empty table gives no rows.
     """
-    source = docs.withColumn("text", F.col("text").cast("string"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scan, hits = occurrences(source, benchmark.select("item_id", "text"), window, width)
     found = written(hits)
     items = (
