@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import utc
 from tidemark.operators.history import as_of_join, scd2
-from tidemark.operators.ordered import KeyOrder, hot_keys, per_key_order
+from tidemark.operators import ordered
+from tidemark.operators.ordered import KeyOrder, per_key_order
 from tidemark.plans import core, marts
 
 CHANGES = (
@@ -28,7 +29,7 @@ def change(lsn, at, status="active", op="u", key=1, plan="pro", seats=5, mrr=100
 
 
 def history(spark, ctx, *changes):
-    df = core.dim_subscription(spark.createDataFrame(list(changes), CHANGES), ctx)
+    df = core.dim_subscription(spark.createDataFrame(list(changes), CHANGES))
     return df.orderBy("source_lsn").collect()
 
 
@@ -71,7 +72,6 @@ def test_delete_closes_and_opens_nothing(spark, ctx):
         spark.createDataFrame(
             [change(1, utc(2026, 3, 1), op="c"), change(2, utc(2026, 3, 4), op="d")], CHANGES
         ),
-        ctx,
     ).select(F.col("valid_to").cast("string"))
     assert shown.first()[0] == "2026-03-04 00:00:00"
 
@@ -125,14 +125,13 @@ def random_changes(seed, keys=6, per_key=40, backwards=False):
 
 
 @pytest.mark.parametrize("backwards", [False, True])
-def test_sliced_hot_keys_give_the_same(spark, ctx, backwards):
+def test_slices_give_the_same_as_whole_keys(spark, ctx, backwards, monkeypatch):
     df = spark.createDataFrame(random_changes(3, backwards=backwards), CHANGES)
-    whole, sliced = ctx, ctx.with_(hot_rows=25)
-    assert hot_keys(df, ["subscription_id"], 25).keys is not None
-    spine = {"spine_start": date(2025, 11, 1), "now": utc(2026, 6, 1)}
+    each = ctx.with_(spine_start=date(2025, 11, 1), now=utc(2026, 6, 1))
     results = []
-    for each in (whole.with_(**spine), sliced.with_(**spine)):
-        dim = core.dim_subscription(df, each)
+    for positions in (1_000_000, 25):
+        monkeypatch.setattr(ordered, "POSITIONS_PER_SLICE", positions)
+        dim = core.dim_subscription(df)
         daily = core.fct_subscription_daily(dim, each)
         results.append(
             [
@@ -152,7 +151,7 @@ def test_sliced_hot_keys_give_the_same(spark, ctx, backwards):
 
 def test_intervals_of_a_key_abut_or_end_in_a_delete(spark, ctx):
     df = spark.createDataFrame(random_changes(5), CHANGES)
-    rows = core.dim_subscription(df, ctx).orderBy("subscription_id", "source_lsn").collect()
+    rows = core.dim_subscription(df).orderBy("subscription_id", "source_lsn").collect()
     for left, right in zip(rows, rows[1:]):
         if left["subscription_id"] == right["subscription_id"]:
             assert left["valid_to"] <= right["valid_from"]
@@ -170,7 +169,6 @@ def test_daily_state_is_that_at_day_end(spark, ctx):
             ],
             CHANGES,
         ),
-        ctx,
     )
     daily = core.fct_subscription_daily(dim, ctx).orderBy("date_day").collect()
     assert [(r["date_day"].day, r["status"]) for r in daily] == [
@@ -180,31 +178,33 @@ def test_daily_state_is_that_at_day_end(spark, ctx):
 
 def test_open_versions_reach_the_end_of_the_spine(spark, ctx):
     df = spark.createDataFrame([change(1, utc(2026, 3, 9), op="c")], CHANGES)
-    daily = core.fct_subscription_daily(core.dim_subscription(df, ctx), ctx)
+    daily = core.fct_subscription_daily(core.dim_subscription(df), ctx)
     assert daily.agg(F.max("date_day")).first()[0] == date(2026, 4, 9)
 
 
 def brute_force_as_of(facts, versions):
     out = {}
     for name, key, at in facts:
-        started = [v for v in versions if v[0] == key and at is not None and v[1] <= at]
-        best = max(started, key=lambda v: (v[1], v[3]), default=None)
-        out[name] = best[4] if best is not None and at < best[2] else None
+        covering = [v for v in versions if v[0] == key and at is not None and v[1] <= at < v[2]]
+        best = max(covering, key=lambda v: (v[1], v[3]), default=None)
+        out[name] = best[4] if best is not None else None
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 10])
-def test_as_of_join(spark, hot_rows):
-    rng = random.Random(1)
-    day = [utc(2026, 1, 1) + timedelta(days=i) for i in range(60)]
+@pytest.mark.parametrize("seed", [1, 2])
+def test_as_of_join(spark, seed):
+    """Versions that abut, overlap, lie within one another, start together, or end before they
+    start."""
+    rng = random.Random(seed)
+    day = [utc(2026, 1, 1) + timedelta(days=i / 2) for i in range(120)]
     versions = []
     for key in range(4):
-        starts = sorted(rng.sample(range(50), 8))
+        starts = sorted(rng.choices(range(100), k=12))
         for i, start in enumerate(starts):
-            end = starts[i + 1] if i + 1 < len(starts) else 55
-            versions.append((key, day[start], day[end], key * 100 + i, f"v{key}-{i}"))
+            end = starts[i + 1] if key == 1 and i < 11 else start + rng.randint(-5, 60)
+            versions.append((key, day[start], day[max(0, min(end, 119))], key * 100 + i, f"v{key}-{i}"))
     facts = [
-        (i, rng.choice([0, 0, 0, 1, 2, 3, 9, None]), rng.choice([*day, None])) for i in range(300)
+        (i, rng.choice([0, 0, 0, 1, 2, 3, 9, None]), rng.choice([*day, None])) for i in range(400)
     ]
     joined = as_of_join(
         spark.createDataFrame(facts, "name INT, key INT, at TIMESTAMP"),
@@ -216,10 +216,9 @@ def test_as_of_join(spark, hot_rows):
         "at",
         "source_lsn",
         ["label"],
-        hot_rows,
     ).collect()
     assert {r["name"]: r["label"] for r in joined} == brute_force_as_of(facts, versions)
-    assert len(joined) == 300
+    assert len(joined) == 400
 
 
 def test_running_values_across_slices(spark):
@@ -234,7 +233,7 @@ def test_running_values_across_slices(spark):
         return in_order.any_of_key(part, F.col("v") == 12, "any")
 
     def run(limit):
-        found = per_key_order(df, ["k"], "o", step, limit)
+        found = per_key_order(df, ["k"], "o", F.floor(F.col("o") / limit), step)
         return sorted(map(str, found.select("k", "o", "v", "p", "n", "m", "b", "any").collect()))
 
     assert run(10) == run(10_000)
@@ -245,4 +244,4 @@ def test_versions_of_other_tables(spark, ctx):
     df = spark.createDataFrame(
         rows, "id INT, op STRING, lsn BIGINT, at TIMESTAMP, name STRING"
     )
-    assert scd2(df, "id", "lsn", "at", ["name"], ctx.hot_rows).count() == 2
+    assert scd2(df, "id", "lsn", "at", ["name"]).count() == 2

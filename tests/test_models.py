@@ -365,9 +365,9 @@ def samples(spark, *series):
     )
 
 
-def firing(spark, alert, minute, *series, hot_rows=1_000_000):
+def firing(spark, alert, minute, *series):
     at = utc(2026, 3, 1) + timedelta(minutes=minute)
-    states = ops.alert_states(samples(spark, *series), ops.alert_rules(spark), hot_rows)
+    states = ops.alert_states(samples(spark, *series), ops.alert_rules(spark))
     return states.where(
         F.col("firing") & (F.col("alert") == alert) & (F.col("ts") == F.lit(at))
     ).count()
@@ -381,7 +381,10 @@ def test_an_alert_needs_its_duration(spark):
     steady = (LAG, LABELS, [7000] * 20)
     assert firing(spark, "ConsumerLagHigh", 5, steady) == 0
     assert firing(spark, "ConsumerLagHigh", 12, steady) == 1
-    assert firing(spark, "ConsumerLagHigh", 12, steady, hot_rows=5) == 1
+    gap = (LAG, LABELS, [7000] + [None] * 359 + [7000])
+    assert firing(spark, "ConsumerLagHigh", 360, gap) == 0
+    short_gap = (LAG, LABELS, [7000] * 6 + [None] * 3 + [7000] * 6)
+    assert firing(spark, "ConsumerLagHigh", 12, short_gap) == 1
     saw = (LAG, LABELS, [0, 2000, 4000, 6500, 7000] * 4)
     assert firing(spark, "ConsumerLagHigh", 12, saw) == 0
     two = [(LAG, {**LABELS, "partition": str(p)}, [7000] * 20) for p in range(2)]

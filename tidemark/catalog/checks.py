@@ -273,8 +273,7 @@ def source_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def low_revenue_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The range test of the revenue mart, with a bound that some days fail."""
-    hot = core.hot_subscriptions(spark, sf_dir)
-    revenue = mart_plans.revenue_from_versions(core.subscriptions(spark, sf_dir, hot), CTX, hot)
+    revenue = mart_plans.revenue_from_versions(core.subscriptions(spark, sf_dir), CTX)
     return checks.accepted_range(revenue, "mrr_cents", 100_000).select(
         "date_day", "plan_code", "mrr_cents"
     )

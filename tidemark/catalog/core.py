@@ -18,7 +18,6 @@ from tidemark.catalog.staging import SQL_INCREMENTAL, SQL_STAGED, merged, staged
 from tidemark.functions import at
 from tidemark.operators.history import as_of, as_of_join, scd2
 from tidemark.operators.incremental import affected_keys, lookback, replace_by_key
-from tidemark.operators.ordered import HotKeys, hot_keys
 from tidemark.plans import core, staging
 
 SQL_VERSIONS = """classified AS (
@@ -97,19 +96,9 @@ SQL_INVOICES = """invoices AS (
 )"""
 
 
-def hot_subscriptions(spark: SparkSession, sf_dir: str) -> HotKeys:
-    """Counted once per query, on the key column of the log alone."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    keys = orders.select(F.col("o_custkey").alias("subscription_id"))
-    return hot_keys(keys, ["subscription_id"], CTX.hot_rows)
-
-
-def subscriptions(
-    spark: SparkSession, sf_dir: str, hot: HotKeys | None = None
-) -> DataFrame:
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = staging.stg_subscription_changes(inputs.cdc_changes(spark, sf_dir, "subscriptions"))
-    found = hot_subscriptions(spark, sf_dir) if hot is None else hot
-    return core.dim_subscription(changes, CTX, found)
+    return core.dim_subscription(changes)
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +159,7 @@ def dim_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
     days="date_day",
 )
 def fct_subscription_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = hot_subscriptions(spark, sf_dir)
-    return core.fct_subscription_daily(subscriptions(spark, sf_dir, hot), CTX, hot)
+    return core.fct_subscription_daily(subscriptions(spark, sf_dir), CTX)
 
 
 @query(
@@ -270,12 +258,12 @@ def versions_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_EVENTS}, {SQL_SUBSCRIPTION_CHANGES}, {SQL_VERSIONS}
 SELECT r.event_id, r.kafka_offset, r.account_id, v.plan_code, v.status
 FROM raw_events r LEFT JOIN (
-  SELECT r.kafka_offset, v.plan_code, v.status, v.valid_to, r.event_time
-  FROM raw_events r JOIN versions v
-    ON v.subscription_id = r.account_id AND v.valid_from <= r.event_time
+  SELECT r.kafka_offset, v.plan_code, v.status
+  FROM raw_events r JOIN versions v ON v.subscription_id = r.account_id
+    AND r.event_time >= v.valid_from AND r.event_time < v.valid_to
   QUALIFY row_number() OVER (PARTITION BY r.kafka_offset
     ORDER BY v.valid_from DESC, v.source_lsn DESC) = 1
-) v ON v.kafka_offset = r.kafka_offset AND v.event_time < v.valid_to""")
+) v ON v.kafka_offset = r.kafka_offset""")
 def events_as_of_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with the plan and status its account had when it happened."""
     facts = inputs.product_events(spark, sf_dir).select(
@@ -291,7 +279,6 @@ def events_as_of_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_time",
         "source_lsn",
         ["plan_code", "status"],
-        CTX.hot_rows,
     ).drop("event_time")
 
 
@@ -321,7 +308,6 @@ def account_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_lsn",
         "effective_at",
         ["company_name", "country"],
-        CTX.hot_rows,
     )
     return versions.select(
         "account_id",

@@ -244,9 +244,12 @@ SQL_TICKS = """ticks AS (
     AND o.label = s.label AND o.metric = CASE alert
       WHEN 'CdcStalled' THEN 'analytics_oltp_writes_per_minute'
       WHEN 'FreshnessSloBreach' THEN 'analytics_freshness_slo_seconds' END
+), spaced AS (
+  SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY alert, label ORDER BY ts)
+    > INTERVAL 15 MINUTE, false) AS after_gap FROM tested
 ), islands AS (
-  SELECT *, count(*) FILTER (WHERE NOT holds) OVER (PARTITION BY alert, label ORDER BY ts)
-    AS breaks FROM tested
+  SELECT *, count(*) FILTER (WHERE NOT holds OR after_gap)
+    OVER (PARTITION BY alert, label ORDER BY ts) AS breaks FROM spaced
 ), states AS (
   SELECT alert, severity, label, ts, value,
     min(ts) OVER (PARTITION BY alert, label, breaks) AS since,
@@ -305,7 +308,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.alert_states(samples(spark, sf_dir), ops.alert_rules(spark), CTX.hot_rows)
+    every = 600
+    return ops.alert_states(
+        samples(spark, sf_dir), ops.alert_rules(spark), stale_seconds=every * 3 // 2
+    )
 
 
 def _label(df: DataFrame) -> DataFrame:

@@ -33,11 +33,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, which the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset, as in tests, one is made for this session.
+    Only where it is unset and there are no executors but the driver, as in tests, one is made for
+    this session. A cluster must name its own: files in a local folder would be missed.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -53,8 +56,6 @@ class Context:
     full_refresh: bool = False
     spine_start: date = date(2025, 1, 1)
     spine_ahead_days: int = 30
-    # Above this many rows one key is no longer left to a single task; see operators.ordered.
-    hot_rows: int = 2_000_000
 
     def __post_init__(self) -> None:
         if self.now.tzinfo is None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import END_OF_TIME, changed
 from tidemark.operators.latest import latest_per
-from tidemark.operators.ordered import HotKeys, KeyOrder, per_key_order
+from tidemark.operators.ordered import KeyOrder, by_day, by_position, per_key_order
 
 
 def scd2(
@@ -19,8 +19,6 @@ def scd2(
     order_col: str,
     time_col: str,
     tracked: Sequence[str],
-    hot_rows: int,
-    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Type-2 versions from a change log, ordered by log position and dated by business time.
 
@@ -38,7 +36,7 @@ def scd2(
         boundaries = compared.where(F.col("op").isin("d", "c", "r") | altered).drop("_before")
         return in_order.following(boundaries, [time_col, "op"], "_next").where(F.col("op") != "d")
 
-    versions = per_key_order(changes, [key], order_col, step, hot_rows, hot)
+    versions = per_key_order(changes, [key], order_col, by_position(order_col), step)
     return versions.withColumns(
         {
             "valid_from": F.col(time_col),
@@ -61,39 +59,74 @@ def as_of_join(
     ts_col: str,
     order_col: str,
     columns: Sequence[str],
-    hot_rows: int,
 ) -> DataFrame:
     """Each fact with ``columns`` of the version of its key that covers the fact's own time.
 
+    A version covers from its start until before its end; of several the one with the latest start,
+    then ``order_col``, counts. Versions that end where they start or earlier cover nothing. A fact
+    that no version covers gets nulls.
+
     Versions and facts are laid on one time line per key and the latest start so far is carried
-    forward, so no pair of fact and version is ever formed beyond the one that is kept. A fact that
-    no version covers gets nulls.
+    forward. If that version still holds, it is the answer. If it has ended, the answer can only be
+    a version that outlives the start of a later one; business time must have run backwards for
+    there to be any, so these few are joined by range with the facts that are still open.
     """
     described = F.struct("valid_from", order_col, "valid_to", *columns)
     placed = facts.where(F.col(key).isNotNull() & F.col(ts_col).isNotNull())
-    fact_row = F.struct(*facts.columns)
-    line = versions.select(
-        F.col(key).alias("_key"),
-        F.struct(F.col("valid_from").alias("at"), F.lit(0).alias("side")).alias("_at"),
-        described.alias("_version"),
-    ).unionByName(
-        placed.select(
+    lasting = versions.where(F.col("valid_to") > F.col("valid_from"))
+    rank = F.struct("at", "side", "rank")
+    line = (
+        lasting.select(
             F.col(key).alias("_key"),
-            F.struct(F.col(ts_col).alias("at"), F.lit(1).alias("side")).alias("_at"),
-            fact_row.alias("_fact"),
-        ),
-        allowMissingColumns=True,
+            F.col("valid_from").alias("at"),
+            F.lit(0).alias("side"),
+            F.col(order_col).cast("long").alias("rank"),
+            described.alias("_version"),
+        )
+        .unionByName(
+            placed.select(
+                F.col(key).alias("_key"),
+                F.col(ts_col).alias("at"),
+                F.lit(1).alias("side"),
+                F.monotonically_increasing_id().alias("rank"),
+                F.struct(*facts.columns).alias("_fact"),
+            ),
+            allowMissingColumns=True,
+        )
+        .withColumn("_at", rank)
     )
 
-    def step(part: DataFrame, in_order: KeyOrder) -> DataFrame:
+    def carry(part: DataFrame, in_order: KeyOrder) -> DataFrame:
         carried = in_order.running_max(part, F.col("_version"), "_covering")
-        return carried.where(F.col("_at.side") == 1)
-
-    matched = per_key_order(line, ["_key"], "_at", step, hot_rows)
-    holds = F.col("_at.at") < F.col("_covering.valid_to")
-    found = matched.select(
-        "_fact.*", *[F.when(holds, F.col(f"_covering.{c}")).alias(c) for c in columns]
+        return carried.where(F.col("side") == 1)
+
+    def outlive(part: DataFrame, in_order: KeyOrder) -> DataFrame:
+        followed = in_order.following(part, ["at"], "_next")
+        return followed.where(F.col("_version.valid_to") > F.col("_next.at"))
+
+    matched = per_key_order(line, ["_key"], "_at", by_day("at"), carry)
+    starts = line.where(F.col("side") == 0).select("_key", "at", "_at", "_version")
+    outliving = per_key_order(starts, ["_key"], "_at", by_day("at"), outlive)
+    ended = F.col("at") >= F.col("_covering.valid_to")
+    still_open = matched.where(ended).select(F.col("_key").alias("_k"), F.col("at").alias("_t"))
+    late = outliving.select(F.col("_key").alias("_v"), "_version")
+    earlier = (
+        still_open.distinct()
+        .join(
+            late,
+            (F.col("_k") == F.col("_v"))
+            & (F.col("_t") >= F.col("_version.valid_from"))
+            & (F.col("_t") < F.col("_version.valid_to")),
+        )
+        .groupBy("_k", "_t")
+        .agg(F.max("_version").alias("_earlier"))
+    )
+    settled = matched.join(
+        earlier, (F.col("_key") == F.col("_k")) & (F.col("at") == F.col("_t")), "left"
+    ).withColumn(
+        "_found", F.when(F.col("at") < F.col("_covering.valid_to"), F.col("_covering")).otherwise(F.col("_earlier"))
     )
+    found = settled.select("_fact.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
     unplaced = facts.where(F.col(key).isNull() | F.col(ts_col).isNull())
     return found.unionByName(unplaced, allowMissingColumns=True)
 
@@ -109,8 +142,6 @@ def with_overlap_flag(
     versions: DataFrame,
     key: str,
     order_col: str,
-    hot_rows: int,
-    hot: HotKeys | None = None,
     name: str = "_overlaps",
 ) -> DataFrame:
     """Mark keys whose versions may share a day, which needs business time to run backwards."""
@@ -123,7 +154,7 @@ def with_overlap_flag(
         flagged = in_order.any_of_key(ends, F.coalesce(clash, F.lit(False)), name)
         return flagged.drop("_ends_so_far")
 
-    return per_key_order(versions, [key], order_col, step, hot_rows, hot)
+    return per_key_order(versions, [key], order_col, by_position(order_col), step)
 
 
 def _on_days(
@@ -153,8 +184,6 @@ def flatten_intervals(
     order_col: str,
     spine_start: date,
     spine_end: date,
-    hot_rows: int,
-    hot: HotKeys | None = None,
     day_col: str = "date_day",
 ) -> DataFrame:
     """One row per key and day, with the state the key ended that day in.
@@ -163,7 +192,7 @@ def flatten_intervals(
     the spine is planned. Only keys whose versions may share a day need a winner per day, and only
     their rows are shuffled for it.
     """
-    flagged = with_overlap_flag(versions, key, order_col, hot_rows, hot)
+    flagged = with_overlap_flag(versions, key, order_col)
     alone = flagged.where(~F.col("_overlaps")).drop("_overlaps")
     shared = flagged.where(F.col("_overlaps")).drop("_overlaps")
     return _on_days(alone, spine_start, spine_end, day_col).unionByName(

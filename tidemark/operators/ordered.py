@@ -1,10 +1,9 @@
 """Looking at the row before and after within a key, without one task holding the whole key.
 
-A window puts all rows of a key into one task. That is right while keys are small, and a bottleneck
-once one key holds a large share of the rows. ``per_key_order`` counts rows per key first and, only
-where a key is hot, range-partitions that key's rows into slices in order. Each slice is then a
-window group of its own, and what crosses a slice's edge is carried by a table with one row per
-slice.
+A window over a key puts all its rows into one task. Here the rows of a key are cut into slices by a
+fixed function of what orders them, such as the day of a time or the million of a log position, and
+windows are over one slice. What crosses a slice's edge is carried by a table of one row per slice.
+There is one plan for all sizes: nothing is counted first, and no key is treated apart.
 """
 
 from __future__ import annotations
@@ -15,74 +14,48 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.context import shared_folder
-
 SLICE = "_slice"
 _CARRY = "_carry"
 _OWN = "_own"
 
-# At most this many keys can each hold more than the threshold, so the list of hot keys is bounded
-# whatever the size of the input.
-MAX_HOT_KEYS = 10_000
-MAX_SLICES = 10_000
-
+#: Log positions per slice. A position is one row, so a slice has at most as many.
+POSITIONS_PER_SLICE = 1_000_000
 
-@dataclass(frozen=True)
-class HotKeys:
-    """Keys with too many rows for one task, and how many slices their rows need."""
 
-    keys: DataFrame | None = None
-    slices: int = 0
+def by_position(order: str) -> Column:
+    """Slices of a whole-number order."""
+    return F.floor(F.col(order) / POSITIONS_PER_SLICE)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> HotKeys:
-    """Count rows per key and return the hot ones.
-
-    Reads the key columns only and combines before shuffling. The threshold rises with the input,
-    so that no more than MAX_HOT_KEYS keys can pass it.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of_key"))
-    totals = counts.agg(
-        F.sum("rows_of_key").alias("total"), F.max("rows_of_key").alias("largest")
-    ).first()
-    if totals is None or not totals["largest"] or totals["largest"] <= hot_rows:
-        return HotKeys()
-    threshold = max(hot_rows, totals["total"] // MAX_HOT_KEYS)
-    found = counts.where(F.col("rows_of_key") > threshold)
-    hot_total = found.agg(F.sum("rows_of_key")).first()[0]
-    if not hot_total:
-        return HotKeys()
-    slices = min(MAX_SLICES, -(-hot_total // max(threshold // 2, 1)))
-    return HotKeys(found.select(*keys), int(max(2, slices)))
+def by_day(order: str) -> Column:
+    """Slices of a time order: one per day."""
+    return F.datediff(F.to_date(order), F.lit("1970-01-01").cast("date")).cast("long")
 
 
 @dataclass(frozen=True)
 class KeyOrder:
-    """Neighbour expressions over one key order, in plain or in sliced form."""
+    """Neighbour expressions over one key order."""
 
     keys: tuple[str, ...]
     order: str
-    sliced: bool
 
     def _group(self) -> list[str]:
-        return [*self.keys, SLICE] if self.sliced else list(self.keys)
+        return [*self.keys, SLICE]
 
     def _window(self):
         return Window.partitionBy(*self._group()).orderBy(self.order)
 
     def previous(self, df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
         """Add struct ``name`` with the preceding row's columns; null on a key's first row."""
-        return self._neighbour(df, columns, name, F.lag, F.max_by, forward=True)
+        return self._neighbour(df, columns, name, F.lag, F.max_by)
 
     def following(self, df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
         """Add struct ``name`` with the next row's columns; null on a key's last row."""
-        return self._neighbour(df, columns, name, F.lead, F.min_by, forward=False)
+        return self._neighbour(df, columns, name, F.lead, F.min_by)
 
-    def _neighbour(self, df, columns, name, shift, edge, forward) -> DataFrame:
+    def _neighbour(self, df, columns, name, shift, edge) -> DataFrame:
         packed = F.struct(*columns)
         local = df.withColumn(name, shift(packed).over(self._window()))
-        if not self.sliced:
-            return local
         # One row per slice: its last (or first) row, handed to the neighbouring slice.
         edges = df.groupBy(*self._group()).agg(edge(packed, F.col(self.order)).alias(_OWN))
         across = Window.partitionBy(*self.keys).orderBy(SLICE)
@@ -100,8 +73,6 @@ class KeyOrder:
         last = Window.currentRow if include_current else -1
         window = self._window().rowsBetween(Window.unboundedPreceding, last)
         local = df.withColumn(name, F.max(value).over(window))
-        if not self.sliced:
-            return local
         edges = df.groupBy(*self._group()).agg(F.max(value).alias(_OWN))
         across = (
             Window.partitionBy(*self.keys)
@@ -117,8 +88,6 @@ class KeyOrder:
 
     def any_of_key(self, df: DataFrame, flag: Column, name: str) -> DataFrame:
         """Add whether any row of the key has the flag."""
-        if not self.sliced:
-            return df.withColumn(name, F.bool_or(flag).over(Window.partitionBy(*self.keys)))
         found = df.groupBy(*self.keys).agg(F.bool_or(flag).alias(name))
         return df.join(found, list(self.keys))
 
@@ -127,25 +96,12 @@ def per_key_order(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
+    slices: Column,
     step: Callable[[DataFrame, KeyOrder], DataFrame],
-    hot_rows: int,
-    hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Run ``step`` over the rows of each key in order; ``order`` is unique within a key."""
-    found = hot_keys(df, keys, hot_rows) if hot is None else hot
-    plain = KeyOrder(tuple(keys), order, sliced=False)
-    if found.keys is None:
-        return step(df, plain)
-    shared_folder(df.sparkSession)
-    names = list(keys)
-    # Slice numbers come from range bounds that Spark samples anew for each plan, so they are
-    # fixed once, in the shared checkpoint folder, before anything is joined on them.
-    hot_part = (
-        df.join(F.broadcast(found.keys), names, "left_semi")
-        .repartitionByRange(found.slices, *names, order)
-        .withColumn(SLICE, F.spark_partition_id())
-        .checkpoint()
-    )
-    cold_part = df.join(F.broadcast(found.keys), names, "left_anti")
-    sliced = KeyOrder(tuple(keys), order, sliced=True)
-    return step(cold_part, plain).unionByName(step(hot_part, sliced).drop(SLICE))
+    """Run ``step`` over the rows of each key in order.
+
+    ``order`` is unique within a key. ``slices`` must not fall where ``order`` rises, and must not be
+    null. Keys must not be null.
+    """
+    return step(df.withColumn(SLICE, slices), KeyOrder(tuple(keys), order)).drop(SLICE)

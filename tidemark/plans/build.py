@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.context import Context
 from tidemark.operators.incremental import replace_by_key
-from tidemark.operators.ordered import hot_keys
 from tidemark.plans import core, marts, staging
 
 # Read more than once further down, so written out and read back; the rest stays lazy.
@@ -75,20 +74,14 @@ def build(
         ("support_ticket", staging.stg_support_ticket_changes),
     ):
         out[f"stg_{table}_changes"] = model(cdc)
-    subscription_log = cdc.where(cdc["source_table"] == "subscriptions")
-    hot = hot_keys(
-        subscription_log.select(subscription_log["pk"].cast("bigint").alias("subscription_id")),
-        ["subscription_id"],
-        ctx.hot_rows,
-    )
     out["dim_subscription"] = layer.write(
-        "dim_subscription", core.dim_subscription(out["stg_subscription_changes"], ctx, hot)
+        "dim_subscription", core.dim_subscription(out["stg_subscription_changes"])
     )
     out["dim_date"] = core.dim_date(layer.spark, ctx)
     out["dim_account"] = core.dim_account(out["stg_account_changes"])
-    out["fct_subscription_daily"] = core.fct_subscription_daily(out["dim_subscription"], ctx, hot)
+    out["fct_subscription_daily"] = core.fct_subscription_daily(out["dim_subscription"], ctx)
     out["fct_invoices"] = core.fct_invoices(out["stg_invoice_changes"])
-    out["mart_revenue_mrr"] = marts.revenue_from_versions(out["dim_subscription"], ctx, hot)
+    out["mart_revenue_mrr"] = marts.revenue_from_versions(out["dim_subscription"], ctx)
     out["mart_activation_funnel"] = marts.mart_activation_funnel(
         out["dim_account"], activity, out["dim_subscription"]
     )

@@ -10,7 +10,6 @@ from tidemark.functions import changed, surrogate_key
 from tidemark.operators.changes import current_rows
 from tidemark.operators.history import flatten_intervals, scd2
 from tidemark.operators.incremental import affected_keys, lookback
-from tidemark.operators.ordered import HotKeys
 
 REQUIRED_FIELDS = {
     "dim_subscription": ("status", "plan_code", "seats", "mrr_cents", "effective_at"),
@@ -56,9 +55,7 @@ def dim_account(account_changes: DataFrame) -> DataFrame:
     )
 
 
-def dim_subscription(
-    subscription_changes: DataFrame, ctx: Context, hot: HotKeys | None = None
-) -> DataFrame:
+def dim_subscription(subscription_changes: DataFrame) -> DataFrame:
     """Type-2 history of subscriptions, one row per version."""
     versions = scd2(
         subscription_changes,
@@ -66,8 +63,6 @@ def dim_subscription(
         "source_lsn",
         "effective_at",
         TRACKED,
-        ctx.hot_rows,
-        hot,
     )
     return versions.select(
         surrogate_key("subscription_id", "source_lsn").alias("subscription_version_key"),
@@ -90,9 +85,7 @@ def dim_subscription(
     )
 
 
-def fct_subscription_daily(
-    dim_subscription: DataFrame, ctx: Context, hot: HotKeys | None = None
-) -> DataFrame:
+def fct_subscription_daily(dim_subscription: DataFrame, ctx: Context) -> DataFrame:
     """One row per day and subscription, with the state it ended that day in."""
     versions = dim_subscription.select(
         "subscription_id",
@@ -112,8 +105,6 @@ def fct_subscription_daily(
         "source_lsn",
         ctx.spine_start,
         ctx.spine_end,
-        ctx.hot_rows,
-        hot,
     )
     return daily.select(
         "date_day",

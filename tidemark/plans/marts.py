@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.context import Context
 from tidemark.functions import day_start
 from tidemark.operators.history import interval_deltas, winner_per_day, with_overlap_flag
-from tidemark.operators.ordered import HotKeys
 
 REQUIRED_FIELDS = {
     "mart_account_health": ("churn_score", "churn_band", "score_version", "reasons"),
@@ -45,9 +44,7 @@ def mart_revenue_mrr(subscription_daily: DataFrame) -> DataFrame:
     )
 
 
-def revenue_from_versions(
-    dim_subscription: DataFrame, ctx: Context, hot: HotKeys | None = None
-) -> DataFrame:
+def revenue_from_versions(dim_subscription: DataFrame, ctx: Context) -> DataFrame:
     """The same mart straight from versions, without a row per subscription and day.
 
     Every measure is a count or a sum, so a version only matters on the day it starts to count and
@@ -67,7 +64,7 @@ def revenue_from_versions(
         "source_lsn",
     )
     key, order = "subscription_id", "source_lsn"
-    flagged = with_overlap_flag(versions, key, order, ctx.hot_rows, hot, "_clash")
+    flagged = with_overlap_flag(versions, key, order, "_clash")
     single_days = winner_per_day(
         flagged.where("_clash").drop("_clash"), key, order, ctx.spine_start, ctx.spine_end
     ).withColumns(

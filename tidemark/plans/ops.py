@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.context import Context
 from tidemark.functions import at
 from tidemark.operators.latest import first_per, latest_per
-from tidemark.operators.ordered import KeyOrder, hot_keys, per_key_order
+from tidemark.operators.ordered import KeyOrder, by_day, per_key_order
 from tidemark.sources.log import latest_attempts
 
 # Verdicts as numbers, an unknown one counting as failed.
@@ -342,18 +342,27 @@ def alert_readings(samples: DataFrame, rules: DataFrame) -> DataFrame:
     ).drop("_other", "by_labels")
 
 
-def alert_states(samples: DataFrame, rules: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
+#: A series without a sample for longer than this has ended; what comes later begins anew.
+STALE_SECONDS = 300
+
+
+def alert_states(
+    samples: DataFrame, rules: DataFrame, stale_seconds: int = STALE_SECONDS
+) -> DataFrame:
     """Every sample on which an alert's condition holds, since when, and whether it fires.
 
     ``samples`` are (ts, metric, labels, value), labels a map, one value per instant and labels. An
-    alert fires once its condition has held without a break for the rule's duration. An unbroken
-    stretch begins where the condition holds and did not before; the latest beginning so far,
-    carried forward along the series, is the stretch a sample belongs to.
+    alert fires once its condition has held without a break for the rule's duration. A stretch is
+    broken by a sample on which the condition does not hold, and by a gap of more than
+    ``stale_seconds`` between samples. The latest beginning of a stretch so far, carried forward
+    along the series, is the one a sample belongs to.
     """
+    stale = stale_seconds * 1_000_000
 
     def step(part: DataFrame, in_order: KeyOrder) -> DataFrame:
-        compared = in_order.previous(part, ["value"], "_last")
-        last = F.col("_last.value")
+        compared = in_order.previous(part, ["value", "ts"], "_last")
+        fresh = F.unix_micros("ts") - F.unix_micros("_last.ts") <= stale
+        last = F.when(fresh, F.col("_last.value"))
         # A counter that fell was reset, so what it shows now was added since.
         grew = (F.col("value") > last) | ((F.col("value") < last) & (F.col("value") > 0))
         grown = in_order.running_max(
@@ -368,13 +377,12 @@ def alert_states(samples: DataFrame, rules: DataFrame, hot_rows: int = 2_000_000
         ) & (F.col("guard").isNull() | (F.col("other_value") > 0))
         tested = grown.withColumn("_holds", F.coalesce(condition, F.lit(False)))
         linked = in_order.previous(tested, ["_holds"], "_was")
-        begins = F.col("_holds") & ~F.coalesce(F.col("_was._holds"), F.lit(False))
+        begins = F.col("_holds") & ~F.coalesce(fresh & F.col("_was._holds"), F.lit(False))
         begun = linked.withColumn("_begins", F.when(begins, F.col("ts")))
         return in_order.running_max(begun, F.col("_begins"), "since").where("_holds")
 
     keys = ["alert", "series"]
-    hot = hot_keys(rule_readings(samples, rules), keys, hot_rows)
-    states = per_key_order(alert_readings(samples, rules), keys, "ts", step, hot_rows, hot)
+    states = per_key_order(alert_readings(samples, rules), keys, "ts", by_day("ts"), step)
     held = F.unix_micros("ts") - F.unix_micros("since") >= F.col("held_seconds") * 1_000_000
     return states.select(
         "alert", "severity", "series", "labels", "ts", "value", "since", held.alias("firing")

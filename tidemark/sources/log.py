@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.context import Context
 from tidemark.operators.latest import latest_per
-from tidemark.operators.ordered import KeyOrder, per_key_order
+from tidemark.operators.ordered import KeyOrder, by_position, per_key_order
 
 SLOT = ["topic", "partition"]
 
@@ -145,7 +145,7 @@ def assert_retained(claims: DataFrame, bounds: DataFrame) -> None:
         )
 
 
-def ledger_gaps(ledger: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
+def ledger_gaps(ledger: DataFrame) -> DataFrame:
     """Entries that do not begin where the entry before them in their topic partition ends."""
     entries = latest_attempts(ledger).withColumn(
         "_at", F.struct("start_offset", "end_offset", "ledger_id")
@@ -156,5 +156,6 @@ def ledger_gaps(ledger: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
             F.col("_prior.end_offset") != F.col("start_offset")
         )
 
-    found = per_key_order(entries, ["topic", "partition_id"], "_at", step, hot_rows)
+    slices = by_position("start_offset")
+    found = per_key_order(entries, ["topic", "partition_id"], "_at", slices, step)
     return found.withColumn("previous_end", F.col("_prior.end_offset")).drop("_prior", "_at")
