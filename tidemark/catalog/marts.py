@@ -115,15 +115,13 @@ SQL_HEALTH = f"""WITH {SQL_EVENTS}, {SQL_ACCOUNT_CHANGES}, {SQL_STAGED}, {SQL_AC
 @query(SQL_MRR, days="date_day")
 def mart_revenue_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue straight from versions, as a build makes it."""
-    hot = core.hot_subscriptions(spark, sf_dir)
-    return marts.revenue_from_versions(core.subscriptions(spark, sf_dir, hot), CTX, hot)
+    return marts.revenue_from_versions(core.subscriptions(spark, sf_dir), CTX)
 
 
 @query(SQL_MRR, days="date_day")
 def revenue_from_daily_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same mart through the daily fact."""
-    hot = core.hot_subscriptions(spark, sf_dir)
-    daily = core_plans.fct_subscription_daily(core.subscriptions(spark, sf_dir, hot), CTX, hot)
+    daily = core_plans.fct_subscription_daily(core.subscriptions(spark, sf_dir), CTX)
     return marts.mart_revenue_mrr(daily)
 
 
