@@ -228,6 +228,21 @@ def test_duplicates_and_freshness(spark, ctx):
     assert found == {"raw_cdc": "pass", "staging": "fail", "marts": "fail"}
 
 
+def test_a_layer_that_cannot_be_read_fails_alone(spark, ctx, folder):
+    slo = spark.createDataFrame(list(checks.FRESHNESS_SLO), checks.SLO_SCHEMA)
+    layers = {
+        "raw_cdc": spark.createDataFrame([(utc(2026, 3, 10, 11, 55),)], "t TIMESTAMP"),
+        "marts": lambda: spark.read.parquet(f"{folder}/missing"),
+    }
+    verdicts = checks.freshness(layers, slo, ctx)
+    found = {r["target"]: r for r in verdicts.collect()}
+    assert (found["raw_cdc"]["status"], found["marts"]["status"]) == ("pass", "fail")
+    assert "missing" in found["marts"]["details"]
+    checks.append_results(verdicts, f"{folder}/history")
+    checks.append_results(verdicts, f"{folder}/history")
+    assert spark.read.parquet(f"{folder}/history").count() == 4
+
+
 def test_reconciliation_is_silent_without_snapshot_or_in_a_gap(spark):
     dim = spark.createDataFrame(
         [(1, "active", 5, "pro", utc(2026, 1, 1), utc(2026, 2, 1)),

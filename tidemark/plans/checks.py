@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.context import Context
@@ -347,20 +348,37 @@ def reverse_etl_health(sync_state: DataFrame, limit: float = SYNC_ERROR_RATE_LIM
     )
 
 
-def layer_clocks(layers: dict[str, DataFrame]) -> DataFrame:
-    """Newest instant per layer, each a one-row maximum of the frame's only column."""
-    rows = [
-        df.agg(F.max(F.col(df.columns[0])).cast("timestamp").alias("latest")).select(
-            F.lit(name).alias("layer"), "latest"
+Layer = DataFrame | Callable[[], DataFrame]
+
+
+def _clock(name: str, layer: Layer) -> DataFrame:
+    try:
+        df = layer() if callable(layer) else layer
+        newest = F.max(F.col(df.columns[0])).cast("timestamp").alias("latest")
+        return df.agg(newest).select(
+            F.lit(name).alias("layer"), "latest", F.lit(None).cast("string").alias("unreadable")
         )
-        for name, df in layers.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    except AnalysisException as error:
+        # One layer that is gone must not take the verdicts on all others with it.
+        return SparkSession.active().range(1).select(
+            F.lit(name).alias("layer"),
+            F.lit(None).cast("timestamp").alias("latest"),
+            F.lit(str(error).split("\n")[0]).alias("unreadable"),
+        )
+
 
+def layer_clocks(layers: dict[str, Layer]) -> DataFrame:
+    """Newest instant per layer, each a one-row maximum of the frame's only column.
 
-def freshness(layers: dict[str, DataFrame], slo: DataFrame, ctx: Context) -> DataFrame:
-    """Age of each layer against its target. A layer without data fails; one without a target
-    is not judged."""
+    A layer may be a function that reads it; if that fails because the table is not there or not as
+    expected, the layer has no instant and says why.
+    """
+    return reduce(DataFrame.unionByName, [_clock(name, df) for name, df in layers.items()])
+
+
+def freshness(layers: dict[str, Layer], slo: DataFrame, ctx: Context) -> DataFrame:
+    """Age of each layer against its target. A layer without data, or one that cannot be read, fails;
+    one without a target is not judged."""
     aged = layer_clocks(layers).join(slo.select("layer", "target_seconds"), "layer")
     age = (F.unix_micros(at(ctx.now)) - F.unix_micros("latest")) / F.lit(1e6)
     empty = F.col("latest").isNull()
@@ -372,13 +390,13 @@ def freshness(layers: dict[str, DataFrame], slo: DataFrame, ctx: Context) -> Dat
         age,
         F.col("target_seconds"),
         F.struct(
-            F.when(empty, F.lit("no data in this layer")).alias("reason"),
+            F.coalesce("unreadable", F.when(empty, F.lit("no data in this layer"))).alias("reason"),
             F.date_format("latest", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("latest"),
         ),
     )
 
 
-def source_freshness(sources: dict[str, DataFrame], ctx: Context) -> DataFrame:
+def source_freshness(sources: dict[str, Layer], ctx: Context) -> DataFrame:
     """Age of each raw table against the ages at which it warns and errors."""
     limits = {name: (warn, error) for name, warn, error in SOURCE_FRESHNESS}
     clocks = layer_clocks({name: df for name, df in sources.items() if name in limits})
@@ -431,3 +449,8 @@ def run_checks(tables: dict[str, DataFrame], slo: DataFrame, ctx: Context) -> Da
         freshness(layers, slo, ctx),
     ]
     return reduce(DataFrame.unionByName, verdicts).select(at(ctx.now).alias("checked_at"), "*")
+
+
+def append_results(results: DataFrame, folder: str) -> None:
+    """Add one run's verdicts or findings to their history, and leave what is there as it is."""
+    results.write.mode("append").parquet(folder)
