@@ -133,6 +133,32 @@ def test_backfill_drains_in_batches_and_sorts(spark, folder, ctx):
     assert all(times == sorted(times) for times in per_file.values())
 
 
+def test_overlapping_claims_are_refused_at_commit(spark, folder, ctx):
+    warehouse, log = Warehouse(spark, folder), messages(spark, 0, 6, partitions=1)
+    first = run_load(warehouse, log, PRODUCT_EVENTS, TOPIC, "r1", ctx, max_records=4)
+    late = first.withColumns({"dag_run_id": F.lit("r2"), "start_offset": F.lit(3).cast("bigint")})
+    with pytest.raises(load.ClaimConflict):
+        warehouse.commit(late)
+    next_to = first.withColumns(
+        {
+            "dag_run_id": F.lit("r3"),
+            "start_offset": F.lit(4).cast("bigint"),
+            "end_offset": F.lit(6).cast("bigint"),
+        }
+    )
+    warehouse.commit(next_to)
+    assert warehouse.ledger().select("dag_run_id").distinct().count() == 2
+
+
+def test_folders_are_by_load_date_alone(spark, folder, ctx):
+    warehouse, log = Warehouse(spark, folder), messages(spark, 0, 6, bad=(2,))
+    for k in range(3):
+        run_load(warehouse, log, PRODUCT_EVENTS, TOPIC, f"r{k}", ctx, max_records=2)
+    path = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+    found = warehouse.landing(PRODUCT_EVENTS).select(path.alias("path")).distinct().collect()
+    assert [r["path"].split("/")[-1] for r in found] == ["loaded_date=2026-03-10"]
+
+
 def test_unknown_accounts_survive_erasure(spark):
     rows = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "account_id BIGINT, x STRING")
     gone = spark.createDataFrame([(1,)], "account_id BIGINT")

@@ -48,6 +48,13 @@ from tidemark.sources.log import (
 LIVE_MAX_RECORDS = 50_000
 BACKFILL_MAX_RECORDS = 200_000
 
+SLOT_IN_LEDGER = ("topic", "partition_id")
+
+
+class ClaimConflict(RuntimeError):
+    """Another run has committed some of the same records."""
+
+
 LEDGER_SCHEMA = (
     "ledger_id BIGINT, dag_run_id STRING, topic STRING, partition_id SMALLINT, "
     "start_offset BIGINT, end_offset BIGINT, loaded_date DATE, row_count BIGINT, "
@@ -270,17 +277,44 @@ class Warehouse:
         )
 
     def land(self, rows: DataFrame, target: LoadTarget, batch: str) -> DataFrame:
-        """Write one batch and return it as read back from its files."""
+        """Write one batch and return it as read back from its files.
+
+        Folders are by load date alone, so that a year of small batches is a year of folders to
+        list. A file belongs to one batch, and readers skip others by the files' own statistics.
+        """
         (
             rows.withColumn("batch", F.lit(batch))
             .write.mode("append")
-            .partitionBy("loaded_date", "batch", "disposition")
+            .partitionBy("loaded_date")
             .parquet(f"{self.root}/landing/{target.name}")
         )
         return self.landing(target).where(F.col("batch") == batch)
 
     def commit(self, entries: DataFrame) -> None:
-        """Append ledger entries, one row per claimed range, as one file."""
+        """Append ledger entries, one row per claimed range, as one file.
+
+        Two runs that claimed the same records must not both count: entries that overlap those of
+        another run are refused, and the rows landed for them stay invisible.
+        """
+        own = entries.select(*SLOT_IN_LEDGER, "dag_run_id", "start_offset", "end_offset")
+        others = latest_attempts(self.ledger()).select(
+            *SLOT_IN_LEDGER,
+            F.col("dag_run_id").alias("_run"),
+            F.col("start_offset").alias("_start"),
+            F.col("end_offset").alias("_end"),
+        )
+        clash = (
+            own.join(others, list(SLOT_IN_LEDGER))
+            .where(F.col("dag_run_id") != F.col("_run"))
+            .where((F.col("start_offset") < F.col("_end")) & (F.col("_start") < F.col("end_offset")))
+            .take(1)
+        )
+        if clash:
+            row = clash[0]
+            raise ClaimConflict(
+                f"{row['topic']}/{row['partition_id']}: {row['_run']} has committed offsets "
+                f"{row['_start']} to {row['_end']} already"
+            )
         entries.coalesce(1).write.mode("append").parquet(f"{self.root}/load_ledger")
 
 
