@@ -271,13 +271,14 @@ def fit(
     vocabulary: int = 1024,
     hidden: int = 16,
     rounds: int = 4,
-    share: float = 0.25,
-    lanes: int = 128,
+    share: float = 1.0,
+    lanes: int = 256,
 ) -> Model:
     """Corpus figures and a recurrent model from ``training`` (row, text) and its word counts.
 
-    The weights see ``share`` of the training rows, ``rounds`` disjoint parts of it one after the
-    other, at every size of the corpus; counts and totals are over all of it.
+    The training rows are cut into ``rounds`` disjoint parts, seen one after the other. ``share``
+    below one leaves rows out of the fit, at every size alike; counts and totals are always over all
+    of them.
     """
     spark = training.sparkSession
     model = _corpus_model(counted, vocabulary, hidden)
