@@ -316,7 +316,7 @@ def _open_pairs(postings: DataFrame, comps: DataFrame, percent: int) -> DataFram
     placed = written(
         postings.join(comps, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
-        .select("token", "node", "n", "pos", "component")
+        .select("token", "leader", "node", "n", "pos", "component")
     )
     sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = (
@@ -326,10 +326,12 @@ def _open_pairs(postings: DataFrame, comps: DataFrame, percent: int) -> DataFram
         .select("token", "largest")
     )
     held = placed.join(mixed, "token")
-    few = held.where(F.col("component") != F.col("largest")).select(
+    # What a token's leader has in common with the rest of the group has been tested already.
+    led = held.where(F.col("node") != F.col("leader"))
+    few = led.where(F.col("component") != F.col("largest")).select(
         "token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component")]
     )
-    many = held.select(
+    many = led.select(
         "token", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "component")]
     )
     # The first shared token in the order leaves at most this many for the overlap.
