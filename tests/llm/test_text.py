@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.llm import gru, secret_crf
+from tidemark.llm import gru, lm_scoring, secret_crf
 from tidemark.llm.decision_list import Condition, describe, judged, learn, learned, statistics
 from tidemark.llm.language_id import identify
 from tidemark.llm.lm_scoring import lm_scores
@@ -270,3 +270,15 @@ def test_lm_scores(table, words):
     bare = lm_scores(table(rows[:3]), F.lit(False), vocabulary=64).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in bare)
     assert lm_scores(table(rows).where("false"), F.lit(True), vocabulary=64).count() == 0
+
+
+def test_all_training_rows_reach_the_recurrent_model(table, words):
+    rows = [(k, " ".join(words(20))) for k in range(60)]
+    docs = table(rows)
+    learned = docs.select(F.col("doc_id").alias("row"), "text")
+    counted = lm_scoring.count_words(learned, "text")
+    # In one round, leaving out any document changes the weights that all of them give.
+    default = lm_scoring.fit(learned, counted, rounds=1).weights.flat()
+    whole = lm_scoring.fit(learned, counted, rounds=1, share=1.0).weights.flat()
+    quarter = lm_scoring.fit(learned, counted, rounds=1, share=0.25).weights.flat()
+    assert np.allclose(default, whole, atol=1e-5) and not np.allclose(default, quarter, atol=1e-3)

@@ -271,7 +271,7 @@ def fit(
     vocabulary: int = 1024,
     hidden: int = 16,
     rounds: int = 4,
-    share: float = 0.25,
+    share: float = 1.0,
     lanes: int = 256,
 ) -> Model:
     """Corpus figures and a recurrent model from ``training`` (row, text) and its word counts.
