@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,29 @@ def test_no_source_is_a_block_ahead_or_behind():
         pfair.parts_of({str(k): 1 for k in range(9)}, 8)
 
 
+@pytest.mark.parametrize(
+    "weights", [{"hot": 0.5} | {f"s{k}": 0.5 / 9 for k in range(9)}, {"hot": 7.3} | {f"s{k}": 0.37 for k in range(19)}]
+)
+def test_deviation_from_the_weights_does_not_grow(weights):
+    whole, total = pfair.whole(weights), sum(Fraction(w) for w in weights.values())
+    assert all(Fraction(n, sum(whole.values())) == Fraction(weights[k]) / total for k, n in whole.items())
+    slots = 30_000
+    found = pfair.timetable(whole, {k: int(slots * Fraction(w) / total) + 2 for k, w in weights.items()})
+    for k, n in whole.items():
+        seen = np.searchsorted(found[k], np.arange(slots), side="right").tolist()
+        size = sum(whole.values())
+        assert all(abs(have * size - slot * n) < size for slot, have in enumerate(seen, 1))
+
+
+def test_mixture_keeps_to_the_given_weights(table):
+    rows = [(k, "x" * 9, None, f"s{k % 12}" if k % 2 else "hot") for k in range(2400)]
+    weights = {"hot": 0.5} | {f"s{k}": 0.1 for k in range(1, 12, 2)}
+    found = pfair.mixed(table(rows), weights, block_chars=20, period=20)
+    hot = sorted(r.slot for r in found.where("source = 'hot'").select("slot").distinct().collect())
+    share = 0.5 / 1.1
+    assert all(abs(n - share * slot) < 1 for n, slot in enumerate(hot))
+
+
 def mixed_rows(words):
     rng = random.Random(6)
     sources = ["big"] * 6 + ["a", "b", None]

@@ -6,23 +6,29 @@ slot ``ceil(j / w)``; in every slot the released block with the earliest deadlin
 weights that sum to one no deadline is missed, so a source is at every moment less than one block
 ahead of or behind its share.
 
-With weights that are whole parts of a period the schedule repeats after each period: every source is
-exactly on target there. So one period is scheduled on the driver, of a fixed number of slots that
-does not depend on the data, and a block's slot is looked up from its number: frame and place within
-the frame. Blocks come from running sums in two steps, so no task holds a source.
+Releases and deadlines are whole numbers computed from the exact weights, so nothing drifts however
+long the schedule is. The driver holds a number per block and a name per source, and sorts blocks
+only: slots of sources that have run out are stepped over, not listed. Blocks come from running sums
+in two steps, so no task holds a source.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import written
 
+#: Slots whose rows are summed together when positions are numbered.
 PERIOD = 1000
+#: Blocks due beyond this slot have none, and their rows follow behind the schedule.
+LAST_SLOT = 1 << 61
 BLOCK_CHARS = 1 << 20
 #: Rows of a source that one running sum orders, about.
 CHUNK_ROWS = 20_000
@@ -46,25 +52,48 @@ def parts_of(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, in
     return parts
 
 
-def schedule(parts: Mapping[str, int]) -> list[tuple[str, int]]:
-    """(source, its block within the period) for each slot of one period, earliest deadline first."""
-    period = sum(parts.values())
-    later = [(0, -(-period // n), k, 1) for k, n in sorted(parts.items())]
-    heapq.heapify(later)
-    ready: list[tuple[int, str, int]] = []
-    slots = []
-    for slot in range(period):
+def whole(weights: Mapping[str, float]) -> dict[str, int]:
+    """Weights above zero as whole numbers in exactly the same proportions, by name."""
+    ratios = {k: w.as_integer_ratio() for k, w in sorted(weights.items()) if w > 0}
+    common = lcm(*{below for _, below in ratios.values()})
+    return {k: above * (common // below) for k, (above, below) in ratios.items()}
+
+
+def timetable(weights: Mapping[str, int], counts: Mapping[str, int]) -> dict[str, np.ndarray]:
+    """The slots of the first ``counts`` blocks of each source, earliest deadline first.
+
+    Of two blocks due at the same slot the one whose source comes first in ``weights`` goes first.
+    """
+    total = sum(weights.values())
+    names, parts = list(weights), list(weights.values())
+    slots = [np.full(counts[k], -1, np.int64) for k in names]
+    later = [(0, k) for k in range(len(names)) if len(slots[k])]
+    done = [0] * len(names)
+    ready: list[tuple[int, int]] = []
+    slot = 0
+    while later or ready:
+        if not ready:
+            slot = max(slot, later[0][0])
         while later and later[0][0] <= slot:
-            _, due, k, j = heapq.heappop(later)
-            heapq.heappush(ready, (due, k, j))
-        due, k, j = heapq.heappop(ready)
+            k = heapq.heappop(later)[1]
+            heapq.heappush(ready, (-(-(done[k] + 1) * total // parts[k]), k))
+        due, k = heapq.heappop(ready)
         if due <= slot:
-            raise AssertionError(f"block {j} of {k} misses its deadline {due}")
-        slots.append((k, j - 1))
-        n = parts[k]
-        if j < n:
-            heapq.heappush(later, (j * period // n, -(-(j + 1) * period // n), k, j + 1))
-    return slots
+            raise AssertionError(f"block {done[k]} of {names[k]} misses its deadline {due}")
+        if due > LAST_SLOT:
+            continue
+        slots[k][done[k]] = slot
+        done[k] += 1
+        slot += 1
+        if done[k] < len(slots[k]):
+            heapq.heappush(later, (done[k] * total // parts[k], k))
+    return dict(zip(names, slots, strict=True))
+
+
+def schedule(parts: Mapping[str, int]) -> list[tuple[str, int]]:
+    """(source, its block within the period) for each slot of one period, earliest deadline first."""
+    found = timetable(dict(sorted(parts.items())), parts)
+    return [(k, j) for _, k, j in sorted((t, k, j) for k in parts for j, t in enumerate(found[k].tolist()))]
 
 
 def _running(df: DataFrame, group: str, order: list[str], size: str, chunks: int, name: str):
@@ -89,18 +118,14 @@ def _running(df: DataFrame, group: str, order: list[str], size: str, chunks: int
     )
 
 
-def _slot_table(df: DataFrame, slots: list[tuple[str, int]], parts: Mapping[str, int]) -> DataFrame:
-    """One row per slot of the period, as a literal."""
-    rows = [
-        F.struct(
-            F.lit(k).alias("_source"),
-            F.lit(j).cast("long").alias("_place"),
-            F.lit(slot).cast("long").alias("_slot"),
-            F.lit(parts[k]).cast("long").alias("_parts"),
-        )
-        for slot, (k, j) in enumerate(slots)
-    ]
-    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+def _slot_table(df: DataFrame, slots: Mapping[str, np.ndarray]) -> DataFrame:
+    """One row per block that has a slot."""
+    sizes = [len(x) for x in slots.values()]
+    place = np.arange(sum(sizes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    names = pa.array(list(slots), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+    flat = np.concatenate(list(slots.values()))
+    table = pa.table({"_source": names, "_place": pa.array(place), "slot": pa.array(flat)})
+    return df.sparkSession.createDataFrame(table).where("slot >= 0")
 
 
 def default_weights(sizes: Mapping[str, int], exponent: float = 0.5) -> dict[str, float]:
@@ -128,8 +153,9 @@ def mixed(
     ``on_target`` is true before the first source runs out, while the weights hold.
 
     Without ``weights`` a source's weight is the square root of its size. Sources that are not in
-    ``weights``, or have no weight, follow behind the schedule. Null counts as the source "". More
-    sources than the period has slots are refused. Null ids and texts and repeated rows are placed
+    ``weights``, or have no weight, follow behind the schedule, and so do blocks due beyond slot
+    2 ** 61. Null counts as the source "". More than ``period`` sources are refused. ``period`` slots are
+    summed together when positions are numbered. Null ids and texts and repeated rows are placed
     like any other (rows equal in id and text in any order); an empty table gives no rows.
     """
     key = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.col(text_col))))
@@ -145,65 +171,54 @@ def mixed(
         )
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    if weights is None:
-        found = {r["source"]: r["size"] for r in totals.limit(period + 1).collect()}
-        weights = default_weights(found)
-    parts = parts_of(weights, period)
+    listed = totals.select("source", "size").toArrow()
+    found = dict(zip(listed["source"].to_pylist(), listed["size"].to_pylist(), strict=True))
+    exact = whole(default_weights(found) if weights is None else weights)
+    if len(exact) > period:
+        raise ValueError(f"{len(exact)} sources are more than {period}")
     n_rows = totals.agg(F.sum("n")).first()[0] or 0
     chunks = max(1, n_rows // CHUNK_ROWS)
     order = ["draw", "key", "row"]
     slim = rows.select("row", "source", "size", "draw", "key")
     begun = _running(slim, "source", order, "size", chunks, "begin")
     blocks = begun.withColumn("block", F.floor(F.col("begin") / block_chars)).drop("begin")
-    if parts:
-        table = _slot_table(docs, schedule(parts), parts)
-        per_source = table.groupBy("_source").agg(F.first("_parts").alias("_parts"))
-        in_frame = (
-            blocks.join(per_source, F.col("source") == F.col("_source"), "left")
-            .drop("_source")
-            .withColumn("place", F.col("block") % F.col("_parts"))
-            .withColumn("frame", F.floor(F.col("block") / F.col("_parts")))
-            .join(
-                table.drop("_parts"),
-                (F.col("source") == F.col("_source")) & (F.col("place") == F.col("_place")),
-                "left",
-            )
+    # One block more than a source can have: from its slot on the source has run out.
+    slots = timetable(exact, {k: -(-found.get(k, 0) // block_chars) + 1 for k in exact})
+    if slots:
+        in_slots = blocks.join(
+            _slot_table(docs, slots),
+            (F.col("source") == F.col("_source")) & (F.col("block") == F.col("_place")),
+            "left",
         )
-        slot = F.col("frame") * sum(parts.values()) + F.col("_slot")
     else:
-        in_frame, slot = blocks, F.lit(None).cast("long")
-    placed = written(
-        in_frame.select("row", "source", "block", slot.alias("slot"), "draw", "key")
-    )
+        in_slots = blocks.withColumn("slot", F.lit(None).cast("long"))
+    placed = written(in_slots.select("row", "source", "block", "slot", "draw", "key"))
     # A source runs out with its last block; from the slot its next one would have, weights fail.
     used = placed.where("slot IS NOT NULL").groupBy("source").agg(F.max("block").alias("last"))
-    horizon = _horizon(used, parts)
-    found = _positions(placed).withColumn(
+    horizon = _horizon(used, slots)
+    found = _positions(placed, period).withColumn(
         "on_target", F.coalesce(F.col("slot") < F.lit(horizon), F.lit(False))
     )
     return rows.select("row", "doc_id", *keep).join(found, "row").drop("row")
 
 
-def _horizon(used: DataFrame, parts: Mapping[str, int]) -> int:
+def _horizon(used: DataFrame, slots: Mapping[str, np.ndarray]) -> int:
     """The first slot whose block does not exist. At most one row per source of the schedule."""
-    if not parts:
-        return 0
-    place = {(k, j): slot for slot, (k, j) in enumerate(schedule(parts))}
-    last = {r["source"]: r["last"] for r in used.collect()}
-    period = sum(parts.values())
-    nexts = {k: last.get(k, -1) + 1 for k in parts}
-    return min(nexts[k] // n * period + place[k, nexts[k] % n] for k, n in parts.items())
+    ends = used.toArrow()
+    last = dict(zip(ends["source"].to_pylist(), ends["last"].to_pylist(), strict=True))
+    nexts = (int(of[last.get(k, -1) + 1]) for k, of in slots.items())
+    return min((slot for slot in nexts if slot >= 0), default=LAST_SLOT if slots else 0)
 
 
-def _positions(placed: DataFrame) -> DataFrame:
-    """Numbers rows by slot, then by source and draw: sums per slot, per thousand slots, over all."""
+def _positions(placed: DataFrame, period: int) -> DataFrame:
+    """Numbers rows by slot, then by source and draw: sums per slot, per period, over all."""
     behind = F.lit((1 << 62) - 1)
     bucket = F.coalesce(F.col("slot"), behind)
     # Rows behind the schedule, and many small rows in one block, are spread by source and draw.
     spread = placed.withColumns(
         {
             "_bucket": bucket,
-            "_wide": F.floor(bucket / 1000),
+            "_wide": F.floor(bucket / period),
             "_part": F.when(F.col("slot").isNull(), F.shiftright("draw", 16)).otherwise(F.lit(0)),
         }
     )
