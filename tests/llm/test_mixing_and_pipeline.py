@@ -56,6 +56,13 @@ def test_mixture_keeps_to_the_given_weights(table):
     assert all(abs(n - share * slot) < 1 for n, slot in enumerate(hot))
 
 
+def test_more_sources_than_a_period_has_slots(table):
+    rows = [(k, "x" * 30, None, f"host{k % 1500}" if k % 3 else "hot") for k in range(3000)]
+    found = pfair.mixed(table(rows), block_chars=40).collect()
+    assert sorted(r.position for r in found) == list(range(3000))
+    assert len({(r.source, r.block) for r in found}) == len({r.slot for r in found})
+
+
 def mixed_rows(words):
     rng = random.Random(6)
     sources = ["big"] * 6 + ["a", "b", None]

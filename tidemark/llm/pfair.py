@@ -154,7 +154,7 @@ def mixed(
 
     Without ``weights`` a source's weight is the square root of its size. Sources that are not in
     ``weights``, or have no weight, follow behind the schedule, and so do blocks due beyond slot
-    2 ** 61. Null counts as the source "". More than ``period`` sources are refused. ``period`` slots are
+    2 ** 61. Null counts as the source "". Any number of sources is placed. ``period`` slots are
     summed together when positions are numbered. Null ids and texts and repeated rows are placed
     like any other (rows equal in id and text in any order); an empty table gives no rows.
     """
@@ -174,8 +174,6 @@ def mixed(
     listed = totals.select("source", "size").toArrow()
     found = dict(zip(listed["source"].to_pylist(), listed["size"].to_pylist(), strict=True))
     exact = whole(default_weights(found) if weights is None else weights)
-    if len(exact) > period:
-        raise ValueError(f"{len(exact)} sources are more than {period}")
     n_rows = totals.agg(F.sum("n")).first()[0] or 0
     chunks = max(1, n_rows // CHUNK_ROWS)
     order = ["draw", "key", "row"]
