@@ -175,6 +175,19 @@ def test_field_finds_secrets_it_was_not_shown(words):
     assert hit >= 5 * missed and hit >= 9 * extra and hit > 20
 
 
+def test_windows_come_from_the_whole_table(table, words):
+    rows = [(k, " ".join(words(30))) for k in range(400)] + [(400 + k, " ".join(words(6))) for k in range(5)]
+    rows += [(500 + k, " ".join([*words(12), f"password='{'Zx9' * 4}'", *words(12)])) for k in range(3)]
+    rows += [(600, "token: abcdefghij klm")]
+    docs = table(rows).coalesce(1).select("text", "doc_id")
+    taken = secret_crf.drawn(docs, 40, 10)
+    assert len(taken) == 40 and sum(t.any() for _, t, _ in taken) >= 4
+    assert min(len(t) for _, t, _ in taken) < 21
+    other = secret_crf.drawn(docs.repartition(7), 40, 10)
+    assert all((f == g).all() and (t == u).all() for (f, t, _), (g, u, _) in zip(taken, other, strict=True))
+    assert math.isclose(sum(w for *_, w in taken), 409 + 4)
+
+
 def test_decoding_and_expectations_are_exact():
     rng = np.random.default_rng(3)
     for _ in range(30):

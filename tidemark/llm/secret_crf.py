@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytescan import Chunk, chunks, longs
-from tidemark.llm.shared import small_batches
+from tidemark.llm.bytescan import Chunk, chunks, longs, mix
+from tidemark.llm.shared import small_batches, written
 
 ASSIGN = re.compile(
     rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -181,29 +181,96 @@ def _labels(tokens: Tokens, chunk: Chunk, d: int, spans) -> np.ndarray:
     return tags
 
 
-def _windows(reach: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of 2 * reach + 1 tokens: around each value found, and one more per document."""
+def _windows(
+    reach: int, batches: Iterator[pa.RecordBatch], bound: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Windows of 2 * reach + 1 tokens, or a whole shorter document: around each value found, and
+    one more per document.
+
+    With a ``bound`` so many of each kind are held at most, those with the smallest hash of the
+    row's ``draw`` and the place in it. ``n`` sums to the windows of a kind before the bound.
+    """
     wide = 2 * reach + 1
+    held: dict[bool, list] = {True: [], False: []}
+    seen = {True: 0, False: 0}
+    cut = dict.fromkeys(held, 1 << 63)
     for batch in batches:
-        rows, tags = [], []
+        named = "draw" in batch.schema.names
+        draws = batch.column("draw").to_numpy() if named else np.zeros(batch.num_rows, np.int64)
+        draws = draws.astype(np.int64).view(np.uint64)
         for chunk in chunks(batch.column(0)):
             tokens = _tokens(chunk)
             for d, spans in enumerate(_chunk_spans(chunk)):
                 a, b = int(tokens.bounds[d]), int(tokens.bounds[d + 1])
-                if b - a < wide:
+                if b == a:
                     continue
                 own = _labels(tokens, chunk, d, spans)
                 # The place of the extra window follows from the text alone.
                 spot = int(tokens.features[a:b, 0].sum()) % (b - a)
-                for centre in [*np.flatnonzero(own == BEGIN), spot]:
-                    first = min(max(int(centre) - reach, 0), b - a - wide)
-                    rows.append(tokens.features[a + first : a + first + wide].ravel())
-                    tags.append(own[first : first + wide].astype(np.int32))
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))],
-                ["features", "tags"],
-            )
+                centres = np.append(np.flatnonzero(own == BEGIN), spot)
+                salted = draws[chunk.first + d] ^ mix(np.arange(1, len(centres) + 1).astype(np.uint64))
+                for centre, draw in zip(centres.tolist(), (mix(salted) >> np.uint64(1)).tolist(), strict=True):
+                    secret = bool(own[centre] == BEGIN)
+                    seen[secret] += 1
+                    if draw > cut[secret]:
+                        continue
+                    first = max(min(max(centre - reach, 0), b - a - wide), 0)
+                    part = tokens.features[a + first : min(a + first + wide, b)].ravel()
+                    held[secret].append((draw, part, own[first : first + wide].astype(np.int32)))
+                    if bound is not None and len(held[secret]) >= 2 * bound:
+                        held[secret] = sorted(held[secret], key=lambda w: w[0])[:bound]
+                        cut[secret] = held[secret][-1][0]
+    for secret in held:
+        if bound is not None:
+            held[secret] = sorted(held[secret], key=lambda w: w[0])[:bound]
+    rows = [(secret, *w) for secret in held for w in held[secret]]
+    if rows:
+        counts = np.zeros(len(rows), np.int64)
+        for secret in held:
+            if held[secret]:
+                counts[0 if secret else len(held[True])] = seen[secret]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows], pa.bool_()),
+                pa.array([r[1] for r in rows], pa.int64()),
+                pa.array(counts),
+                pa.array([r[2] for r in rows], pa.list_(pa.int32())),
+                pa.array([r[3] for r in rows], pa.list_(pa.int32())),
+            ],
+            ["secret", "draw", "n", "features", "tags"],
+        )
+
+
+_WINDOW_FIELDS = "secret boolean, draw long, n long, features array<int>, tags array<int>"
+
+
+def drawn(source: DataFrame, max_windows: int, reach: int) -> list[tuple]:
+    """(features, tags, weight) of windows from all rows of ``source`` (text, doc_id), by hash.
+
+    Windows around a value get half of the places, and all that the others leave; the others fill
+    the rest. Weights restore the proportion of the two kinds in the whole table.
+    """
+    made = written(
+        source.select("text", F.xxhash64("doc_id", "text").alias("draw")).mapInArrow(
+            partial(_windows, reach, bound=max_windows), _WINDOW_FIELDS
+        )
+    )
+    seen = {r["secret"]: r["n"] for r in made.groupBy("secret").agg(F.sum("n").alias("n")).collect()}
+    secrets, others = (min(seen.get(k, 0), max_windows) for k in (True, False))
+    secrets = min(secrets, max(max_windows // 2, max_windows - others))
+    taken = []
+    for secret, n in ((True, secrets), (False, min(others, max_windows - secrets))):
+        if not n:
+            continue
+        # A little more than n windows are this low; the limit takes exactly n.
+        low = (1 << 63) * (n + n // 10 + 100) // seen[secret]
+        of_kind = made.where(F.col("secret") == secret)
+        of_kind = of_kind.where(F.col("draw") < low) if low < 1 << 63 else of_kind
+        got = of_kind.orderBy("draw", "tags", "features").limit(n).select("features", "tags").toArrow()
+        weight = seen[secret] / max(got.num_rows, 1)
+        for features, tags in zip(got["features"].to_pylist(), got["tags"].to_pylist(), strict=True):
+            taken.append((np.array(features).reshape(-1, N_KINDS), np.array(tags), weight))
+    return taken
 
 
 @dataclass
@@ -230,8 +297,10 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def _expectations(scores: np.ndarray, move: np.ndarray):
-    """Marginals of tags and of transitions, and the log of the partition, for equal chains."""
+def _expectations(scores: np.ndarray, move: np.ndarray, weights: np.ndarray | None = None):
+    """Marginals of tags and of transitions, and the log of the partition, for equal chains.
+
+    Transitions are summed over the chains, times ``weights``."""
     n, length, _ = scores.shape
     ahead = np.empty_like(scores)
     ahead[:, 0] = scores[:, 0]
@@ -245,32 +314,51 @@ def _expectations(scores: np.ndarray, move: np.ndarray):
     pairs = np.zeros((3, 3))
     for t in range(1, length):
         joint = ahead[:, t - 1][:, :, None] + move + (scores[:, t] + back[:, t])[:, None, :]
-        pairs += np.exp(joint - total[:, None, None]).sum(0)
+        found = np.exp(joint - total[:, None, None])
+        pairs += found.sum(0) if weights is None else np.tensordot(weights, found, 1)
     return tags, pairs, total
 
 
 def fit_field(features: np.ndarray, tags: np.ndarray, steps: int = 60, rate: float = 0.3) -> Field:
     """Weights of greatest regularised likelihood: features (n, length, kinds), tags (n, length)."""
+    return fit_groups([(features, tags, np.ones(len(features)))] if len(features) else [], steps, rate)
+
+
+def fit_windows(windows: list[tuple]) -> Field:
+    """The field of (features, tags, weight) windows of any length."""
+    by_length: dict[int, list] = {}
+    for window in windows:
+        by_length.setdefault(len(window[1]), []).append(window)
+    return fit_groups(
+        [tuple(map(np.array, zip(*group, strict=True))) for _, group in sorted(by_length.items())]
+    )
+
+
+def fit_groups(groups: list[tuple], steps: int = 60, rate: float = 0.3) -> Field:
+    """As ``fit_field``, over groups (features, tags, weights) of windows of equal length."""
     field = Field(np.zeros((N_FEATURES, 3)), np.zeros((3, 3)))
-    if not len(features):
-        return field
-    flat = features.reshape(-1, features.shape[-1])
-    truth = np.eye(3)[tags.ravel()]
+    size = sum(float(weights.sum()) for _, _, weights in groups)
     true_pairs = np.zeros((3, 3))
-    np.add.at(true_pairs, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
+    for _, tags, weights in groups:
+        to = (tags[:, :-1].ravel(), tags[:, 1:].ravel())
+        np.add.at(true_pairs, to, np.repeat(weights, tags.shape[1] - 1))
     seen = [np.full_like(field.emit, 1e-6), np.full_like(field.move, 1e-6)]
-    for _ in range(steps):
-        scores = field.emit[flat].sum(1).reshape(*features.shape[:2], 3)
-        marginals, pairs, _ = _expectations(scores, field.move)
-        error = truth - marginals.reshape(-1, 3)
-        grad = np.empty_like(field.emit)
-        for k in range(3):
-            weight = np.repeat(error[:, k], flat.shape[1])
-            grad[:, k] = np.bincount(flat.ravel(), weight, N_FEATURES)
+    for _ in range(steps if groups else 0):
+        grad, pairs = np.zeros_like(field.emit), np.zeros((3, 3))
+        for features, tags, weights in groups:
+            flat = features.reshape(-1, features.shape[-1])
+            scores = field.emit[flat].sum(1).reshape(*features.shape[:2], 3)
+            marginals, own_pairs, _ = _expectations(scores, field.move, weights)
+            pairs += own_pairs
+            error = (np.eye(3)[tags.ravel()] - marginals.reshape(-1, 3))
+            error *= np.repeat(weights, tags.shape[1])[:, None]
+            for k in range(3):
+                weight = np.repeat(error[:, k], flat.shape[1])
+                grad[:, k] += np.bincount(flat.ravel(), weight, N_FEATURES)
         for w, g, s in zip(
             (field.emit, field.move), (grad, true_pairs - pairs), seen, strict=True
         ):
-            g = g / len(features) - 1e-4 * w
+            g = g / size - 1e-4 * w
             s += g * g
             w += rate * g / np.sqrt(s)
     return field
@@ -379,7 +467,6 @@ def scan(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sample_docs: int = 20_000,
     max_windows: int = 6_000,
     reach: int = 10,
 ) -> DataFrame:
@@ -389,26 +476,15 @@ def scan(
     of kind ``crf`` are the field's, where it finds something that overlaps no pattern's match. A
     pattern's span is its whole match.
 
-    The field is fitted on at most ``max_windows`` windows out of about ``sample_docs`` documents,
-    chosen by a hash of id and text; with no secret among them it adds nothing. Null text is empty.
+    The field is fitted on at most ``max_windows`` windows, chosen from the whole table by a hash of
+    id and text, those around secrets first; with no secret in the table it adds nothing. Null text is empty.
     Null ids and repeated rows are scanned like any other, an empty table gives no rows.
     """
     spark = small_batches(docs.sparkSession)
     source = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
-    n = max(docs.count(), 1)
-    draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-    found = (
-        source.where(draw < sample_docs * (1 << 30) // n)
-        .select("text")
-        .mapInArrow(partial(_windows, reach), "features array<int>, tags array<int>")
-        .limit(max_windows)
-        .toArrow()
-    )
-    wide = 2 * reach + 1
-    tags = np.array(found["tags"].to_pylist(), np.int64).reshape(-1, wide)
-    features = np.array(found["features"].to_pylist(), np.int64).reshape(-1, wide, N_KINDS)
-    if tags.any():
-        field = fit_field(features, tags)
+    windows = drawn(source, max_windows, reach)
+    if any(tags.any() for _, tags, _ in windows):
+        field = fit_windows(windows)
     else:
         field = Field(np.zeros((N_FEATURES, 3)), np.zeros((3, 3)))
         field.emit[:, OUTSIDE] = 1.0
