@@ -8,6 +8,7 @@ import random
 import re
 from collections import Counter
 from itertools import product
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -295,3 +296,24 @@ def test_all_training_rows_reach_the_recurrent_model(table, words):
     whole = lm_scoring.fit(learned, counted, rounds=1, share=1.0).weights.flat()
     quarter = lm_scoring.fit(learned, counted, rounds=1, share=0.25).weights.flat()
     assert np.allclose(default, whole, atol=1e-5) and not np.allclose(default, quarter, atol=1e-3)
+
+
+def test_training_carries_state_through_long_documents(words):
+    counts = np.arange(9, 0, -1)
+    hashes = np.arange(1, 10).astype(np.uint64)
+    model = lm_scoring.Model(45, 9, hashes, counts, 64, gru.initial(64, 8, np.ones(64)))
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words(1100)), " ".join(words(7))])], ["text"])
+    (group,) = lm_scoring._groups(iter([batch]), lm_scoring.Lookup(hashes), model)
+    tokens, bounds = lm_scoring._flat(group)
+    assert list(np.diff(bounds)) == [1101, 8]
+    want = gru.train(model.weights, gru.Lanes.of(tokens, bounds, 4), model.end).flat()
+    (made,) = lm_scoring._fit(SimpleNamespace(value=model), 4, iter([batch]))
+    got = made.column("value").to_numpy() / made.column("weight").to_numpy()
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_vocabulary_holds_thousands_of_words(table):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(100)]
+    learned = table(rows).select(F.col("doc_id").alias("row"), "text")
+    model = lm_scoring.fit(learned, lm_scoring.count_words(learned, "text"), rounds=1)
+    assert model.known == 3001

@@ -261,13 +261,6 @@ def gradients(w: Weights, given, fresh, targets, h) -> tuple[Weights, np.ndarray
     return grads, last, float(found.sum())
 
 
-def pieces(bounds: np.ndarray, longest: int) -> np.ndarray:
-    """Bounds with further cuts, so that no piece is longer than ``longest``: for training only,
-    where long documents would leave most lanes idle."""
-    cuts = [np.arange(a, b, longest) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return np.concatenate([*cuts, bounds[-1:]])
-
-
 def train(w: Weights, lanes: Lanes, begin: int, steps: int = 16, rate: float = 0.05) -> Weights:
     """One pass over the lanes with a step per window, scaled by the gradients so far."""
     w = w.copy()
@@ -275,11 +268,14 @@ def train(w: Weights, lanes: Lanes, begin: int, steps: int = 16, rate: float = 0
     seen = [np.full_like(p, 1e-4) for p in w.parts()]
     for at in lanes.windows(steps):
         given, fresh = _given(lanes, at, begin)
-        grads, h, _ = gradients(
-            w, given, fresh, lanes.flat[at].astype(np.int64), h[: at.shape[1]]
-        )
-        for p, g, s in zip(w.parts(), grads.parts(), seen, strict=True):
-            g /= at.size
-            s += g * g
-            p += rate * g / np.sqrt(s)
+        targets = lanes.flat[at].astype(np.int64)
+        grads, h, _ = gradients(w, given, fresh, targets, h[: at.shape[1]])
+        # Rows without a gradient stay as they are: words not read, and classes not met.
+        kinds = np.flatnonzero(np.bincount(targets.ravel() // PER_CLASS))
+        inner = (kinds[:, None] * PER_CLASS + np.arange(PER_CLASS)).ravel()
+        touched = (np.flatnonzero(np.bincount(given.ravel())), slice(None), slice(None), inner)
+        for p, g, s, rows in zip(w.parts(), grads.parts(), seen, touched, strict=True):
+            g = g[rows] / at.size
+            s[rows] += g * g
+            p[rows] += rate * g / np.sqrt(s[rows])
     return w

@@ -193,7 +193,7 @@ def _fit(
     lookup, weights, seen = Lookup(model.words), model.weights, 0
     for group in _groups(batches, lookup, model):
         tokens, bounds = _flat(group)
-        placed = gru.Lanes.of(tokens, gru.pieces(bounds, 512), lanes)
+        placed = gru.Lanes.of(tokens, bounds, lanes)
         weights = gru.train(weights, placed, model.end)
         seen += len(tokens)
     if seen:
@@ -268,7 +268,7 @@ def _corpus_model(counted: DataFrame, vocabulary: int, hidden: int) -> Model:
 def fit(
     training: DataFrame,
     counted: DataFrame,
-    vocabulary: int = 1024,
+    vocabulary: int = 4096,
     hidden: int = 16,
     rounds: int = 4,
     share: float = 1.0,
