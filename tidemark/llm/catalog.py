@@ -14,10 +14,11 @@ from tidemark.llm.decontaminate import decontaminated
 from tidemark.llm.language_id import identify
 from tidemark.llm.line_suffixes import repeated_lines
 from tidemark.llm.lm_scoring import lm_scores
+from tidemark.llm.merkle import leaf_digest, manifest
 from tidemark.llm.ngram_jaccard import jaccard_components
 from tidemark.llm.pfair import mixed
 from tidemark.llm.secret_crf import scan
-from tidemark.llm.shared import written
+from tidemark.llm.shared import lower_ascii, written
 from tidemark.llm.token_files import document_tokens
 from tidemark.llm.unit_dedup import repeated_units
 
@@ -103,6 +104,17 @@ def op10_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), training=_slot(5) != 1)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in a Merkle manifest by language, and whether a third of them, with
+    their letters lowered, still fold to its root."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    as_read = [F.col(f) for f in fields]
+    lowered = leaf_digest(*as_read[:-1], lower_ascii(F.col("text")))
+    found = F.when(_slot(3) == 0, lowered).otherwise(leaf_digest(*as_read))
+    return manifest(docs, fields, found=found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

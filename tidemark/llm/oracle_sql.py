@@ -100,3 +100,72 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_r
        coalesce(removed, '') AS removed, CAST(coalesce(shared_lines, 0) AS BIGINT) AS shared_lines
 FROM split LEFT JOIN removed USING (doc_id) LEFT JOIN shared USING (doc_id)
 """
+
+# The tree's levels written out: more than any table of a few million rows needs. A level above the
+# last has one node, which passes through.
+def _rising(leaves: str, prefix: str, levels: int) -> str:
+    steps = []
+    for k in range(levels):
+        below = leaves if k == 0 else f"{prefix}{k}"
+        steps.append(f"""{prefix}{k}_runs AS (
+    SELECT tree, i, h, n,
+           CASE WHEN n = 1 THEN '' ELSE coalesce(string_agg(h, '') OVER (
+               run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS l,
+           CASE WHEN n = 1 THEN '' ELSE coalesce(string_agg(h, '') OVER (
+               run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS r
+    FROM {below} WINDOW run AS (PARTITION BY tree, i // 8 ORDER BY i)
+), {prefix}{k + 1} AS (
+    SELECT tree, i // 8 AS i, (n + 7) // 8 AS n,
+           CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+    FROM {below} GROUP BY tree, i // 8, n
+)""")
+    return ", ".join(steps)
+
+
+def _folding(rows: str, prefix: str, levels: int, tree: str, name: str) -> str:
+    """Each row's digest and proof carried up the levels; a level without siblings has one node."""
+    steps = []
+    for k in range(levels):
+        steps.append(f"""{name}{k + 1} AS (
+    SELECT x.* REPLACE (x.i // 8 AS i, x.proof || s.l || s.r AS proof,
+               CASE WHEN s.n = 1 THEN x.f ELSE sha256(s.l || x.f || s.r) END AS f)
+    FROM {rows if k == 0 else f"{name}{k}"} AS x
+    JOIN {prefix}{k}_runs AS s ON s.tree = {tree} AND s.i = x.i
+)""")
+    return ", ".join(steps)
+
+
+def _coded(*columns: str) -> str:
+    texts = [f"CAST({c} AS VARCHAR)" for c in columns]
+    return " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in texts)
+
+
+_CRC32 = """xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+               c -> CAST(ascii(c) AS BIGINT)),
+               (crc, b) -> list_reduce([xor(crc, b)] || range(8),
+                   (v, i) -> xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+_AS_READ = _coded("doc_id", "source", "lang", "n_chars", "text")
+_LOWER = _coded("doc_id", "source", "lang", "n_chars", _LOWERED)
+
+SQL["op13_merkle_manifest"] = f"""
+WITH leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_AS_READ}) AS h,
+           CASE WHEN {_CRC32} % 3 = 0 THEN sha256({_LOWER}) ELSE sha256({_AS_READ}) END AS f
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, h, f) - 1 AS i,
+           count(*) OVER (PARTITION BY tree) AS n
+    FROM leaves
+), {_rising("placed", "low", 9)}, subroots AS (
+    SELECT tree AS name, '' AS tree, h, row_number() OVER (ORDER BY tree) - 1 AS i,
+           count(*) OVER () AS n
+    FROM low9
+), {_rising("subroots", "high", 3)}, start AS (
+    SELECT doc_id, tree, h AS leaf, i, f, '' AS proof FROM placed
+), {_folding("start", "low", 9, "x.tree", "up")}, middle AS (
+    SELECT x.* REPLACE (s.i AS i), s.h AS subroot FROM up9 AS x JOIN subroots AS s ON s.name = x.tree
+), {_folding("middle", "high", 3, "''", "over")}
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, f AS folded_root,
+       f = root.h AS verified
+FROM over3, high3 AS root
+"""
