@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalog.oracles()))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS FROM read_parquet('{FOLDER}/{table}.parquet')")
     want = connection.execute(catalog.oracles()[name])
     columns = [c[0] for c in want.description]

@@ -11,6 +11,7 @@ from tidemark.context import configure
 from tidemark.llm import oracle_sql
 from tidemark.llm.decision_list import judged, learned, statistics
 from tidemark.llm.decontaminate import decontaminated
+from tidemark.llm.hard_negatives import hard_negatives
 from tidemark.llm.language_id import identify
 from tidemark.llm.line_suffixes import repeated_lines
 from tidemark.llm.lm_scoring import lm_scores
@@ -104,6 +105,15 @@ def op10_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), training=_slot(5) != 1)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, where every seventh carries another label."""
+    own, at = F.col("label"), F.col("vec_id")
+    shifted = F.when(F.pmod(at, F.lit(7)) == 0, (own + 1) % 10).otherwise(own)
+    return hard_negatives(
+        _table(spark, sf_dir, "embeddings"), F.pmod(at, F.lit(50)) == 0, label=shifted
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof in a Merkle manifest by language, and whether a third of them, with
     their letters lowered, still fold to its root."""

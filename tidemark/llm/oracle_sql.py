@@ -141,9 +141,9 @@ def _coded(*columns: str) -> str:
 
 
 _CRC32 = """xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
-               c -> CAST(ascii(c) AS BIGINT)),
-               (crc, b) -> list_reduce([xor(crc, b)] || range(8),
-                   (v, i) -> xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+               lambda c: CAST(ascii(c) AS BIGINT)),
+               lambda crc, b: list_reduce([xor(crc, b)] || range(8),
+                   lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
 _AS_READ = _coded("doc_id", "source", "lang", "n_chars", "text")
 _LOWER = _coded("doc_id", "source", "lang", "n_chars", _LOWERED)
 
@@ -169,3 +169,28 @@ SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, f A
        f = root.h AS verified
 FROM over3, high3 AS root
 """
+
+SQL["op11_hard_negatives"] = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS s
+    FROM rows AS a JOIN rows AS r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, s AS positive_score
+    FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id) AS INT)
+           AS rank,
+       vec_id AS negative_id, positive_score, s AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score
+QUALIFY rank <= 3
+"""
