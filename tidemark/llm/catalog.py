@@ -21,6 +21,7 @@ from tidemark.llm.pfair import mixed
 from tidemark.llm.secret_crf import scan
 from tidemark.llm.shared import lower_ascii, written
 from tidemark.llm.token_files import document_tokens
+from tidemark.llm.toxicity import toxicity
 from tidemark.llm.unit_dedup import repeated_units
 
 
@@ -114,6 +115,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from the labels of three quarters of them."""
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity(docs, labels, training=_slot(4) != 2)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof in a Merkle manifest by language, and whether a third of them, with
     their letters lowered, still fold to its root."""

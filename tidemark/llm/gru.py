@@ -110,7 +110,7 @@ class Lanes:
             t = last
 
 
-def _advance(w: Weights, given: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None):
+def advance(w: Weights, given: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None):
     """States after each step of a window; ``keep`` collects what the way back needs."""
     size = w.hidden
     half = w.inputs.dtype.type(0.5)
@@ -221,7 +221,7 @@ def score(w: Weights, lanes: Lanes, begin: int, steps: int = 32) -> np.ndarray:
     bounded = _bounded(w)
     for at in lanes.windows(steps):
         given, fresh = _given(lanes, at, begin)
-        states, h = _advance(w, given, fresh, h[: at.shape[1]], None)
+        states, h = advance(w, given, fresh, h[: at.shape[1]], None)
         targets = lanes.flat[at].ravel().astype(np.int64)
         found, _ = _outputs(w, states.reshape(-1, w.hidden), targets, bounded)
         logs[at.ravel()] = found
@@ -231,17 +231,12 @@ def score(w: Weights, lanes: Lanes, begin: int, steps: int = 32) -> np.ndarray:
     return out
 
 
-def gradients(w: Weights, given, fresh, targets, h) -> tuple[Weights, np.ndarray, float]:
-    """Ascent direction of a window's log-likelihood, the state after it, and the likelihood."""
-    size = w.hidden
-    grads = Weights(*[np.zeros_like(p) for p in w.parts()])
-    keep: list = []
-    states, last = _advance(w, given, fresh, h, keep)
-    found, back = _outputs(w, states.reshape(-1, size), targets.ravel(), False, grads)
-    back = back.reshape(states.shape)
-    carried = np.zeros_like(last)
-    gate_grads = np.empty((*given.shape, 3 * size), np.float32)
-    for t in range(len(given) - 1, -1, -1):
+def retreat(w: Weights, keep: list, fresh: np.ndarray, back: np.ndarray, state: np.ndarray):
+    """Gradients at the gates of each step of a window, from those at the states, last step first;
+    those of the state weights are added to ``state``."""
+    carried = np.zeros_like(back[0])
+    gate_grads = np.empty((*back.shape[:2], 3 * w.hidden), np.float32)
+    for t in range(len(back) - 1, -1, -1):
         before, z, r, candidate, pushed = keep[t]
         d = back[t] + carried
         d_candidate = d * (1 - z) * (1 - candidate * candidate)
@@ -249,9 +244,21 @@ def gradients(w: Weights, given, fresh, targets, h) -> tuple[Weights, np.ndarray
         d_r = d_candidate * pushed * r * (1 - r)
         gate_grads[t] = np.concatenate([d_z, d_r, d_candidate], 1)
         through = np.concatenate([d_z, d_r, d_candidate * r], 1)
-        grads.state += before.T @ through
+        state += before.T @ through
         carried = d * z + through @ w.state.T
         carried[fresh[t]] = 0
+    return gate_grads
+
+
+def gradients(w: Weights, given, fresh, targets, h) -> tuple[Weights, np.ndarray, float]:
+    """Ascent direction of a window's log-likelihood, the state after it, and the likelihood."""
+    size = w.hidden
+    grads = Weights(*[np.zeros_like(p) for p in w.parts()])
+    keep: list = []
+    states, last = advance(w, given, fresh, h, keep)
+    found, back = _outputs(w, states.reshape(-1, size), targets.ravel(), False, grads)
+    back = back.reshape(states.shape)
+    gate_grads = retreat(w, keep, fresh, back, grads.state)
     ids = given.ravel()
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
