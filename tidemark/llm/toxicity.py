@@ -370,7 +370,7 @@ def _sampled(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def fit(
-    learned: DataFrame, labels: DataFrame, per_label: int = 1500, windows_per_text: int = 64
+    learned: DataFrame, labels: DataFrame, per_label: int = 1500, windows_per_text: int = 32
 ) -> Network:
     """A network from texts (doc_id, text) and labels (doc_id, label 0 or 1).
 
@@ -411,9 +411,27 @@ def fit(
 
 
 def _one_read(windows: pa.Array) -> Read:
-    """All windows as one; each is a document of its own."""
-    (chunk,) = chunks(windows, chunk_bytes=1 << 40)
-    return Read.of(chunk)
+    """All windows as one, read chunk by chunk; each is a document of its own."""
+    parts = [Read.of(chunk) for chunk in chunks(windows)]
+    hashes, first, words = np.unique(
+        np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True
+    )
+    sizes = np.concatenate([np.diff(p.ends, prepend=0) for p in parts])
+    last = np.cumsum(sizes)[first]
+    ends = np.cumsum(sizes[first])
+    place = np.repeat(last - ends, sizes[first]) + np.arange(ends[-1] if len(ends) else 0)
+    words_before = np.cumsum([0, *(len(p.hashes) for p in parts)])
+    tokens_before = np.cumsum([0, *(len(p.tokens) for p in parts)])
+    return Read(
+        np.concatenate([words[p.tokens + n] for p, n in zip(parts, words_before, strict=False)])
+        .astype(np.int32),
+        hashes,
+        np.concatenate([p.trigrams for p in parts])[place],
+        ends,
+        np.concatenate([p.first + n for p, n in zip(parts, tokens_before, strict=False)]),
+        np.concatenate([p.length for p in parts]),
+        np.concatenate([p.windows for p in parts]),
+    )
 
 
 def _scored(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
