@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import utc
 from tidemark.operators.history import as_of_join, scd2
 from tidemark.operators import ordered
-from tidemark.operators.ordered import KeyOrder, per_key_order
+from tidemark.operators.ordered import Sliced
 from tidemark.plans import core, marts
 
 CHANGES = (
@@ -221,22 +221,81 @@ def test_as_of_join(spark, seed):
     assert len(joined) == 400
 
 
-def test_running_values_across_slices(spark):
+def test_previous_across_slices(spark, monkeypatch):
     rows = [(1, i, (i * 7) % 13) for i in range(100)] + [(2, i, i % 3) for i in range(5)]
     df = spark.createDataFrame(rows, "k INT, o INT, v INT")
+    want = {(k, o): v for k, o, v in rows}
+    for positions in (1_000_000, 10, 1):
+        monkeypatch.setattr(ordered, "POSITIONS_PER_SLICE", positions)
+        for scan in (Sliced.by_position(df, ["k"], "o"), Sliced.by_range(df, ["k"], "o")):
+            found = scan.with_previous(["v"], "p").collect()
+            assert len(found) == len(rows)
+            for r in found:
+                assert (r["p"] and r["p"]["v"]) == want.get((r["k"], r["o"] - 1))
+
+
+def test_ranges_cut_a_hot_key_on_one_day(spark):
+    """A third of the rows are of one key and one day, and its slices are as even as the others."""
+    rows = [(0, utc(2026, 1, 1) + timedelta(seconds=i)) for i in range(3000)]
+    rows += [(1 + i % 50, utc(2026, 1, 1) + timedelta(hours=i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k INT, at TIMESTAMP").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        scan = Sliced.by_range(df, ["k"], "at")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sizes = {tuple(r)[:2]: r["count"] for r in scan.rows.groupBy("k", "_slice").count().collect()}
+    assert len([k for k in sizes if k[0] == 0]) >= 4
+    assert max(sizes.values()) < 1200
+
+
+def test_as_of_join_on_a_hot_key(spark):
+    day = utc(2026, 1, 1)
+    versions = [
+        (0, day + timedelta(seconds=i * 7), day + timedelta(seconds=i * 7 + 5 + 30 * (i % 9 == 0)), i, f"v{i}")
+        for i in range(150)
+    ]
+    facts = [(i, 0 if i % 3 == 0 else i % 40, day + timedelta(seconds=(i * 13) % 1100)) for i in range(900)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = as_of_join(
+            spark.createDataFrame(facts, "name INT, key INT, at TIMESTAMP"),
+            spark.createDataFrame(
+                versions,
+                "key INT, valid_from TIMESTAMP, valid_to TIMESTAMP, source_lsn BIGINT, label STRING",
+            ),
+            "key",
+            "at",
+            "source_lsn",
+            ["label"],
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["name"]: r["label"] for r in joined} == brute_force_as_of(facts, versions)
+
 
-    def step(part, in_order: KeyOrder):
-        part = in_order.previous(part, ["v"], "p")
-        part = in_order.following(part, ["v"], "n")
-        part = in_order.running_max(part, F.col("v"), "m")
-        part = in_order.running_max(part, F.col("v"), "b", include_current=False)
-        return in_order.any_of_key(part, F.col("v") == 12, "any")
+def evaluations(df, name="seen"):
+    """``df`` with a count of how often its rows are evaluated."""
+    counter = df.sparkSession.sparkContext.accumulator(0)
 
-    def run(limit):
-        found = per_key_order(df, ["k"], "o", F.floor(F.col("o") / limit), step)
-        return sorted(map(str, found.select("k", "o", "v", "p", "n", "m", "b", "any").collect()))
+    def counted(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
 
-    assert run(10) == run(10_000)
+    return df.mapInArrow(counted, df.schema), counter
+
+
+def test_scans_evaluate_their_input_once(spark, ctx):
+    rows = random_changes(4, backwards=True)
+    df, seen = evaluations(spark.createDataFrame(rows, CHANGES))
+    each = ctx.with_(spine_start=date(2025, 11, 1), now=utc(2026, 6, 1))
+    dim = core.dim_subscription(df)
+    marts.mart_revenue_mrr(core.fct_subscription_daily(dim, each)).collect()
+    marts.revenue_from_versions(dim, each).collect()
+    assert seen.value == len(rows)
 
 
 def test_versions_of_other_tables(spark, ctx):

@@ -7,10 +7,11 @@ repeated and a test can live in any year.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, replace
 from datetime import UTC, date, datetime, timedelta
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,6 +48,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: evaluated once however often it is read, and safe from
+    lost executors. The table is scratch; it may be deleted once results have been read."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Context:
     """One run's clock and tolerances."""

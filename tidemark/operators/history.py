@@ -8,9 +8,10 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.context import kept
 from tidemark.functions import END_OF_TIME, changed
 from tidemark.operators.latest import latest_per
-from tidemark.operators.ordered import KeyOrder, by_day, by_position, per_key_order
+from tidemark.operators.ordered import SLICE, Sliced
 
 
 def scd2(
@@ -26,17 +27,38 @@ def scd2(
     compared with the change just before it. A version ends where the next *boundary* begins, so
     the end is looked up among boundaries only: a change that alters nothing must not cut the
     interval it falls into. Deletes end a version and open none.
-    """
-
-    def step(part: DataFrame, in_order: KeyOrder) -> DataFrame:
-        compared = in_order.previous(part, tracked, "_before")
-        altered = changed(tracked[0], f"_before.{tracked[0]}")
-        for column in tracked[1:]:
-            altered = altered | changed(column, f"_before.{column}")
-        boundaries = compared.where(F.col("op").isin("d", "c", "r") | altered).drop("_before")
-        return in_order.following(boundaries, [time_col, "op"], "_next").where(F.col("op") != "d")
 
-    versions = per_key_order(changes, [key], order_col, by_position(order_col), step)
+    Both come from one pass over slices of the log. Of a slice only its first change depends on
+    earlier ones for being a boundary, so a slice hands on its last values and its first boundary.
+    """
+    scan = Sliced.by_position(kept(changes), [key], order_col)
+    values, event = F.struct(*tracked), F.struct(time_col, "op")
+
+    def opens(row: str, before: str) -> Column:
+        """Whether a change, with columns under ``row``, is a boundary after values ``before``."""
+        found = F.col(f"{row}op").isin("d", "c", "r")
+        for column in tracked:
+            found = found | changed(f"{row}{column}", f"{before}.{column}")
+        return found
+
+    local = scan.rows.withColumn("_before", F.lag(values).over(scan.in_order()))
+    sure = F.col("_before").isNotNull() & opens("", "_before")
+    edges = scan.edges(
+        local,
+        F.max_by(values, F.col(order_col)).alias("_last"),
+        F.min_by(F.struct(*tracked, time_col, "op"), F.col(order_col)).alias("_first"),
+        F.min_by(event, F.when(sure, F.col(order_col))).alias("_sure"),
+    ).withColumn("_prior", F.lag("_last").over(scan.slices()))
+    begins = F.when(opens("_first.", "_prior"), F.struct(f"_first.{time_col}", "_first.op"))
+    edges = edges.withColumn("_begins", begins.otherwise(F.col("_sure")))
+    later = F.last("_begins", ignorenulls=True).over(scan.later()).alias("_later")
+    boundaries = (
+        scan.handed(local, edges, F.col("_prior"), later)
+        .withColumn("_before", F.coalesce("_before", "_prior"))
+        .where(opens("", "_before"))
+    )
+    following = F.coalesce(F.lead(event).over(scan.in_order()), F.col("_later"))
+    versions = boundaries.withColumn("_next", following).where(F.col("op") != "d")
     return versions.withColumns(
         {
             "valid_from": F.col(time_col),
@@ -44,7 +66,7 @@ def scd2(
             "is_current": F.col("_next.op").isNull(),
             "ended_by_delete": F.coalesce(F.col("_next.op") == "d", F.lit(False)),
         }
-    ).drop("_next")
+    ).drop("_before", "_prior", "_later", "_next", SLICE)
 
 
 def as_of(versions: DataFrame, instant: Column) -> DataFrame:
@@ -66,14 +88,14 @@ def as_of_join(
     then ``order_col``, counts. Versions that end where they start or earlier cover nothing. A fact
     that no version covers gets nulls.
 
-    Versions and facts are laid on one time line per key and the latest start so far is carried
-    forward. If that version still holds, it is the answer. If it has ended, the answer can only be
-    a version that outlives the start of a later one; business time must have run backwards for
-    there to be any, so these few are joined by range with the facts that are still open.
+    Versions and facts are laid on one time line per key, and one pass carries the latest start so
+    far forwards and the next start backwards. If that version still holds, it is the answer. If it
+    has ended, the answer can only be a version that outlives the start of a later one; business
+    time must have run backwards for there to be any, so these few are joined by range with the
+    facts that are still open.
     """
     described = F.struct("valid_from", order_col, "valid_to", *columns)
-    placed = facts.where(F.col(key).isNotNull() & F.col(ts_col).isNotNull())
-    lasting = versions.where(F.col("valid_to") > F.col("valid_from"))
+    lasting = versions.where(F.col(key).isNotNull() & (F.col("valid_to") > F.col("valid_from")))
     rank = F.struct("at", "side", "rank")
     line = (
         lasting.select(
@@ -84,7 +106,7 @@ def as_of_join(
             described.alias("_version"),
         )
         .unionByName(
-            placed.select(
+            facts.select(
                 F.col(key).alias("_key"),
                 F.col(ts_col).alias("at"),
                 F.lit(1).alias("side"),
@@ -95,21 +117,42 @@ def as_of_join(
         )
         .withColumn("_at", rank)
     )
-
-    def carry(part: DataFrame, in_order: KeyOrder) -> DataFrame:
-        carried = in_order.running_max(part, F.col("_version"), "_covering")
-        return carried.where(F.col("side") == 1)
-
-    def outlive(part: DataFrame, in_order: KeyOrder) -> DataFrame:
-        followed = in_order.following(part, ["at"], "_next")
-        return followed.where(F.col("_version.valid_to") > F.col("_next.at"))
-
-    matched = per_key_order(line, ["_key"], "_at", by_day("at"), carry)
-    starts = line.where(F.col("side") == 0).select("_key", "at", "_at", "_version")
-    outliving = per_key_order(starts, ["_key"], "_at", by_day("at"), outlive)
+    scan = Sliced.by_range(line, ["_key"], "_at")
+    start = F.when(F.col("side") == 0, F.col("at"))
+    local = scan.rows.withColumns(
+        {
+            "_covering": F.max("_version").over(scan.so_far()),
+            "_next": F.min(start).over(scan.to_come()),
+        }
+    )
+    edges = scan.edges(
+        scan.rows,
+        F.max("_version").alias("_own"),
+        F.min(start).alias("_start"),
+    )
+    carried = scan.handed(
+        local,
+        edges,
+        F.max("_own").over(scan.earlier()).alias("_earlier"),
+        F.min("_start").over(scan.later()).alias("_later"),
+    )
+    scanned = kept(
+        carried.select(
+            "_key",
+            "at",
+            "side",
+            "_version",
+            "_fact",
+            F.greatest("_covering", "_earlier").alias("_covering"),
+            F.least("_next", "_later").alias("_next"),
+        )
+    )
+    matched = scanned.where(F.col("side") == 1).drop("_version", "_next", "side")
     ended = F.col("at") >= F.col("_covering.valid_to")
     still_open = matched.where(ended).select(F.col("_key").alias("_k"), F.col("at").alias("_t"))
-    late = outliving.select(F.col("_key").alias("_v"), "_version")
+    late = scanned.where(F.col("_version.valid_to") > F.col("_next")).select(
+        F.col("_key").alias("_v"), "_version"
+    )
     earlier = (
         still_open.distinct()
         .join(
@@ -119,16 +162,17 @@ def as_of_join(
             & (F.col("_t") < F.col("_version.valid_to")),
         )
         .groupBy("_k", "_t")
-        .agg(F.max("_version").alias("_earlier"))
+        .agg(F.max("_version").alias("_outlived"))
     )
     settled = matched.join(
         earlier, (F.col("_key") == F.col("_k")) & (F.col("at") == F.col("_t")), "left"
     ).withColumn(
-        "_found", F.when(F.col("at") < F.col("_covering.valid_to"), F.col("_covering")).otherwise(F.col("_earlier"))
+        "_found",
+        F.when(F.col("at") < F.col("_covering.valid_to"), F.col("_covering")).otherwise(
+            F.col("_outlived")
+        ),
     )
-    found = settled.select("_fact.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
-    unplaced = facts.where(F.col(key).isNull() | F.col(ts_col).isNull())
-    return found.unionByName(unplaced, allowMissingColumns=True)
+    return settled.select("_fact.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
 def _clamped_days(from_col: str, to_col: str, start: date, end: date) -> tuple[Column, Column]:
@@ -138,23 +182,32 @@ def _clamped_days(from_col: str, to_col: str, start: date, end: date) -> tuple[C
     return first, last
 
 
-def with_overlap_flag(
-    versions: DataFrame,
-    key: str,
-    order_col: str,
-    name: str = "_overlaps",
-) -> DataFrame:
-    """Mark keys whose versions may share a day, which needs business time to run backwards."""
-
-    def step(part: DataFrame, in_order: KeyOrder) -> DataFrame:
-        ends = in_order.running_max(
-            part, F.to_date("valid_to"), "_ends_so_far", include_current=False
-        )
-        clash = F.col("_ends_so_far") > F.to_date("valid_from")
-        flagged = in_order.any_of_key(ends, F.coalesce(clash, F.lit(False)), name)
-        return flagged.drop("_ends_so_far")
+def split_by_overlap(
+    versions: DataFrame, key: str, order_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """Versions of keys that hold one state a day, and those of keys that may hold several, which
+    needs business time to run backwards.
 
-    return per_key_order(versions, [key], order_col, by_position(order_col), step)
+    A key is told by one pass over slices: a version that starts before an earlier one ends, in its
+    slice or, by the least start of the slice, before it.
+    """
+    held = kept(versions)
+    scan = Sliced.by_position(held, [key], order_col)
+    start, end = F.to_date("valid_from"), F.to_date("valid_to")
+    local = scan.rows.withColumn("_ends", F.max(end).over(scan.so_far(current=False)))
+    edges = scan.edges(
+        local,
+        F.bool_or(F.coalesce(F.col("_ends") > start, F.lit(False))).alias("_clash"),
+        F.min(start).alias("_start"),
+        F.max(end).alias("_end"),
+    ).withColumn("_ended", F.max("_end").over(scan.earlier()))
+    across = F.coalesce(F.col("_ended") > F.col("_start"), F.lit(False))
+    clashing = kept(
+        edges.groupBy(key).agg(F.bool_or(F.col("_clash") | across).alias("_any"))
+        .where("_any")
+        .select(key)
+    )
+    return held.join(clashing, key, "left_anti"), held.join(clashing, key, "left_semi")
 
 
 def _on_days(
@@ -192,9 +245,7 @@ def flatten_intervals(
     the spine is planned. Only keys whose versions may share a day need a winner per day, and only
     their rows are shuffled for it.
     """
-    flagged = with_overlap_flag(versions, key, order_col)
-    alone = flagged.where(~F.col("_overlaps")).drop("_overlaps")
-    shared = flagged.where(F.col("_overlaps")).drop("_overlaps")
+    alone, shared = split_by_overlap(versions, key, order_col)
     return _on_days(alone, spine_start, spine_end, day_col).unionByName(
         winner_per_day(shared, key, order_col, spine_start, spine_end, day_col)
     )

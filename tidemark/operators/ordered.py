@@ -1,107 +1,107 @@
-"""Looking at the row before and after within a key, without one task holding the whole key.
+"""Scans over the rows of keys in order, without one task holding a whole key.
 
-A window over a key puts all its rows into one task. Here the rows of a key are cut into slices by a
-fixed function of what orders them, such as the day of a time or the million of a log position, and
-windows are over one slice. What crosses a slice's edge is carried by a table of one row per slice.
-There is one plan for all sizes: nothing is counted first, and no key is treated apart.
+A window over a key puts all its rows into one task. Here rows are cut into slices, and all that an
+operator wants to know of a row's neighbours and of the rows so far is taken in one pass over each
+slice. What crosses the edges of slices is summed up in one row per slice, worked out along these
+few rows, and handed back to the slices. There is one plan for all sizes: nothing is counted first,
+no key is treated apart, and the input is evaluated once, since it is written before it is cut.
+
+Slices follow rows. A log position is one row, so slices by position are even by themselves. By
+time they are not, so there rows are sorted by key and time into ranges of even size, and a slice is
+what one range holds of a key, whether a key has one row a year or a billion on one day.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from tidemark.context import kept
 
 SLICE = "_slice"
-_CARRY = "_carry"
-_OWN = "_own"
 
 #: Log positions per slice. A position is one row, so a slice has at most as many.
 POSITIONS_PER_SLICE = 1_000_000
 
 
-def by_position(order: str) -> Column:
-    """Slices of a whole-number order."""
-    return F.floor(F.col(order) / POSITIONS_PER_SLICE)
-
-
-def by_day(order: str) -> Column:
-    """Slices of a time order: one per day."""
-    return F.datediff(F.to_date(order), F.lit("1970-01-01").cast("date")).cast("long")
-
-
 @dataclass(frozen=True)
-class KeyOrder:
-    """Neighbour expressions over one key order."""
+class Sliced:
+    """``rows`` with the slice each is in. Keys are not null, and ``order`` is unique in a key."""
 
+    rows: DataFrame
     keys: tuple[str, ...]
     order: str
 
-    def _group(self) -> list[str]:
+    @staticmethod
+    def by_position(
+        df: DataFrame, keys: Sequence[str], order: str, position: str | None = None
+    ) -> Sliced:
+        """Slices of a whole-number ``position``, which is or leads ``order``; nothing is written."""
+        at = F.floor(F.col(position or order) / POSITIONS_PER_SLICE)
+        return Sliced(df.withColumn(SLICE, at), tuple(keys), order)
+
+    @staticmethod
+    def by_range(df: DataFrame, keys: Sequence[str], order: str) -> Sliced:
+        """Slices of ranges of rows, sorted by key and order. The ranges are drawn from the written
+        rows, so drawing them does not evaluate ``df`` again."""
+        held = kept(df)
+        ranges = held.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+        return Sliced(kept(ranges.withColumn(SLICE, F.spark_partition_id())), tuple(keys), order)
+
+    @property
+    def group(self) -> list[str]:
         return [*self.keys, SLICE]
 
-    def _window(self):
-        return Window.partitionBy(*self._group()).orderBy(self.order)
+    # ------------------------------------------------------------ within a slice
 
-    def previous(self, df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-        """Add struct ``name`` with the preceding row's columns; null on a key's first row."""
-        return self._neighbour(df, columns, name, F.lag, F.max_by)
+    def in_order(self) -> WindowSpec:
+        return Window.partitionBy(*self.group).orderBy(self.order)
 
-    def following(self, df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-        """Add struct ``name`` with the next row's columns; null on a key's last row."""
-        return self._neighbour(df, columns, name, F.lead, F.min_by)
+    def so_far(self, current: bool = True) -> WindowSpec:
+        """The rows of the slice up to a row, itself included or not."""
+        last = Window.currentRow if current else -1
+        return self.in_order().rowsBetween(Window.unboundedPreceding, last)
 
-    def _neighbour(self, df, columns, name, shift, edge) -> DataFrame:
-        packed = F.struct(*columns)
-        local = df.withColumn(name, shift(packed).over(self._window()))
-        # One row per slice: its last (or first) row, handed to the neighbouring slice.
-        edges = df.groupBy(*self._group()).agg(edge(packed, F.col(self.order)).alias(_OWN))
-        across = Window.partitionBy(*self.keys).orderBy(SLICE)
-        carried = edges.select(*self._group(), shift(_OWN).over(across).alias(_CARRY))
-        return (
-            local.join(carried, self._group(), "left")
-            .withColumn(name, F.coalesce(name, _CARRY))
-            .drop(_CARRY)
-        )
+    def to_come(self) -> WindowSpec:
+        """The rows of the slice after a row. They are walked backwards, so each is seen once."""
+        backwards = Window.partitionBy(*self.group).orderBy(F.desc(self.order))
+        return backwards.rowsBetween(Window.unboundedPreceding, -1)
 
-    def running_max(
-        self, df: DataFrame, value: Column, name: str, include_current: bool = True
-    ) -> DataFrame:
-        """Add the greatest ``value`` among the rows so far."""
-        last = Window.currentRow if include_current else -1
-        window = self._window().rowsBetween(Window.unboundedPreceding, last)
-        local = df.withColumn(name, F.max(value).over(window))
-        edges = df.groupBy(*self._group()).agg(F.max(value).alias(_OWN))
-        across = (
-            Window.partitionBy(*self.keys)
-            .orderBy(SLICE)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        carried = edges.select(*self._group(), F.max(_OWN).over(across).alias(_CARRY))
+    # ------------------------------------------------------------ from slice to slice
+
+    def edges(self, rows: DataFrame, *sums: Column) -> DataFrame:
+        """One row per slice. ``rows`` have passed this scan's windows, so it takes no shuffle."""
+        return rows.groupBy(*self.group).agg(*sums)
+
+    def slices(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(SLICE)
+
+    def earlier(self) -> WindowSpec:
+        return self.slices().rowsBetween(Window.unboundedPreceding, -1)
+
+    def later(self) -> WindowSpec:
+        """Later slices of the key, the nearest last."""
+        backwards = Window.partitionBy(*self.keys).orderBy(F.desc(SLICE))
+        return backwards.rowsBetween(Window.unboundedPreceding, -1)
+
+    def handed(self, rows: DataFrame, edges: DataFrame, *carried: Column) -> DataFrame:
+        """``rows`` beside what their slice is handed."""
+        return rows.join(edges.select(*self.group, *carried), self.group, "left")
+
+    # ------------------------------------------------------------ whole scans
+
+    def with_previous(self, columns: Sequence[str], name: str) -> DataFrame:
+        """Rows with struct ``name`` of the preceding row's columns, null on a key's first row."""
+        packed = F.struct(*columns)
+        local = self.rows.withColumn(name, F.lag(packed).over(self.in_order()))
+        edges = self.edges(local, F.max_by(packed, F.col(self.order)).alias("_last"))
+        prior = F.lag("_last").over(self.slices()).alias("_carried")
         return (
-            local.join(carried, self._group(), "left")
-            .withColumn(name, F.greatest(name, _CARRY))
-            .drop(_CARRY)
+            self.handed(local, edges, prior)
+            .withColumn(name, F.coalesce(name, "_carried"))
+            .drop("_carried", SLICE)
         )
-
-    def any_of_key(self, df: DataFrame, flag: Column, name: str) -> DataFrame:
-        """Add whether any row of the key has the flag."""
-        found = df.groupBy(*self.keys).agg(F.bool_or(flag).alias(name))
-        return df.join(found, list(self.keys))
-
-
-def per_key_order(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    slices: Column,
-    step: Callable[[DataFrame, KeyOrder], DataFrame],
-) -> DataFrame:
-    """Run ``step`` over the rows of each key in order.
-
-    ``order`` is unique within a key. ``slices`` must not fall where ``order`` rises, and must not be
-    null. Keys must not be null.
-    """
-    return step(df.withColumn(SLICE, slices), KeyOrder(tuple(keys), order)).drop(SLICE)

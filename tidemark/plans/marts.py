@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.context import Context
 from tidemark.functions import day_start
-from tidemark.operators.history import interval_deltas, winner_per_day, with_overlap_flag
+from tidemark.operators.history import interval_deltas, split_by_overlap, winner_per_day
 
 REQUIRED_FIELDS = {
     "mart_account_health": ("churn_score", "churn_band", "score_version", "reasons"),
@@ -64,18 +64,16 @@ def revenue_from_versions(dim_subscription: DataFrame, ctx: Context) -> DataFram
         "source_lsn",
     )
     key, order = "subscription_id", "source_lsn"
-    flagged = with_overlap_flag(versions, key, order, "_clash")
+    alone, shared = split_by_overlap(versions, key, order)
     single_days = winner_per_day(
-        flagged.where("_clash").drop("_clash"), key, order, ctx.spine_start, ctx.spine_end
+        shared, key, order, ctx.spine_start, ctx.spine_end
     ).withColumns(
         {
             "valid_from": day_start("date_day"),
             "valid_to": day_start(F.date_add("date_day", 1)),
         }
     )
-    intervals = flagged.where(~F.col("_clash")).drop("_clash").unionByName(
-        single_days.drop("date_day")
-    )
+    intervals = alone.unionByName(single_days.drop("date_day"))
     levels = interval_deltas(
         intervals, ["plan_code"], _mrr_measures(), ctx.spine_start, ctx.spine_end
     )

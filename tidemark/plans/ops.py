@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.context import Context
+from tidemark.context import Context, kept
 from tidemark.functions import at
 from tidemark.operators.latest import first_per, latest_per
-from tidemark.operators.ordered import KeyOrder, by_day, per_key_order
+from tidemark.operators.ordered import Sliced
 from tidemark.sources.log import latest_attempts
 
 # Verdicts as numbers, an unknown one counting as failed.
@@ -287,43 +287,28 @@ def _series(labels: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
 
 
-def rule_readings(samples: DataFrame, rules: DataFrame) -> DataFrame:
-    """Samples beside the rules that read them, each under the series the rule sees it in."""
-    read = samples.join(F.broadcast(rules), "metric")  # one row per rule
-    kept = F.map_filter("labels", lambda name, _: F.array_contains(F.col("by_labels"), name))
-    return read.withColumn(
-        "labels", F.when(F.col("by_labels").isNull(), F.col("labels")).otherwise(kept)
-    ).withColumn("series", _series(F.col("labels")))
-
-
 def alert_readings(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """One reading per rule, series and instant, with the guard's or the threshold's own value.
 
-    Another metric is met at the same instant, and per layer where it holds a threshold.
+    A rule that reduces labels reads the greatest value among the samples it then sees alike. One
+    that reads all labels sees each sample alone, so both are one aggregate. Another metric is met
+    at the same instant, and per layer where it holds a threshold.
     """
-    read = rule_readings(samples, rules)
-    whole = read.where(F.col("by_labels").isNull())
-    reduced = (
-        read.where(F.col("by_labels").isNotNull())
+    other = F.coalesce("guard", "threshold_metric").alias("metric")
+    read = rules.select("metric").union(rules.select(other)).distinct()
+    samples = kept(samples.join(read, "metric", "left_semi"))
+    kept_labels = F.map_filter("labels", lambda n, _: F.array_contains(F.col("by_labels"), n))
+    seen = F.when(F.col("by_labels").isNull(), F.col("labels")).otherwise(kept_labels)
+    readings = (
+        samples.join(rules.select("alert", "metric", "by_labels"), "metric")
+        .select("alert", "ts", "value", seen.alias("labels"))
+        .withColumn("series", _series(F.col("labels")))
         .groupBy("alert", "series", "ts")
-        .agg(
-            F.max("value").alias("value"),
-            *[
-                F.first(c).alias(c)
-                for c in read.columns
-                if c not in ("alert", "series", "ts", "value")
-            ],
-        )
-    )
-    readings = whole.unionByName(reduced).withColumn(
-        "_other", F.coalesce("guard", "threshold_metric")
-    )
-    needed = (
-        rules.select(F.coalesce("guard", "threshold_metric").alias("metric"))
-        .where(F.col("metric").isNotNull())
-        .distinct()
+        .agg(F.max("value").alias("value"), F.first("labels").alias("labels"))
+        .join(rules.drop("by_labels"), "alert")
+        .withColumn("_other", F.coalesce("guard", "threshold_metric"))
     )
-    others = samples.join(F.broadcast(needed), "metric", "left_semi").select(
+    others = samples.join(rules.select(other).distinct(), "metric", "left_semi").select(
         F.col("ts").alias("_ts"),
         F.col("metric").alias("_metric"),
         F.col("labels")["layer"].alias("_layer"),
@@ -335,11 +320,7 @@ def alert_readings(samples: DataFrame, rules: DataFrame) -> DataFrame:
         & (F.col("_other") == F.col("_metric"))
         & layer.eqNullSafe(F.col("_layer"))
     )
-    lone = readings.where(F.col("_other").isNull())
-    paired = readings.where(F.col("_other").isNotNull()).join(others, met, "left")
-    return lone.unionByName(
-        paired.drop("_ts", "_metric", "_layer"), allowMissingColumns=True
-    ).drop("_other", "by_labels")
+    return readings.join(others, met, "left").drop("_ts", "_metric", "_layer", "_other")
 
 
 #: A series without a sample for longer than this has ended; what comes later begins anew.
@@ -356,39 +337,92 @@ def alert_states(
     broken by a sample on which the condition does not hold, and by a gap of more than
     ``stale_seconds`` between samples. The latest beginning of a stretch so far, carried forward
     along the series, is the one a sample belongs to.
+
+    Two passes over the same slices: when a sample's value last grew and whether the condition holds,
+    and then where stretches begin. In each only a slice's first sample depends on the one before it.
     """
     stale = stale_seconds * 1_000_000
-
-    def step(part: DataFrame, in_order: KeyOrder) -> DataFrame:
-        compared = in_order.previous(part, ["value", "ts"], "_last")
-        fresh = F.unix_micros("ts") - F.unix_micros("_last.ts") <= stale
-        last = F.when(fresh, F.col("_last.value"))
-        # A counter that fell was reset, so what it shows now was added since.
-        grew = (F.col("value") > last) | ((F.col("value") < last) & (F.col("value") > 0))
-        grown = in_order.running_max(
-            compared.withColumn("_grew", F.when(grew, F.col("ts"))), F.col("_grew"), "_grew_at"
-        )
-        since_growth = F.unix_micros("ts") - F.unix_micros("_grew_at")
-        limit = F.coalesce("threshold", "other_value")
-        condition = (
-            F.when(F.col("comparison") == "increase", since_growth < INCREASE_SECONDS * 1_000_000)
-            .when(F.col("comparison") == "=", F.col("value") == limit)
-            .otherwise(F.col("value") > limit)
-        ) & (F.col("guard").isNull() | (F.col("other_value") > 0))
-        tested = grown.withColumn("_holds", F.coalesce(condition, F.lit(False)))
-        linked = in_order.previous(tested, ["_holds"], "_was")
-        begins = F.col("_holds") & ~F.coalesce(fresh & F.col("_was._holds"), F.lit(False))
-        begun = linked.withColumn("_begins", F.when(begins, F.col("ts")))
-        return in_order.running_max(begun, F.col("_begins"), "since").where("_holds")
-
-    keys = ["alert", "series"]
-    states = per_key_order(alert_readings(samples, rules), keys, "ts", by_day("ts"), step)
+    scan = Sliced.by_range(alert_readings(samples, rules), ["alert", "series"], "ts")
+    tested = _tested(scan, stale)
+    states = _since(Sliced(kept(tested), scan.keys, scan.order)).where("_holds")
     held = F.unix_micros("ts") - F.unix_micros("since") >= F.col("held_seconds") * 1_000_000
     return states.select(
         "alert", "severity", "series", "labels", "ts", "value", "since", held.alias("firing")
     )
 
 
+def _tested(scan: Sliced, stale: int) -> DataFrame:
+    """Samples with whether the condition ``_holds``, and whether they follow on the one before."""
+    reading = F.struct("value", "ts")
+
+    def fresh(row: str, last: str) -> Column:
+        return F.unix_micros(f"{row}ts") - F.unix_micros(f"{last}.ts") <= stale
+
+    def grew(row: str, last: str) -> Column:
+        """The instant, if the value has grown on it. A counter that fell was reset, so what it
+        shows now was added since."""
+        value, before = F.col(f"{row}value"), F.when(fresh(row, last), F.col(f"{last}.value"))
+        more = (value > before) | ((value < before) & (value > 0))
+        return F.when(more, F.col(f"{row}ts"))
+
+    local = scan.rows.withColumn("_last", F.lag(reading).over(scan.in_order())).withColumn(
+        "_grew", F.max(grew("", "_last")).over(scan.so_far())
+    )
+    edges = scan.edges(
+        local,
+        F.max_by(reading, F.col("ts")).alias("_own"),
+        F.min_by(reading, F.col("ts")).alias("_first"),
+        F.max("_grew").alias("_grown"),
+    ).withColumn("_prior", F.lag("_own").over(scan.slices()))
+    at_first = grew("_first.", "_prior")
+    edges = edges.withColumn("_at_first", at_first)
+    before = F.max(F.greatest("_grown", "_at_first")).over(scan.earlier())
+    handed = scan.handed(
+        local, edges, F.col("_prior"), F.greatest("_at_first", before).alias("_before")
+    )
+    rows = handed.withColumn("_last", F.coalesce("_last", "_prior"))
+    since_growth = F.unix_micros("ts") - F.unix_micros(F.greatest("_grew", "_before"))
+    limit = F.coalesce("threshold", "other_value")
+    condition = (
+        F.when(F.col("comparison") == "increase", since_growth < INCREASE_SECONDS * 1_000_000)
+        .when(F.col("comparison") == "=", F.col("value") == limit)
+        .otherwise(F.col("value") > limit)
+    ) & (F.col("guard").isNull() | (F.col("other_value") > 0))
+    return rows.select(
+        *scan.group,
+        "severity",
+        "labels",
+        "ts",
+        "value",
+        "held_seconds",
+        F.coalesce(condition, F.lit(False)).alias("_holds"),
+        F.coalesce(fresh("", "_last"), F.lit(False)).alias("_follows"),
+    )
+
+
+def _since(scan: Sliced) -> DataFrame:
+    """Samples with the latest beginning of a stretch so far."""
+
+    def begins(row: str, was: Column) -> Column:
+        goes_on = F.col(f"{row}_follows") & F.coalesce(was, F.lit(False))
+        return F.when(F.col(f"{row}_holds") & ~goes_on, F.col(f"{row}ts"))
+
+    was = F.lag("_holds").over(scan.in_order())
+    local = scan.rows.withColumn("_was", was).withColumn(
+        "_begun", F.max(F.when(F.col("_was").isNotNull(), begins("", F.col("_was")))).over(scan.so_far())
+    )
+    edges = scan.edges(
+        local,
+        F.max_by("_holds", F.col("ts")).alias("_held"),
+        F.min_by(F.struct("_holds", "_follows", "ts"), F.col("ts")).alias("_first"),
+        F.max("_begun").alias("_begins"),
+    ).withColumn("_prior", F.lag("_held").over(scan.slices()))
+    edges = edges.withColumn("_at_first", begins("_first.", F.col("_prior")))
+    before = F.max(F.greatest("_begins", "_at_first")).over(scan.earlier())
+    handed = scan.handed(local, edges, F.greatest("_at_first", before).alias("_before"))
+    return handed.withColumn("since", F.greatest("_begun", "_before"))
+
+
 def alert_intervals(states: DataFrame) -> DataFrame:
     """Unbroken stretches during which an alert fired."""
     return (

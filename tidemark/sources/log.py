@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.context import Context
 from tidemark.operators.latest import latest_per
-from tidemark.operators.ordered import KeyOrder, by_position, per_key_order
+from tidemark.operators.ordered import Sliced
 
 SLOT = ["topic", "partition"]
 
@@ -151,11 +151,8 @@ def ledger_gaps(ledger: DataFrame) -> DataFrame:
         "_at", F.struct("start_offset", "end_offset", "ledger_id")
     )
 
-    def step(part: DataFrame, in_order: KeyOrder) -> DataFrame:
-        return in_order.previous(part, ["end_offset"], "_prior").where(
-            F.col("_prior.end_offset") != F.col("start_offset")
-        )
-
-    slices = by_position("start_offset")
-    found = per_key_order(entries, ["topic", "partition_id"], "_at", slices, step)
+    in_slices = Sliced.by_position(entries, ["topic", "partition_id"], "_at", "start_offset")
+    found = in_slices.with_previous(["end_offset"], "_prior").where(
+        F.col("_prior.end_offset") != F.col("start_offset")
+    )
     return found.withColumn("previous_end", F.col("_prior.end_offset")).drop("_prior", "_at")
