@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,13 @@ from tidemark.catalog.inputs import (
     SQL_SUBSCRIPTION_CHANGES,
 )
 from tidemark.catalog.registry import query
-from tidemark.catalog.staging import SQL_INCREMENTAL, SQL_STAGED, merged, staged
+from tidemark.catalog.staging import SQL_INCREMENTAL, SQL_STAGED, merged_by_day, staged
+from tidemark.context import shared_folder
 from tidemark.functions import at
 from tidemark.operators.history import as_of, as_of_join, scd2
-from tidemark.operators.incremental import affected_keys, lookback, replace_by_key
+from tidemark.operators.incremental import affected_keys, lookback
 from tidemark.plans import core, staging
+from tidemark.plans.build import Layer
 
 SQL_VERSIONS = """classified AS (
   SELECT *, lag(status) OVER w AS s0, lag(plan_code) OVER w AS p0, lag(seats) OVER w AS n0,
@@ -193,14 +197,16 @@ UNION ALL SELECT * FROM again""",
     days="activity_date",
 )
 def fct_account_activity_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An earlier build of the daily fact with the days reopened since put in place."""
+    """An earlier build of the daily fact with the days reopened since put in place, on tables kept
+    by day."""
     raw = inputs.product_events(spark, sf_dir)
     early = raw.where(F.col("loaded_at") < F.lit("2024-01-20").cast("timestamp"))
-    built = core.fct_account_activity_daily(
-        staging.stg_product_events(early, inputs.account_changes_raw(spark, sf_dir), CTX), CTX
-    )
-    fresh = core.fct_account_activity_daily(merged(spark, sf_dir), CTX, built)
-    return replace_by_key(built, fresh, ["account_id", "activity_date"])
+    before = staging.stg_product_events(early, inputs.account_changes_raw(spark, sf_dir), CTX)
+    table = Layer(spark, f"{shared_folder(spark)}/layer-{uuid.uuid4().hex}").activity()
+    table.overwrite(core.fct_account_activity_daily(before, CTX), CTX)
+    events = merged_by_day(spark, sf_dir).read()
+    fresh = core.fct_account_activity_daily(events, CTX, newest=table.newest())
+    return table.replace(fresh, CTX)
 
 
 @query(

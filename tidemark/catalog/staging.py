@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,12 @@ from tidemark.catalog.inputs import (
     SQL_USER_CHANGES,
 )
 from tidemark.catalog.registry import query
+from tidemark.context import shared_folder
 from tidemark.operators.changes import cdc_stream, current_rows
 from tidemark.operators.incremental import lookback, replace_by_key
 from tidemark.plans import ops, staging
+from tidemark.plans.build import Layer
+from tidemark.sources.days import DayTable
 
 # What a build made before 20 January would hold.
 BUILT_BEFORE = "2024-01-20"
@@ -83,6 +88,18 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_by_key(built, fresh, ["event_id"])
 
 
+def merged_by_day(spark: SparkSession, sf_dir: str) -> DayTable:
+    """The same by way of a table kept by day, of which the run rewrites the days it touches."""
+    raw = inputs.product_events(spark, sf_dir)
+    accounts = inputs.account_changes_raw(spark, sf_dir)
+    before = raw.where(F.col("loaded_at") < F.lit(BUILT_BEFORE).cast("timestamp"))
+    table = Layer(spark, f"{shared_folder(spark)}/layer-{uuid.uuid4().hex}").events()
+    table.overwrite(staging.stg_product_events(before, accounts, CTX), CTX)
+    fresh = staging.stg_product_events(raw, accounts, CTX, newest=table.newest())
+    table.replace(fresh, CTX)
+    return table
+
+
 @query(
     f"WITH {SQL_EVENTS}, {SQL_ACCOUNT_CHANGES}, {SQL_STAGED} SELECT * FROM staged",
     ts="event_time received_at kafka_ts loaded_at",
@@ -98,7 +115,8 @@ FROM merged""",
     ts="event_time loaded_at",
 )
 def stg_product_events_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merged(spark, sf_dir).select(
+    """An earlier build with an incremental run put in place, on a table kept by day."""
+    return merged_by_day(spark, sf_dir).read().select(
         "event_id",
         "account_id",
         "event_type",

@@ -7,16 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.context import Context
-from tidemark.operators.incremental import replace_by_key
 from tidemark.plans import core, marts, staging
-
-# Read more than once further down, so written out and read back; the rest stays lazy.
-MATERIALISED = ("stg_product_events", "dim_subscription", "fct_account_activity_daily")
-
+from tidemark.sources.days import DayTable
 
 @dataclass(frozen=True)
 class Layer:
-    """Where built tables are kept: one folder per build, on storage every executor reaches."""
+    """Where built tables are kept, on storage every executor reaches."""
 
     spark: SparkSession
     root: str
@@ -28,35 +24,43 @@ class Layer:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
+    def events(self) -> DayTable:
+        """Staged events, by the day they happened on."""
+        return DayTable(self.spark, f"{self.root}/stg_product_events", "event_time", ("event_id",))
+
+    def activity(self) -> DayTable:
+        """Daily activity, by its day."""
+        keys = ("account_id", "activity_date")
+        path = f"{self.root}/fct_account_activity_daily"
+        return DayTable(self.spark, path, "activity_date", keys, "last_loaded_at")
+
 
-def build(
-    raw: dict[str, DataFrame], ctx: Context, layer: Layer, previous: Layer | None = None
-) -> dict[str, DataFrame]:
-    """All models. With ``previous`` and no full refresh the event models are built onto it.
+def build(raw: dict[str, DataFrame], ctx: Context, layer: Layer) -> dict[str, DataFrame]:
+    """All models. Without a full refresh the event models are built onto what the layer holds.
 
-    A build writes to its own folder and reads the previous one, so a build that dies leaves the
-    tables in use untouched.
+    They are kept by day, and a run rewrites the days it touches: those of rows loaded since the
+    last build, looked back from, and those of rows that these replace. All other models are lazy
+    or written whole.
     """
     cdc = raw["cdc_changes"]
-    incremental = previous is not None and not ctx.full_refresh
     out: dict[str, DataFrame] = {}
 
-    def merged(name: str, make, keys: list[str]) -> None:
-        if incremental:
-            held = previous.read(name)
-            out[name] = layer.write(name, replace_by_key(held, make(held), keys))
-        else:
-            out[name] = layer.write(name, make(None))
+    def merged(table: DayTable, make) -> DataFrame:
+        if ctx.full_refresh or not table.built():
+            return table.overwrite(make(None), ctx)
+        return table.replace(make(table.newest()), ctx)
 
-    merged(
-        "stg_product_events",
-        lambda held: staging.stg_product_events(raw["product_events"], cdc, ctx, held),
-        ["event_id"],
+    out["stg_product_events"] = merged(
+        layer.events(),
+        lambda newest: staging.stg_product_events(
+            raw["product_events"], cdc, ctx, newest=newest
+        ),
     )
-    merged(
-        "fct_account_activity_daily",
-        lambda held: core.fct_account_activity_daily(out["stg_product_events"], ctx, held),
-        ["account_id", "activity_date"],
+    out["fct_account_activity_daily"] = merged(
+        layer.activity(),
+        lambda newest: core.fct_account_activity_daily(
+            out["stg_product_events"], ctx, newest=newest
+        ),
     )
     staged = out["stg_product_events"]
     activity = out["fct_account_activity_daily"]

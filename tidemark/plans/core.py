@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.context import Context
 from tidemark.functions import changed, surrogate_key
 from tidemark.operators.history import flatten_intervals, scd2
-from tidemark.operators.incremental import affected_keys, lookback
+from tidemark.operators.incremental import affected_keys, lookback, since
 
 # Fixed values.
 REQUIRED_FIELDS = {
@@ -151,17 +151,24 @@ def daily_activity(events: DataFrame) -> DataFrame:
 
 
 def fct_account_activity_daily(
-    staged: DataFrame, ctx: Context, built: DataFrame | None = None
+    staged: DataFrame,
+    ctx: Context,
+    built: DataFrame | None = None,
+    newest: int | None = None,
 ) -> DataFrame:
-    """Daily usage per account. With ``built`` and no full refresh, only the reopened days.
+    """Daily usage per account. With ``built``, or the ``newest`` load it has counted, and no full
+    refresh, only the reopened days.
 
     A late event reopens the day it happened on, and that day is counted again as a whole from all
     its events, so that a rerun cannot count anything twice.
     """
-    if built is None or ctx.full_refresh:
+    if (built is None and newest is None) or ctx.full_refresh:
         return daily_activity(staged)
     days = ["account_id", "activity_date"]
-    recent = lookback(staged, built, ctx.lookback_days, "loaded_at", "last_loaded_at")
+    if newest is not None:
+        recent = since(staged, newest, ctx.lookback_days)
+    else:
+        recent = lookback(staged, built, ctx.lookback_days, "loaded_at", "last_loaded_at")
     reopened = affected_keys(recent.withColumn("activity_date", F.to_date("event_time")), days)
     # Reopened days are few and recent. Their range, one row, becomes a literal that lets the scan
     # of all events skip everything outside it.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.context import Context
 from tidemark.functions import json_record, safe_rate, seconds_between
 from tidemark.operators.changes import cdc_stream
-from tidemark.operators.incremental import lookback
+from tidemark.operators.incremental import lookback, since
 
 # Payload and row members the models below depend on; drift in them is blocking.
 REQUIRED_FIELDS = {
@@ -184,15 +184,23 @@ def drop_predating(events: DataFrame, exists: DataFrame) -> DataFrame:
 
 
 def stg_product_events(
-    raw_events: DataFrame, cdc_changes: DataFrame, ctx: Context, built: DataFrame | None = None
+    raw_events: DataFrame,
+    cdc_changes: DataFrame,
+    ctx: Context,
+    built: DataFrame | None = None,
+    newest: int | None = None,
 ) -> DataFrame:
-    """Typed events, one per id. With ``built`` and no full refresh, only the fresh rows of an
-    incremental run, to be put in place by event id.
+    """Typed events, one per id. With ``built``, or the ``newest`` instant built, and no full
+    refresh, only the fresh rows of an incremental run, to be put in place by event id.
 
     An incremental run ranks and counts copies among the rows it looks back on.
     """
-    incremental = built is not None and not ctx.full_refresh
-    source = lookback(raw_events, built, ctx.lookback_days) if incremental else raw_events
+    incremental = (built is not None or newest is not None) and not ctx.full_refresh
+    source = raw_events
+    if incremental and newest is not None:
+        source = since(raw_events, newest, ctx.lookback_days)
+    elif incremental:
+        source = lookback(raw_events, built, ctx.lookback_days)
     arrived = with_lags(first_arrival(source), ctx.lookback_days)
     kept = drop_predating(arrived, account_exists(cdc_changes))
     if incremental:
