@@ -307,9 +307,26 @@ def test_training_carries_state_through_long_documents(words):
     tokens, bounds = lm_scoring._flat(group)
     assert list(np.diff(bounds)) == [1101, 8]
     want = gru.train(model.weights, gru.Lanes.of(tokens, bounds, 4), model.end).flat()
-    (made,) = lm_scoring._fit(SimpleNamespace(value=model), 4, iter([batch]))
-    got = made.column("value").to_numpy() / made.column("weight").to_numpy()
-    assert np.allclose(got, want, atol=1e-6)
+    made = list(lm_scoring._fit(SimpleNamespace(value=model), 4, iter([batch])))
+    assert {b.column("weight")[0].as_py() for b in made} == {1109.0}
+    (got,) = lm_scoring._averaged(iter(made + made))
+    assert np.allclose(got.column("values")[0].values.to_numpy(), want, atol=1e-6)
+
+
+def test_lanes_that_end_within_a_window(words):
+    rng = np.random.default_rng(3)
+    sizes = np.array([70, 3, 9, 40, 41, 1, 17])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    tokens = rng.integers(0, 64, bounds[-1]).astype(np.int16)
+    w = gru.initial(64, 6, np.ones(64))
+    lanes = gru.Lanes.of(tokens, bounds, 4)
+    seen = np.concatenate(
+        [at.ravel() if real is None else at[real] for at, real in lanes.windows(1, 7)]
+    )
+    assert sorted(seen) == list(range(bounds[-1]))
+    assert len(list(lanes.windows(1, 7))) == -(-lanes.lengths[0] // 7)
+    one_by_one = [gru.score(w, gru.Lanes.of(tokens[a:b], np.array([0, b - a]), 1), 3)[0] for a, b in zip(bounds, bounds[1:])]
+    assert np.allclose(gru.score(w, lanes, 3, 1, 7), one_by_one, atol=1e-4)
 
 
 def test_vocabulary_holds_thousands_of_words(table):

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-PER_CLASS = 32
+PER_CLASS = 64
 
 
 @dataclass
@@ -99,14 +99,20 @@ class Lanes:
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         return Lanes(tokens[at], starts, lengths, begins, order, ends)
 
-    def windows(self, steps: int):
-        """Per window: the flat positions of its tokens as a matrix (step, lane); a lane that ends
-        within the window leaves it one step later at the latest, so rows get shorter only."""
+    def windows(self, tokens: int, steps: int, most: int = 256):
+        """Per window: the flat positions of its tokens as a matrix (step, lane), and which of them
+        are real, or None if all are; a lane that ends within a window stays at its last token. A
+        window has ``steps`` steps, and where few lanes are left more, up to ``most``, for
+        ``tokens`` tokens: else long documents, which go on alone, would take a window for every few
+        tokens."""
         t, longest = 0, int(self.lengths[0]) if len(self.lengths) else 0
         while t < longest:
             live = int(np.searchsorted(-self.lengths, -t, side="left"))
-            last = min(t + steps, int(self.lengths[live - 1]))
-            yield self.starts[None, :live] + np.arange(t, last)[:, None]
+            last = min(t + min(max(steps, tokens // live), most), longest)
+            at = np.arange(t, last)[:, None]
+            ends = self.lengths[:live]
+            real = at < ends if ends[-1] < last else None
+            yield self.starts[None, :live] + np.minimum(at, ends - 1), real
             t = last
 
 
@@ -214,17 +220,19 @@ def _given(lanes: Lanes, at: np.ndarray, begin: int) -> tuple[np.ndarray, np.nda
     return np.where(fresh, begin, lanes.flat[np.maximum(at - 1, 0)]), fresh
 
 
-def score(w: Weights, lanes: Lanes, begin: int, steps: int = 32) -> np.ndarray:
+def score(w: Weights, lanes: Lanes, begin: int, tokens: int = 16384, steps: int = 32) -> np.ndarray:
     """Natural log-probability of each document, in the order the documents were given in."""
     logs = np.empty(len(lanes.flat))
     h = np.zeros((len(lanes.lengths), w.hidden), np.float32)
     bounded = _bounded(w)
-    for at in lanes.windows(steps):
+    for at, real in lanes.windows(tokens, steps):
         given, fresh = _given(lanes, at, begin)
         states, h = advance(w, given, fresh, h[: at.shape[1]], None)
-        targets = lanes.flat[at].ravel().astype(np.int64)
-        found, _ = _outputs(w, states.reshape(-1, w.hidden), targets, bounded)
-        logs[at.ravel()] = found
+        if real is None:
+            states, at = states.reshape(-1, w.hidden), at.ravel()
+        else:
+            states, at = states[real], at[real]
+        logs[at], _ = _outputs(w, states, lanes.flat[at].astype(np.int64), bounded)
     totals = np.add.reduceat(logs, lanes.bounds[:-1]) if len(lanes.order) else np.zeros(0)
     out = np.empty(len(totals))
     out[lanes.order] = totals
@@ -234,30 +242,45 @@ def score(w: Weights, lanes: Lanes, begin: int, steps: int = 32) -> np.ndarray:
 def retreat(w: Weights, keep: list, fresh: np.ndarray, back: np.ndarray, state: np.ndarray):
     """Gradients at the gates of each step of a window, from those at the states, last step first;
     those of the state weights are added to ``state``."""
+    size, steps = w.hidden, len(back)
     carried = np.zeros_like(back[0])
-    gate_grads = np.empty((*back.shape[:2], 3 * w.hidden), np.float32)
-    for t in range(len(back) - 1, -1, -1):
+    gates = np.empty((*back.shape[:2], 3 * size), back.dtype)
+    through = np.empty_like(gates)
+    onwards = np.ascontiguousarray(w.state.T)
+    any_fresh = fresh.any(axis=1)
+    for t in range(steps - 1, -1, -1):
         before, z, r, candidate, pushed = keep[t]
         d = back[t] + carried
-        d_candidate = d * (1 - z) * (1 - candidate * candidate)
-        d_z = d * (before - candidate) * z * (1 - z)
-        d_r = d_candidate * pushed * r * (1 - r)
-        gate_grads[t] = np.concatenate([d_z, d_r, d_candidate], 1)
-        through = np.concatenate([d_z, d_r, d_candidate * r], 1)
-        state += before.T @ through
-        carried = d * z + through @ w.state.T
-        carried[fresh[t]] = 0
-    return gate_grads
-
-
-def gradients(w: Weights, given, fresh, targets, h) -> tuple[Weights, np.ndarray, float]:
+        at_z, at_r, at_candidate = (gates[t, :, k * size : (k + 1) * size] for k in range(3))
+        keeps = d * z
+        leaves = d - keeps
+        np.multiply(leaves, 1 - candidate * candidate, out=at_candidate)
+        np.multiply(leaves * z, before - candidate, out=at_z)
+        turned = at_candidate * r
+        np.multiply(turned * (1 - r), pushed, out=at_r)
+        through[t, :, : 2 * size] = gates[t, :, : 2 * size]
+        through[t, :, 2 * size :] = turned
+        carried = through[t] @ onwards
+        carried += keeps
+        if any_fresh[t]:
+            carried[fresh[t]] = 0
+    befores = np.concatenate([k[0] for k in keep])
+    state += befores.T @ through.reshape(-1, 3 * size)
+    return gates
+
+
+def gradients(w: Weights, given, fresh, targets, h, real=None) -> tuple[Weights, np.ndarray, float]:
     """Ascent direction of a window's log-likelihood, the state after it, and the likelihood."""
     size = w.hidden
     grads = Weights(*[np.zeros_like(p) for p in w.parts()])
     keep: list = []
     states, last = advance(w, given, fresh, h, keep)
-    found, back = _outputs(w, states.reshape(-1, size), targets.ravel(), False, grads)
-    back = back.reshape(states.shape)
+    if real is None:
+        found, back = _outputs(w, states.reshape(-1, size), targets.ravel(), False, grads)
+        back = back.reshape(states.shape)
+    else:
+        back = np.zeros_like(states)
+        found, back[real] = _outputs(w, states[real], targets[real], False, grads)
     gate_grads = retreat(w, keep, fresh, back, grads.state)
     ids = given.ravel()
     order = np.argsort(ids, kind="stable")
@@ -268,21 +291,24 @@ def gradients(w: Weights, given, fresh, targets, h) -> tuple[Weights, np.ndarray
     return grads, last, float(found.sum())
 
 
-def train(w: Weights, lanes: Lanes, begin: int, steps: int = 16, rate: float = 0.05) -> Weights:
+def train(
+    w: Weights, lanes: Lanes, begin: int, tokens: int = 8192, steps: int = 16, rate: float = 0.07
+) -> Weights:
     """One pass over the lanes with a step per window, scaled by the gradients so far."""
     w = w.copy()
     h = np.zeros((len(lanes.lengths), w.hidden), np.float32)
     seen = [np.full_like(p, 1e-4) for p in w.parts()]
-    for at in lanes.windows(steps):
+    for at, real in lanes.windows(tokens, steps):
         given, fresh = _given(lanes, at, begin)
         targets = lanes.flat[at].astype(np.int64)
-        grads, h, _ = gradients(w, given, fresh, targets, h[: at.shape[1]])
+        grads, h, _ = gradients(w, given, fresh, targets, h[: at.shape[1]], real)
+        count = at.size if real is None else int(real.sum())
         # Rows without a gradient stay as they are: words not read, and classes not met.
         kinds = np.flatnonzero(np.bincount(targets.ravel() // PER_CLASS))
         inner = (kinds[:, None] * PER_CLASS + np.arange(PER_CLASS)).ravel()
         touched = (np.flatnonzero(np.bincount(given.ravel())), slice(None), slice(None), inner)
         for p, g, s, rows in zip(w.parts(), grads.parts(), seen, touched, strict=True):
-            g = g[rows] / at.size
+            g = g[rows] / count
             s[rows] += g * g
             p[rows] += rate * g / np.sqrt(s[rows])
     return w

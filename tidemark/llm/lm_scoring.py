@@ -36,6 +36,8 @@ END = mix(np.array([0x454E44], np.uint64))[0]
 #: Tokens handled together in a task: enough to fill the lanes, and a bound on a worker's memory.
 GROUP_TOKENS = 3_000_000
 MERGE_WORDS = 1_000_000
+#: Weights sent together when tasks' weights are averaged.
+SLICE_WEIGHTS = 1 << 14
 
 
 @dataclass
@@ -197,14 +199,31 @@ def _fit(
         weights = gru.train(weights, placed, model.end)
         seen += len(tokens)
     if seen:
-        flat = weights.flat().astype(np.float64)
+        flat = weights.flat()
+        for k, at in enumerate(range(0, len(flat), SLICE_WEIGHTS)):
+            values = flat[at : at + SLICE_WEIGHTS]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k], pa.int32()),
+                    pa.array([values], pa.list_(pa.float32())),
+                    pa.array([float(seen)]),
+                ],
+                ["slice", "values", "weight"],
+            )
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted means of equal slices; what is held is one set of weights at most."""
+    sums: dict[int, tuple[np.ndarray, float]] = {}
+    for batch in batches:
+        for k, values, weight in zip(*(c for c in batch.columns), strict=True):
+            own, weight = values.values.to_numpy().astype(np.float64), weight.as_py()
+            held, so_far = sums.get(k.as_py(), (0.0, 0.0))
+            sums[k.as_py()] = (held + own * weight, so_far + weight)
+    for k, (values, weight) in sums.items():
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(len(flat)), pa.int32()),
-                pa.array(flat * seen),
-                pa.array(np.full(len(flat), float(seen))),
-            ],
-            ["at", "value", "weight"],
+            [pa.array([k], pa.int32()), pa.array([values / weight], pa.list_(pa.float64()))],
+            ["slice", "values"],
         )
 
 
@@ -272,7 +291,7 @@ def fit(
     hidden: int = 16,
     rounds: int = 4,
     share: float = 1.0,
-    lanes: int = 256,
+    lanes: int = 512,
 ) -> Model:
     """Corpus figures and a recurrent model from ``training`` (row, text) and its word counts.
 
@@ -291,14 +310,14 @@ def fit(
         mine = training.where((part >= int(k * width)) & (part < int((k + 1) * width)))
         got = (
             mine.select("text")
-            .mapInArrow(partial(_fit, sent, lanes), "at int, value double, weight double")
-            .groupBy("at")
-            .agg((F.sum("value") / F.sum("weight")).alias("value"))
+            .mapInArrow(partial(_fit, sent, lanes), "slice int, values array<float>, weight double")
+            .repartition("slice")
+            .mapInArrow(_averaged, "slice int, values array<double>")
             .toArrow()
+            .sort_by("slice")
         )
         if got.num_rows:
-            flat = np.empty(got.num_rows)
-            flat[got.column("at").to_numpy()] = got.column("value").to_numpy()
+            flat = got.column("values").combine_chunks().flatten().to_numpy()
             model.weights = model.weights.like(flat)
     return model
 
@@ -320,7 +339,8 @@ def lm_scores(
 
     Null text is an empty text. Null ids and repeated rows are scored like any other. With nothing
     to learn from every word is unknown, and the model is the untrained one. Other columns are
-    ignored. An empty table gives no rows.
+    ignored. An empty table gives no rows. Weights are averaged over tasks, so ``score`` depends on
+    how the input is cut; all other columns do not.
     """
     spark = small_batches(docs.sparkSession)
     source = docs.select(
