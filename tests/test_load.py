@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from datetime import date
 
@@ -14,6 +15,8 @@ from tests.test_envelopes import LOG, event
 from tidemark.plans.ops import ledger_audit
 from tidemark.sources import load
 from tidemark.sources.load import PRODUCT_EVENTS, Warehouse, drain_backfill, run_load
+from tidemark.sources import log_table
+from tidemark.sources.log_table import LogTable
 from tidemark.sources.log import LedgerGap, OffsetsExpired, assert_contiguous, ledger_gaps
 
 TOPIC = "product.session"
@@ -159,6 +162,140 @@ def test_folders_are_by_load_date_alone(spark, folder, ctx):
     assert [r["path"].split("/")[-1] for r in found] == ["loaded_date=2026-03-10"]
 
 
+def test_one_of_two_concurrent_commits_wins(spark, folder, ctx, monkeypatch):
+    """Both runs have found the ledger free of their records when either commits."""
+    warehouse, log = Warehouse(spark, folder), messages(spark, 0, 6, partitions=3)
+    both_checked = threading.Barrier(2)
+    claim = Warehouse._claim
+
+    def together(self, entries):
+        both_checked.wait(60)
+        claim(self, entries)
+
+    monkeypatch.setattr(Warehouse, "_claim", together)
+    outcomes = {}
+
+    def attempt(name):
+        try:
+            run_load(warehouse, log, PRODUCT_EVENTS, TOPIC, name, ctx)
+            outcomes[name] = "won"
+        except load.ClaimConflict:
+            outcomes[name] = "lost"
+
+    racers = [threading.Thread(target=attempt, args=(n,)) for n in ("r1", "r2")]
+    for racer in racers:
+        racer.start()
+    for racer in racers:
+        racer.join()
+    # Each of three partitions goes to one run, and a run that misses one gets none.
+    assert sorted(outcomes.values()) in (["lost", "won"], ["lost", "lost"])
+    assert warehouse.raw(PRODUCT_EVENTS).count() in (0, 18)
+    monkeypatch.setattr(Warehouse, "_claim", claim)
+    winner = next((n for n, o in outcomes.items() if o == "won"), "r1")
+    run_load(warehouse, log, PRODUCT_EVENTS, TOPIC, winner, ctx)
+    assert warehouse.raw(PRODUCT_EVENTS).count() == 18
+
+
+def test_markers_bind_a_start_to_one_run(spark, folder, ctx, monkeypatch):
+    warehouse, log = Warehouse(spark, folder), messages(spark, 0, 4, partitions=2)
+
+    def die(self, entries):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Warehouse, "_append", die)
+        with pytest.raises(RuntimeError):
+            run_load(warehouse, log, PRODUCT_EVENTS, TOPIC, "r1", ctx)
+    with pytest.raises(load.ClaimConflict, match="r1"):
+        run_load(warehouse, log, PRODUCT_EVENTS, TOPIC, "r2", ctx)
+    warehouse.release(TOPIC, 0, 0)
+    # r2 takes partition 0, finds r1 on partition 1, and gives partition 0 back.
+    with pytest.raises(load.ClaimConflict):
+        run_load(warehouse, log, PRODUCT_EVENTS, TOPIC, "r2", ctx)
+    run_load(warehouse, log, PRODUCT_EVENTS, TOPIC, "r1", ctx)
+    assert warehouse.raw(PRODUCT_EVENTS).count() == 8
+
+
+def test_backfill_is_one_landing_with_an_entry_per_batch(spark, folder, ctx):
+    warehouse, log = Warehouse(spark, folder), messages(spark, 0, 10)
+    run_load(warehouse, messages(spark, 0, 2), PRODUCT_EVENTS, TOPIC, "live", ctx)
+    drain_backfill(warehouse, log, PRODUCT_EVENTS, TOPIC, "b", ctx, max_records=3)
+    held = warehouse.ledger().where("dag_run_id <> 'live'").collect()
+    assert {(r["dag_run_id"], r["partition_id"], r["start_offset"], r["end_offset"], r["row_count"]) for r in held} == {
+        (f"b-batch{k}", p, 2 + 3 * k, min(5 + 3 * k, 10), min(3, 8 - 3 * k)) for k in range(3) for p in (0, 1)
+    }
+    assert len({r["batch"] for r in held}) == 1
+    assert drain_backfill(warehouse, log, PRODUCT_EVENTS, TOPIC, "b", ctx, max_records=3) == 0
+    # What comes later goes on in the numbering, and a batch can be repeated by itself.
+    more = messages(spark, 0, 12)
+    assert drain_backfill(warehouse, more, PRODUCT_EVENTS, TOPIC, "b", ctx, max_records=3) == 1
+    assert warehouse.ledger().where("dag_run_id = 'b-batch3'").count() == 2
+    run_load(warehouse, more, PRODUCT_EVENTS, TOPIC, "b-batch1", ctx)
+    assert warehouse.raw(PRODUCT_EVENTS).count() == 24
+    assert entries(warehouse)["b-batch1", 0, 2]["row_count"] == 3
+
+
+def test_sweep_and_compact_change_nothing_for_readers(spark, folder, ctx, monkeypatch):
+    warehouse, log = Warehouse(spark, folder), messages(spark, 0, 10, bad=(4,))
+    drain_backfill(warehouse, log, PRODUCT_EVENTS, TOPIC, "b", ctx, max_records=4)
+    run_load(warehouse, log, PRODUCT_EVENTS, TOPIC, "b-batch1", ctx)  # batch b is partly replaced
+    with monkeypatch.context() as patched:
+        patched.setattr(Warehouse, "commit", lambda self, entries: None)
+        run_load(warehouse, messages(spark, 0, 12), PRODUCT_EVENTS, TOPIC, "dead", ctx)
+    raw = sorted(map(str, warehouse.raw(PRODUCT_EVENTS).collect()))
+    dead = sorted(map(str, warehouse.dlq(PRODUCT_EVENTS).collect()))
+    landed = warehouse.landing(PRODUCT_EVENTS).count()
+    assert (len(raw), len(dead), landed) == (18, 2, 32)
+    past, future = utc(2020, 1, 1), utc(2100, 1, 1)
+    assert warehouse.sweep(PRODUCT_EVENTS, past)["files"] == 0
+    swept = warehouse.sweep(PRODUCT_EVENTS, future)
+    assert (swept["batches"], swept["rows"]) == (1, 4)  # the one that never committed
+    assert warehouse.compact(PRODUCT_EVENTS, ctx, small_rows=0) == 12
+    swept = warehouse.sweep(PRODUCT_EVENTS, future)
+    assert (swept["batches"], swept["rows"]) == (1, 20)
+    assert warehouse.compact(PRODUCT_EVENTS, ctx, small_rows=0) == 0
+    assert warehouse.compact(PRODUCT_EVENTS, ctx, small_rows=100) == 20
+    assert warehouse.sweep(PRODUCT_EVENTS, future)["batches"] == 2
+    assert sorted(map(str, warehouse.raw(PRODUCT_EVENTS).collect())) == raw
+    assert sorted(map(str, warehouse.dlq(PRODUCT_EVENTS).collect())) == dead
+    assert warehouse.landing(PRODUCT_EVENTS).count() == 20
+    # A compacted run is still replaced when it is repeated.
+    run_load(warehouse, messages(spark, 0, 10), PRODUCT_EVENTS, TOPIC, "b-batch1", ctx)
+    assert warehouse.dlq(PRODUCT_EVENTS).count() == 0 and warehouse.raw(PRODUCT_EVENTS).count() == 20
+    assert ledger_audit(warehouse.ledger()).count() == 0
+
+
+def test_bounds_come_from_footers(spark, folder, ctx):
+    log = LogTable(spark, f"{folder}/log").append(messages(spark, 3, 40, partitions=3))
+    log.append(messages(spark, 40, 50, partitions=2))
+    assert {tuple(r) for r in log.bounds(TOPIC).collect()} == {
+        (TOPIC, 0, 3, 50), (TOPIC, 1, 3, 50), (TOPIC, 2, 3, 40),
+    }
+    assert log.bounds("another").count() == 0
+    with log_table._settings(spark, log_table._FOOTERS):
+        plan = log._ends(TOPIC)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MIN(offset), MAX(offset)]" in plan
+    assert "PushedGroupBy: [topic, partition]" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    near = log.messages(TOPIC, [{"partition": 1, "start_offset": 41, "end_offset": 44}])
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "GreaterThanOrEqual(offset,41)" in plan
+    assert sorted(r["offset"] for r in near.collect()) == [41, 42, 43]
+
+
+def test_loads_from_files_equal_loads_from_messages(spark, folder, ctx):
+    given = messages(spark, 0, 12, bad=(5,))
+    log = LogTable(spark, f"{folder}/log").append(given)
+    results = []
+    for name, source in (("a", given), ("b", log)):
+        warehouse = Warehouse(spark, f"{folder}/{name}")
+        run_load(warehouse, source, PRODUCT_EVENTS, TOPIC, "r1", ctx, max_records=5)
+        drain_backfill(warehouse, source, PRODUCT_EVENTS, TOPIC, "b", ctx, max_records=3)
+        results.append(sorted(map(str, warehouse.raw(PRODUCT_EVENTS).collect())))
+        assert ledger_gaps(warehouse.ledger()).count() == 0
+    assert results[0] == results[1] and len(results[0]) == 22
+
+
 def test_unknown_accounts_survive_erasure(spark):
     rows = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "account_id BIGINT, x STRING")
     gone = spark.createDataFrame([(1,)], "account_id BIGINT")

@@ -27,6 +27,17 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.with_number(inputs.in_utc(files))
 
 
+def _in_parts(messages: DataFrame, folder: str, parts: int = 3) -> DataFrame:
+    """A log as a stream over files, each a further stretch of all partitions, one per trigger."""
+    spark = messages.sparkSession
+    ends = messages.agg((F.max("offset") + 1).alias("n")).first()["n"]
+    for k in range(parts):
+        near = (F.col("offset") >= k * ends // parts) & (F.col("offset") < (k + 1) * ends // parts)
+        messages.where(near).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1)
+    return stream.parquet(folder)
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -38,12 +49,12 @@ SELECT partition AS partition_id, "offset" AS kafka_offset, event_uid AS event_i
     ts="event_time",
 )
 def streamed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event topic loaded as a stream, read back through the ledger."""
+    """The event topic loaded as a stream of several micro-batches, read back through the ledger."""
     folder = _folder(spark)
     warehouse = Warehouse(spark, f"{folder}/warehouse")
     stream_load(
         warehouse,
-        logs.as_messages(_event_stream(spark, sf_dir)),
+        _in_parts(logs.event_log(spark, sf_dir), f"{folder}/log"),
         PRODUCT_EVENTS,
         "events",
         f"{folder}/checkpoint",

@@ -28,6 +28,7 @@ from tidemark.context import shared_folder
 from tidemark.operators.latest import latest_per
 from tidemark.plans import ops, privacy
 from tidemark.sources import load, log, pull, routing
+from tidemark.sources.log_table import LogTable
 from tidemark.sources.envelopes import (
     OK,
     parse_billing_webhooks,
@@ -42,9 +43,16 @@ SQL_BOUNDS = """bounds AS (
 )"""
 
 
+def _log_table(spark: SparkSession, sf_dir: str) -> LogTable:
+    """The event topic as files by topic and partition."""
+    table = LogTable(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}")
+    return table.append(logs.event_log(spark, sf_dir))
+
+
 @query(f"WITH {SQL_BOUNDS} SELECT * FROM bounds")
 def log_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.log_bounds(logs.event_log(spark, sf_dir))
+    """Bounds of a log kept as files, from their footers."""
+    return _log_table(spark, sf_dir).bounds(logs.EVENT_TOPIC)
 
 
 @query(f"""WITH {SQL_BOUNDS}
@@ -54,14 +62,15 @@ FROM events e JOIN bounds b ON e.event_id % 6 = b.partition
 WHERE e.event_id // 6 >= b.high_water // 3 AND e.event_id // 6 < 2 * b.high_water // 3
 GROUP BY ALL""")
 def bounded_range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The middle third of each partition."""
-    messages = logs.event_log(spark, sf_dir)
-    ranges = log.log_bounds(messages).select(
+    """The middle third of each partition of a log kept as files."""
+    table = _log_table(spark, sf_dir)
+    ranges = table.bounds(logs.EVENT_TOPIC).select(
         "topic",
         "partition",
         F.expr("high_water div 3").alias("start_offset"),
         F.expr("(2 * high_water) div 3").alias("end_offset"),
     )
+    messages = table.messages(logs.EVENT_TOPIC, ranges.collect())
     return (
         log.read_range(messages, ranges)
         .groupBy("topic", "partition")
@@ -323,6 +332,41 @@ def replaced_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.raw(target).drop("ledger_id", "received_at", "payload")
 
 
+@query(f"""WITH {SQL_EVENTS}, {SQL_EVENT_LOG}, {SQL_ERASURE}, slots AS (
+  SELECT partition, min("offset") AS s, max("offset") + 1 AS e FROM messages GROUP BY partition
+), placed AS (
+  SELECT reason, "offset" < s + (SELECT max(e - s) // 2 FROM slots) AS early,
+    coalesce(account_id IN (SELECT account_id FROM erasure), false) AS erased
+  FROM messages JOIN slots USING (partition)
+)
+SELECT 3 AS batches_swept, count(*) FILTER (WHERE early) + count(*) AS rows_swept,
+  count(*) AS rows_compacted, count(*) AS rows_left,
+  count(*) FILTER (WHERE reason IS NULL AND NOT (early AND erased)) AS rows_seen
+FROM placed""")
+def swept_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic loaded in two runs, the first of them repeated once erasures were known. Its replaced
+    rows are swept, the two batches that are seen rewritten as one, and these swept in turn."""
+    warehouse, table = _warehouse(spark), _log_table(spark, sf_dir)
+    target, topic = load.PRODUCT_EVENTS, logs.EVENT_TOPIC
+    longest = table.bounds(topic).agg(F.max(F.col("high_water") - F.col("earliest"))).first()[0]
+    later = datetime(2100, 1, 1, tzinfo=UTC)
+    load.run_load(warehouse, table, target, topic, "first", CTX, longest // 2)
+    load.run_load(warehouse, table, target, topic, "second", CTX, 1 << 60)
+    load.run_load(
+        warehouse, table, target, topic, "first", CTX, 1 << 60, erasure=erasure(spark, sf_dir)
+    )
+    replaced = warehouse.sweep(target, later)
+    compacted = warehouse.compact(target, CTX, small_rows=1 << 60)
+    rewritten = warehouse.sweep(target, later)
+    return spark.range(1).select(
+        F.lit(replaced["batches"] + rewritten["batches"]).alias("batches_swept"),
+        F.lit(replaced["rows"] + rewritten["rows"]).alias("rows_swept"),
+        F.lit(compacted).alias("rows_compacted"),
+        F.lit(warehouse.landing(target).count()).alias("rows_left"),
+        F.lit(warehouse.raw(target).count()).alias("rows_seen"),
+    )
+
+
 @query(f"""WITH {SQL_EVENTS}, {SQL_EVENT_LOG}, {SQL_ERASURE}, counted AS (
   SELECT topic, partition, min("offset") AS start_offset, max("offset") + 1 AS end_offset,
     count(*) FILTER (WHERE reason IS NULL AND (account_id IS NULL OR account_id NOT IN (

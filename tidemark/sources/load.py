@@ -18,12 +18,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.context import Context
+from tidemark.context import Context, kept
 from tidemark.functions import at
 from tidemark.sources.envelopes import (
     DEAD,
@@ -35,14 +36,17 @@ from tidemark.sources.envelopes import (
     parse_product_events,
     raw_text,
 )
+from tidemark.sources.files import create_once, delete, read_text
 from tidemark.sources.log import (
     SLOT,
     assert_contiguous,
     assert_retained,
+    claim_ranges,
     latest_attempts,
-    log_bounds,
+    read_range,
     run_ranges,
 )
+from tidemark.sources.log_table import Log, bounds_of, records_of
 
 # Records per topic partition and run, live and for history replays.
 LIVE_MAX_RECORDS = 50_000
@@ -172,9 +176,9 @@ def dlq_rows(parsed: DataFrame) -> DataFrame:
     )
 
 
-def ledger_id_expr(run_id: str):
+def ledger_id_expr(run: Column) -> Column:
     """One key per run, topic and partition, the same whenever that run is repeated."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(run_id), "topic", "partition"), 1)
+    return F.shiftrightunsigned(F.xxhash64(run, "topic", "partition"), 1)
 
 
 def stamp(
@@ -200,23 +204,24 @@ def stamp(
 
 
 def ledger_entries(
-    landed: DataFrame, ranges: DataFrame, run_id: str, target: LoadTarget, batch: str, ctx: Context
+    landed: DataFrame, ranges: DataFrame, target: LoadTarget, batch: str, ctx: Context
 ) -> DataFrame:
-    """One entry per claimed range with its counts, ranges without any rows included."""
+    """One entry per claimed range (with its ``run``) and its counts, ranges without rows included."""
 
     def tally(disposition: str, name: str):
         return F.count_if(F.col("disposition") == disposition).alias(name)
 
-    counts = landed.groupBy("topic", F.col("partition_id").cast("int").alias("partition")).agg(
+    counts = landed.groupBy("ledger_id").agg(
         tally(OK, "row_count"),
         tally(DEAD, "dlq_count"),
         tally(ERASED, "erased_count"),
         tally(SKIP, "skipped_count"),
     )
     names = ("row_count", "dlq_count", "erased_count", "skipped_count")
-    return ranges.join(counts, SLOT, "left").select(
-        ledger_id_expr(run_id).alias("ledger_id"),
-        F.lit(run_id).alias("dag_run_id"),
+    claimed = ranges.withColumn("ledger_id", ledger_id_expr(F.col("run")))
+    return claimed.join(counts, "ledger_id", "left").select(
+        "ledger_id",
+        F.col("run").alias("dag_run_id"),
         "topic",
         F.col("partition").cast("smallint").alias("partition_id"),
         "start_offset",
@@ -315,8 +320,130 @@ class Warehouse:
                 f"{row['topic']}/{row['partition_id']}: {row['_run']} has committed offsets "
                 f"{row['_start']} to {row['_end']} already"
             )
+        self._claim(entries)
+        self._append(entries)
+
+    def _append(self, entries: DataFrame) -> None:
         entries.coalesce(1).write.mode("append").parquet(f"{self.root}/load_ledger")
 
+    def _marker(self, slot: Row) -> str:
+        place = f"{slot['topic']}/{slot['partition_id']}/{slot['start']:020d}"
+        return f"{self.root}/claims/{place}"
+
+    def _claim(self, entries: DataFrame) -> None:
+        """Mark where each topic partition's new records begin; of several runs one can.
+
+        Runs claim from where the ledger ends, so runs that race begin at the same record. A marker
+        is made only where there is none, and names its run: the same run may come back to it, which
+        is how a run that died before its entries were appended goes on. ``release`` takes back a
+        marker whose run will not return.
+        """
+        firsts = (
+            entries.groupBy(*SLOT_IN_LEDGER)
+            .agg(
+                F.min("start_offset").alias("start"),
+                F.min_by("dag_run_id", "start_offset").alias("run"),
+            )
+            .collect()  # one per topic partition
+        )
+        made = []
+        for slot in firsts:
+            path = self._marker(slot)
+            if create_once(self.spark, path, slot["run"]):
+                made.append(path)
+                continue
+            holder = read_text(self.spark, path)
+            if holder != slot["run"]:
+                for mine in made:
+                    delete(self.spark, mine)
+                raise ClaimConflict(
+                    f"{slot['topic']}/{slot['partition_id']}: {holder} is committing offsets from "
+                    f"{slot['start']} on"
+                )
+
+    def release(self, topic: str, partition: int, start: int) -> None:
+        """Take back the marker of a run that died before its commit and will not be repeated."""
+        delete(self.spark, self._marker({"topic": topic, "partition_id": partition, "start": start}))
+
+    # ------------------------------------------------------------ upkeep
+
+    def _standing(self, target: LoadTarget) -> DataFrame:
+        """Landed rows by batch and ledger entry, and whether readers see them."""
+        current = latest_attempts(self.ledger()).select("batch", "ledger_id", F.lit(1).alias("_now"))
+        landed = self.landing(target).groupBy("batch", "ledger_id").agg(F.count("*").alias("rows"))
+        return landed.join(current, ["batch", "ledger_id"], "left").select(
+            "batch", "ledger_id", "rows", F.col("_now").isNotNull().alias("seen")
+        )
+
+    def sweep(self, target: LoadTarget, before: datetime) -> Row:
+        """Delete files of batches of which readers see nothing; returns batches, files and rows.
+
+        Such a batch was replaced by a rerun, rewritten by ``compact``, or never committed. Files
+        written since ``before`` are left: they may belong to a load that has yet to commit, or to a
+        batch that a reader still at work has begun to read. A file holds one batch only.
+        """
+        batches = (
+            self._standing(target)
+            .groupBy("batch")
+            .agg(F.sum("rows").alias("rows"), F.bool_or("seen").alias("seen"))
+            .where(~F.col("seen"))
+        )
+        files = (
+            self.landing(target)
+            .select(
+                "batch",
+                F.col("_metadata.file_path").alias("path"),
+                F.col("_metadata.file_modification_time").alias("written"),
+            )
+            .join(batches.select("batch"), "batch", "left_semi")
+            .groupBy("batch", "path")
+            .agg(F.max("written").alias("written"), F.count("*").alias("rows"))
+            .where(F.col("written") < at(before))
+        )
+        swept = kept(files)
+        for file in swept.select("path").toLocalIterator():
+            delete(self.spark, file["path"])
+        return swept.agg(
+            F.countDistinct("batch").alias("batches"),
+            F.count("*").alias("files"),
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        ).first()
+
+    def compact(self, target: LoadTarget, ctx: Context, small_rows: int = 1_000_000) -> int:
+        """Rewrite batches that are partly replaced, and small ones, as one; returns the rows.
+
+        What readers see of them is landed again as a new batch, and the same ledger entries are
+        then appended with that batch as a further attempt, in one file: readers change over at
+        once, and see the same rows. The old files are for a later ``sweep``.
+        """
+        standing = kept(self._standing(target))
+        sizes = standing.groupBy("batch").agg(
+            F.bool_and("seen").alias("whole"),
+            F.coalesce(F.sum(F.when(F.col("seen"), F.col("rows"))), F.lit(0)).alias("rows"),
+        )
+        worn = kept(
+            sizes.where((F.col("rows") > 0) & (~F.col("whole") | (F.col("rows") < small_rows)))
+        )
+        figures = worn.agg(F.count("*").alias("n"), F.bool_and("whole").alias("whole")).first()
+        if not figures["n"] or (figures["n"] == 1 and figures["whole"]):
+            return 0
+        batch = uuid.uuid4().hex
+        entries = latest_attempts(self.ledger()).join(worn.select("batch"), "batch", "left_semi")
+        entries = kept(entries)
+        live = self.landing(target).join(
+            entries.select("batch", "ledger_id"), ["batch", "ledger_id"], "left_semi"
+        )
+        order = ["loaded_date", "topic", "partition_id", "kafka_offset"]
+        rows = live.drop("batch").repartitionByRange(*order).sortWithinPartitions(*order)
+        landed = self.land(rows, target, batch).count()
+        again = {
+            "attempt": F.col("attempt") + 1,
+            "updated_at": at(ctx.now),
+            "batch": F.lit(batch),
+        }
+        self._append(entries.withColumns(again).select(*self.ledger().columns))
+        return landed
+
 
 def load_records(
     warehouse: Warehouse,
@@ -328,26 +455,57 @@ def load_records(
     source_path: str = "live",
     erasure: DataFrame | None = None,
 ) -> DataFrame:
-    """Land and commit the records of claimed ranges; returns the run's ledger entries."""
+    """Land and commit the records of one run's claimed ranges; returns its ledger entries."""
+    named = ranges.withColumn("run", F.lit(run_id))
+    dates = named.select(*SLOT, F.col("loaded_date").alias("_date"), F.col("run").alias("_run"))
+    return land_and_commit(
+        warehouse,
+        records,
+        lambda parsed: parsed.join(dates, SLOT),
+        named,
+        target,
+        ctx,
+        source_path,
+        erasure,
+    )
+
+
+def land_and_commit(
+    warehouse: Warehouse,
+    records: DataFrame,
+    placed: Callable[[DataFrame], DataFrame],
+    ranges: DataFrame | Callable[[DataFrame], DataFrame | None],
+    target: LoadTarget,
+    ctx: Context,
+    source_path: str = "live",
+    erasure: DataFrame | None = None,
+) -> DataFrame:
+    """Land records under the date and run that ``placed`` gives them, and commit their ranges.
+
+    ``ranges`` are known, or found from what has landed, which is every record that was read; where
+    none are found nothing is committed.
+    """
     batch = uuid.uuid4().hex
     parsed = target.parse(records)
     if erasure is not None:
         parsed = mark_erased(parsed, erasure)
-    dated = parsed.join(ranges.select(*SLOT, F.col("loaded_date").alias("_date")), SLOT)
-    rows = stamp(dated, target, ledger_id_expr(run_id), F.col("_date"), ctx, source_path)
+    dated = placed(parsed)
+    rows = stamp(dated, target, ledger_id_expr(F.col("_run")), F.col("_date"), ctx, source_path)
     if source_path == "backfill":
         # Replayed history lands under one load date; ordered files keep parquet's min/max useful.
         rows = rows.repartitionByRange(target.sort_key, "kafka_offset").sortWithinPartitions(
             target.sort_key
         )
     landed = warehouse.land(rows, target, batch)
-    warehouse.commit(ledger_entries(landed, ranges, run_id, target, batch, ctx))
+    claimed = ranges if isinstance(ranges, DataFrame) else ranges(landed)
+    if claimed is not None:
+        warehouse.commit(ledger_entries(landed, claimed, target, batch, ctx))
     return warehouse.ledger().where(F.col("batch") == batch)
 
 
 def run_load(
     warehouse: Warehouse,
-    log: DataFrame,
+    log: Log,
     target: LoadTarget,
     topic: str,
     run_id: str,
@@ -361,27 +519,19 @@ def run_load(
     The only rows brought to the driver are the claims: one per partition of the topic.
     """
     spark = warehouse.spark
-    one_topic = log.where(F.col("topic") == topic)
     ledger = warehouse.ledger()
     # One row per partition of the topic, read once and reused by the checks below.
-    bounds = spark.createDataFrame(log_bounds(one_topic).collect(), BOUNDS_SCHEMA)
+    bounds = spark.createDataFrame(bounds_of(log, topic).collect(), BOUNDS_SCHEMA)
     rows = run_ranges(bounds, ledger, run_id, max_records, ctx).collect()
     if not rows:
         return None
     ranges = spark.createDataFrame(rows, RANGE_SCHEMA)
     assert_contiguous(ranges.where(F.col("attempt") == 0), ledger)
     assert_retained(ranges, bounds)
-    low = min(r["start_offset"] for r in rows)
-    high = max(r["end_offset"] for r in rows)
-    # Implied by every range; as literals they prune row groups of a log kept in parquet.
-    near = one_topic.where((F.col("offset") >= low) & (F.col("offset") < high))
-    inside = (F.col("offset") >= F.col("start_offset")) & (
-        F.col("offset") < F.col("end_offset")
-    )
-    records = near.join(ranges.select(*SLOT, "start_offset", "end_offset"), SLOT).where(inside)
+    records = read_range(records_of(log, topic, rows), ranges)
     return load_records(
         warehouse,
-        records.drop("start_offset", "end_offset"),
+        records,
         ranges,
         target,
         run_id,
@@ -391,9 +541,43 @@ def run_load(
     )
 
 
+def batches_recorded(ledger: DataFrame, run_id: str) -> int:
+    """How many batches of a backfill the ledger has."""
+    prefix = f"{run_id}-batch"
+    own = ledger.where(F.startswith("dag_run_id", F.lit(prefix)))
+    number = F.substring("dag_run_id", len(prefix) + 1, 20).try_cast("bigint")
+    last = own.agg(F.max(number)).first()[0]
+    return 0 if last is None else last + 1
+
+
+def backfill_ranges(
+    bounds: DataFrame, ledger: DataFrame, run_id: str, first: int, max_records: int, ctx: Context
+) -> DataFrame:
+    """All that a log holds beyond the ledger, in ranges of ``max_records``, each with its run.
+
+    The k-th range of every topic partition belongs to the run's k-th batch, counted from ``first``.
+    """
+    whole = claim_ranges(bounds, ledger, 1 << 62)
+    step = F.lit(max_records).cast("bigint")
+    starts = F.sequence("start_offset", F.col("end_offset") - 1, step)
+    return (
+        whole.select(*SLOT, "end_offset", F.posexplode(starts).alias("_k", "start_offset"))
+        .select(
+            *SLOT,
+            "start_offset",
+            F.least("end_offset", F.col("start_offset") + step).alias("end_offset"),
+            F.lit(ctx.today).alias("loaded_date"),
+            F.lit(0).alias("attempt"),
+            F.concat(F.lit(f"{run_id}-batch"), (F.lit(first) + F.col("_k")).cast("string")).alias(
+                "run"
+            ),
+        )
+    )
+
+
 def drain_backfill(
     warehouse: Warehouse,
-    log: DataFrame,
+    log: Log,
     target: LoadTarget,
     topic: str,
     run_id: str,
@@ -401,21 +585,32 @@ def drain_backfill(
     max_records: int = BACKFILL_MAX_RECORDS,
     erasure: DataFrame | None = None,
 ) -> int:
-    """Read a topic to its end in bounded batches, one run id each; returns how many."""
-    batches = 0
-    while (
-        run_load(
-            warehouse,
-            log,
-            target,
-            topic,
-            f"{run_id}-batch{batches}",
-            ctx,
-            max_records,
-            "backfill",
-            erasure,
-        )
-        is not None
-    ):
-        batches += 1
-    return batches
+    """Read a topic to its end as bounded batches with a run id each; returns how many.
+
+    All batches are claimed, landed and committed by one job over the log. A record's batch follows
+    from its offset, so records do not meet the list of ranges, however long that is. A drain that
+    dies has committed nothing and is repeated as a whole; one that finished finds what came since.
+    """
+    ledger = warehouse.ledger()
+    bounds = warehouse.spark.createDataFrame(bounds_of(log, topic).collect(), BOUNDS_SCHEMA)
+    first = batches_recorded(ledger, run_id)
+    ranges = kept(backfill_ranges(bounds, ledger, run_id, first, max_records, ctx))
+    slots = ranges.groupBy(*SLOT).agg(
+        F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset")
+    )
+    rows = slots.collect()  # one per topic partition
+    if not rows:
+        return 0
+    slots = warehouse.spark.createDataFrame(rows, slots.schema)
+    assert_contiguous(slots, ledger)
+    assert_retained(slots, bounds)
+    batch = F.lit(first) + F.floor((F.col("offset") - F.col("_start")) / max_records)
+
+    def placed(parsed: DataFrame) -> DataFrame:
+        own = slots.select(*SLOT, F.col("start_offset").alias("_start"))
+        run = F.concat(F.lit(f"{run_id}-batch"), batch.cast("string"))
+        return parsed.join(own, SLOT).withColumns({"_run": run, "_date": F.lit(ctx.today)})
+
+    records = read_range(records_of(log, topic, rows), slots)
+    land_and_commit(warehouse, records, placed, ranges, target, ctx, "backfill", erasure)
+    return ranges.select("run").distinct().count()

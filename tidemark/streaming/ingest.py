@@ -7,35 +7,19 @@ attempt in the ledger and replaces it, so that every record is visible once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.context import Context
-from tidemark.sources.load import LoadTarget, Warehouse, load_records
-from tidemark.sources.log import SLOT, latest_attempts
+from tidemark.sources.load import LoadTarget, Warehouse, land_and_commit
+from tidemark.sources.log import SLOT, assert_contiguous, latest_attempts
 
 
-def batch_ranges(batch: DataFrame, ledger: DataFrame, run_id: str, ctx: Context) -> DataFrame:
-    """What a micro-batch covers, one row per topic partition, and which attempt came before."""
-    earlier = latest_attempts(ledger.where(F.col("dag_run_id") == run_id)).select(
-        "topic",
-        F.col("partition_id").cast("int").alias("partition"),
-        F.col("attempt").alias("_attempt"),
-        F.col("loaded_date").alias("_date"),
-    )
-    return (
-        batch.groupBy(*SLOT)
-        .agg(F.min("offset").alias("start_offset"), (F.max("offset") + 1).alias("end_offset"))
-        .join(earlier, SLOT, "left")
-        .select(
-            *SLOT,
-            "start_offset",
-            "end_offset",
-            F.coalesce("_date", F.lit(ctx.today)).alias("loaded_date"),
-            F.coalesce("_attempt", F.lit(0)).alias("attempt"),
-        )
-    )
+#: A run's clock, or one for each micro-batch by its number.
+Clock = Context | Callable[[int], Context]
 
 
 def load_micro_batch(
@@ -47,13 +31,50 @@ def load_micro_batch(
     ctx: Context,
     erasure: DataFrame | None = None,
 ) -> None:
-    """Land and commit one micro-batch under its own run id."""
-    run_id = f"{stream_name}-{number}"
-    ranges = batch_ranges(batch, warehouse.ledger(), run_id, ctx)
-    rows = ranges.collect()  # one per topic partition
-    if rows:
-        fixed = batch.sparkSession.createDataFrame(rows, ranges.schema)
-        load_records(warehouse, batch, fixed, target, run_id, ctx, erasure=erasure)
+    """Land and commit one micro-batch under its own run id.
+
+    The batch is read once: what it covers is taken from what has landed. A batch that does not
+    begin where the ledger ends is refused before its commit, so a stream whose checkpoint and
+    ledger disagree stops instead of leaving a gap or counting records twice.
+    """
+    run_id, spark = f"{stream_name}-{number}", warehouse.spark
+    recorded = latest_attempts(warehouse.ledger().where(F.col("dag_run_id") == run_id)).select(
+        "topic",
+        F.col("partition_id").cast("int").alias("partition"),
+        F.col("attempt").alias("_attempt"),
+        F.col("loaded_date").alias("_first_date"),
+    )
+    earlier = spark.createDataFrame(recorded.collect(), recorded.schema)  # one per topic partition
+
+    def placed(parsed: DataFrame) -> DataFrame:
+        date = F.coalesce("_first_date", F.lit(ctx.today))
+        return parsed.join(earlier, SLOT, "left").withColumns({"_run": F.lit(run_id), "_date": date})
+
+    def covered(landed: DataFrame) -> DataFrame | None:
+        found = (
+            landed.groupBy("topic", F.col("partition_id").cast("int").alias("partition"))
+            .agg(
+                F.min("kafka_offset").alias("start_offset"),
+                (F.max("kafka_offset") + 1).alias("end_offset"),
+            )
+            .join(earlier, SLOT, "left")
+            .select(
+                *SLOT,
+                "start_offset",
+                "end_offset",
+                F.coalesce("_first_date", F.lit(ctx.today)).alias("loaded_date"),
+                F.coalesce("_attempt", F.lit(0)).alias("attempt"),
+                F.lit(run_id).alias("run"),
+            )
+        )
+        rows = found.collect()
+        if not rows:
+            return None
+        ranges = spark.createDataFrame(rows, found.schema)
+        assert_contiguous(ranges.where(F.col("attempt") == 0), warehouse.ledger())
+        return ranges
+
+    land_and_commit(warehouse, batch, placed, covered, target, ctx, erasure=erasure)
 
 
 def stream_load(
@@ -62,7 +83,7 @@ def stream_load(
     target: LoadTarget,
     stream_name: str,
     checkpoint: str,
-    ctx: Context,
+    ctx: Clock,
     erasure: DataFrame | None = None,
 ) -> StreamingQuery:
     """Load everything a streaming log has to offer, in bounded micro-batches, and stop.
@@ -72,7 +93,8 @@ def stream_load(
     """
 
     def land(batch: DataFrame, number: int) -> None:
-        load_micro_batch(warehouse, batch, number, target, stream_name, ctx, erasure)
+        own = ctx if isinstance(ctx, Context) else ctx(number)
+        load_micro_batch(warehouse, batch, number, target, stream_name, own, erasure)
 
     return (
         log.writeStream.foreachBatch(land)
