@@ -64,6 +64,24 @@ def test_first_copy_wins_and_copies_are_counted(spark, ctx, no_accounts):
     assert (held["b"]["feature"], held["b"]["duplicate_copies"]) == (None, 0)
 
 
+def test_rows_of_other_ids_are_neither_shuffled_nor_sorted(spark, folder):
+    at = utc(2026, 3, 9)
+    rows = [raw(f"e{k % 90}", at, offset=k, arrived=at + timedelta(hours=k % 7)) for k in range(100)]
+    rows += [raw(None, at, offset=k) for k in (201, 200)]
+    spark.createDataFrame(rows, RAW).write.parquet(folder)
+    out = staging.first_arrival(spark.read.parquet(folder))
+    held = {r["event_id"]: r for r in out.collect()}
+    assert len(held) == 91 and sum(r["duplicate_copies"] for r in held.values()) == 11
+    assert held[None]["kafka_offset"] == 200
+    first = {k: min((k, k + 90), key=lambda n: (n % 7, n)) for k in range(10)}
+    assert all(held[f"e{k}"]["kafka_offset"] == n for k, n in first.items())
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    # The branch of ids that occur once comes first; only the other one aggregates.
+    once = plan[: plan.index("SortAggregate")]
+    assert "BroadcastHashJoin" in once and "LeftAnti" in once
+    assert "Sort" not in once and "Exchange" not in once
+
+
 def test_cutoff_quarantine_and_full_refresh(spark, ctx, no_accounts):
     early, late = utc(2026, 3, 1), utc(2026, 3, 9)
     rows = [

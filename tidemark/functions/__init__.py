@@ -4,7 +4,6 @@ from tidemark.functions.columns import (
     changed,
     day_start,
     json_record,
-    json_text,
     parse_iso,
     safe_rate,
     seconds_between,
@@ -17,7 +16,6 @@ __all__ = [
     "changed",
     "day_start",
     "json_record",
-    "json_text",
     "parse_iso",
     "safe_rate",
     "seconds_between",

@@ -25,11 +25,6 @@ def END_OF_TIME() -> Column:  # noqa: N802 - reads as the constant it is
     return F.lit("9999-12-31 00:00:00+00:00").cast("timestamp")
 
 
-def json_text(column: Column | str, key: str) -> Column:
-    """One key of a JSON object as text."""
-    return F.get_json_object(_col(column), f"$.{key}")
-
-
 def json_record(column: Column | str, *keys: str) -> Column:
     """Several keys of a JSON object as a struct of strings, parsing the text once.
 

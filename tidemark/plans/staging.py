@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.context import Context
+from tidemark.context import Context, kept
 from tidemark.functions import json_record, safe_rate, seconds_between
 from tidemark.operators.changes import cdc_stream
 from tidemark.operators.incremental import lookback, since
@@ -133,19 +133,28 @@ def account_exists(cdc_changes: DataFrame) -> DataFrame:
 def first_arrival(raw_events: DataFrame) -> DataFrame:
     """One row per event id, the first copy to arrive, with the number of further copies.
 
-    An aggregate rather than a window: copies are reduced before the shuffle, so an id with very
-    many copies does not gather them in one task.
+    Ids are counted alone, combined before the shuffle, and those that repeat are written. They are
+    few, and where they are, Spark broadcasts them by the size of what was written: then rows of all
+    other ids pass without being shuffled or sorted, and only repeated ones are compared by arrival.
+    These are an aggregate rather than a window, so an id with very many copies does not gather them
+    in one task.
     """
     columns = [c for c in raw_events.columns if c != "event_id"]
     arrival = F.struct("kafka_ts", "topic", "partition_id", "kafka_offset")
-    return (
-        raw_events.groupBy("event_id")
-        .agg(
-            F.min_by(F.struct(*columns), arrival).alias("_first"),
-            (F.count(F.lit(1)) - 1).alias("duplicate_copies"),
-        )
+    further = (F.count(F.lit(1)) - 1).alias("duplicate_copies")
+    copies = raw_events.groupBy("event_id").agg(further).where(F.col("duplicate_copies") > 0)
+    repeated = kept(copies.select(F.col("event_id").alias("_id")))
+    same = F.col("event_id").eqNullSafe(F.col("_id"))
+    once = raw_events.join(repeated, same, "left_anti").select(
+        "event_id", *columns, F.lit(0).cast("bigint").alias("duplicate_copies")
+    )
+    first = (
+        raw_events.join(repeated, same, "left_semi")
+        .groupBy("event_id")
+        .agg(F.min_by(F.struct(*columns), arrival).alias("_first"), further)
         .select("event_id", "_first.*", "duplicate_copies")
     )
+    return once.unionByName(first)
 
 
 def _days(count: int):
@@ -202,11 +211,11 @@ def stg_product_events(
     elif incremental:
         source = lookback(raw_events, built, ctx.lookback_days)
     arrived = with_lags(first_arrival(source), ctx.lookback_days)
-    kept = drop_predating(arrived, account_exists(cdc_changes))
+    dated = drop_predating(arrived, account_exists(cdc_changes))
     if incremental:
-        kept = apply_cutoff(kept, ctx.lookback_days)
+        dated = apply_cutoff(dated, ctx.lookback_days)
     payload = json_record("payload", "feature", "surface", "plan", "duration_ms")
-    return kept.withColumn("_payload", payload).select(
+    return dated.withColumn("_payload", payload).select(
         "event_id",
         "account_id",
         "user_id",
