@@ -504,3 +504,15 @@ def test_routing(spark):
         "product.session", None, None,
     ]
     assert routing.rejected_events(df).count() == 2
+
+
+def test_paths_take_one_scan_and_no_union(spark, folder):
+    rows = [("e", '{"a": {"b": 1, "c": "x"}, "d": [1], "f": {}, "g": null}'), ("e", "[1]"), ("e", None)]
+    spark.createDataFrame(rows, "event_type STRING, payload STRING").write.parquet(folder)
+    paths = drift.payload_paths(spark.read.parquet(folder))
+    assert sorted((r["json_path"], r["json_type"]) for r in paths.collect()) == [
+        ("a", "object"), ("a.b", "number"), ("a.c", "string"), ("d", "array"), ("f", "object"),
+        ("g", "null"),
+    ]
+    plan = paths._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan

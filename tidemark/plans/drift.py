@@ -21,28 +21,37 @@ WINDOW = timedelta(hours=1)
 
 
 def payload_paths(events: DataFrame) -> DataFrame:
-    """One row per event and path of its payload, two levels at most, with the JSON type there."""
+    """One row per event and path of its payload, two levels at most, with the JSON type there.
+
+    One scan and one parse: each member of the payload is met with its own members, or with none, and
+    is given out itself beside the first of them.
+    """
+    explode = events.sparkSession.tvf.variant_explode_outer
     parsed = events.select("event_type", F.try_parse_json("payload").alias("_payload"))
-    top = parsed.lateralJoin(
-        parsed.sparkSession.tvf.variant_explode(F.col("_payload").outer())
-    ).where(F.col("key").isNotNull())
-    top = top.select(
-        "event_type",
-        F.col("key").alias("json_path"),
-        json_type(F.col("value")).alias("json_type"),
-        F.col("value").alias("_value"),
-    )
-    inner = (
-        top.where(F.col("json_type") == OBJECT)
-        .lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_value").outer()))
+    top = (
+        parsed.lateralJoin(explode(F.col("_payload").outer()))
         .where(F.col("key").isNotNull())
         .select(
             "event_type",
-            F.concat_ws(".", "json_path", "key").alias("json_path"),
-            json_type(F.col("value")).alias("json_type"),
+            F.col("key").alias("_path"),
+            json_type(F.col("value")).alias("_type"),
+            F.col("value").alias("_value"),
         )
     )
-    return top.drop("_value").unionByName(inner)
+    members = F.when(F.col("_type") == OBJECT, F.col("_value"))
+    met = top.withColumn("_members", members).lateralJoin(explode(F.col("_members").outer()))
+    itself = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    found = F.array(
+        F.when(itself, F.struct(F.col("_path").alias("json_path"), F.col("_type").alias("json_type"))),
+        F.when(
+            F.col("key").isNotNull(),
+            F.struct(
+                F.concat_ws(".", "_path", "key").alias("json_path"),
+                json_type(F.col("value")).alias("json_type"),
+            ),
+        ),
+    )
+    return met.select("event_type", F.inline(F.array_compact(found)))
 
 
 def observe_shapes(raw_events: DataFrame, since, until) -> DataFrame:
