@@ -138,7 +138,8 @@ def test_scores_beyond_doubles_are_exact():
     tree = Tree.of(points, np.arange(2), np.arange(2), np.zeros(2, bool), np.array(["a", "b"]), 2.0**61)
     whole = np.array([[-LONGEST - 1, LONGEST]])
     q = np.array([2.0**13, 1.0])
-    (places, scores), = tree.best(q, -1, "a", True, 5, whole, *(b[0] for b in tree.bounds(q[None], whole[:, 0].astype(float), whole[:, 1].astype(float))))
-    assert scores.tolist() == [2**53 + 3]
-    (places, scores), = tree.best(q, -1, "b", True, 5, whole, *(b[0] for b in tree.bounds(q[None], whole[:, 0].astype(float), whole[:, 1].astype(float))))
-    assert scores.tolist() == [LONGEST]
+    ends = (whole[:, k].astype(float) for k in (0, 1))
+    low, high = (b[0] for b in tree.bounds(q[None], *ends))
+    for label, want in (("a", 2**53 + 3), ("b", LONGEST)):
+        ((_, scores),) = tree.best(q, -1, label, True, 5, whole, low, high)
+        assert scores.tolist() == [want]

@@ -325,7 +325,10 @@ def test_lanes_that_end_within_a_window(words):
     )
     assert sorted(seen) == list(range(bounds[-1]))
     assert len(list(lanes.windows(1, 7))) == -(-lanes.lengths[0] // 7)
-    one_by_one = [gru.score(w, gru.Lanes.of(tokens[a:b], np.array([0, b - a]), 1), 3)[0] for a, b in zip(bounds, bounds[1:])]
+    one_by_one = [
+        gru.score(w, gru.Lanes.of(tokens[a:b], np.array([0, b - a]), 1), 3)[0]
+        for a, b in zip(bounds, bounds[1:], strict=False)
+    ]
     assert np.allclose(gru.score(w, lanes, 3, 1, 7), one_by_one, atol=1e-4)
 
 

@@ -159,58 +159,49 @@ def _bounded(w: Weights) -> bool:
     return max(float(np.abs(p).sum(1).max()) for p in (w.classes, w.words)) < LARGEST_LOGIT
 
 
-def _log_norm(x: np.ndarray, bounded: bool, keep_exp: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log of each row's sum of exponentials, and the softmax itself if asked for."""
-    shift = 0.0 if bounded else x.max(axis=1, keepdims=True)
-    e = np.exp(x - shift if not bounded else x)
-    total = e @ np.ones(x.shape[1], x.dtype)
-    norm = np.log(total)
+def _picked(logits: np.ndarray, at: np.ndarray, bounded: bool, keep: bool) -> np.ndarray:
+    """Log of each row's softmax at ``at``. The logits are used up; with ``keep`` they become the
+    gradient of that at themselves."""
+    rows = np.arange(len(at))
     if not bounded:
-        norm += shift[:, 0]
-    if keep_exp:
-        e /= total[:, None]
-        return norm, e
-    return norm, None
+        logits -= logits.max(axis=1, keepdims=True)
+    found = logits[rows, at].astype(np.float64)
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    found -= np.log(total)
+    if keep:
+        logits *= (-1 / total)[:, None]
+        logits[rows, at] += 1
+    return found
 
 
 def _outputs(w: Weights, states: np.ndarray, targets: np.ndarray, bounded: bool, grads=None):
     """Log-probability of each target; with ``grads`` also the gradient at the states."""
-    rows = np.arange(len(targets))
+    keep, back = grads is not None, None
     kind = targets // PER_CLASS
-    logits = states @ w.classes[:, :-1].T
-    logits += w.classes[:, -1]
-    norm, soft = _log_norm(logits, bounded, grads is not None)
-    found = logits[rows, kind].astype(np.float64)
-    found -= norm
-    back = None
-    if grads is not None:
-        delta = -soft
-        delta[rows, kind] += 1
-        grads.classes[:, :-1] += delta.T @ states
-        grads.classes[:, -1] += delta.sum(0)
-        back = delta @ w.classes[:, :-1]
+    # A column of ones beside the states meets the weights' last column, the bias.
+    wide = np.empty((len(states), w.hidden + 1), states.dtype)
+    wide[:, :-1], wide[:, -1] = states, 1
+    logits = wide @ w.classes.T
+    found = _picked(logits, kind, bounded, keep)
+    if keep:
+        grads.classes += logits.T @ wide
+        back = logits @ w.classes[:, :-1]
     by_class = np.argsort(kind.astype(np.uint8 if len(w.classes) < 256 else kind.dtype), kind="stable")
     cuts = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=len(w.classes)))])
-    states, targets = states[by_class], targets[by_class]
+    wide, inside = wide[by_class], (targets - kind * PER_CLASS)[by_class]
     inner = np.empty(len(targets))
-    inner_back = np.empty_like(states) if grads is not None else None
+    inner_back = np.empty((len(states), w.hidden), states.dtype) if keep else None
     for c in np.flatnonzero(np.diff(cuts)):
         own, block = slice(cuts[c], cuts[c + 1]), slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-        part = states[own]
-        logits = part @ w.words[block, :-1].T
-        logits += w.words[block, -1]
-        norm, soft = _log_norm(logits, bounded, grads is not None)
-        at = targets[own] - c * PER_CLASS
-        inner[own] = logits[rows[: len(at)], at]
-        inner[own] -= norm
-        if grads is not None:
-            delta = -soft
-            delta[rows[: len(at)], at] += 1
-            grads.words[block, :-1] += delta.T @ part
-            grads.words[block, -1] += delta.sum(0)
-            inner_back[own] = delta @ w.words[block, :-1]
+        part = wide[own]
+        logits = part @ w.words[block].T
+        inner[own] = _picked(logits, inside[own], bounded, keep)
+        if keep:
+            grads.words[block] += logits.T @ part
+            np.matmul(logits, w.words[block, :-1], out=inner_back[own])
     found[by_class] += inner
-    if grads is not None:
+    if keep:
         back[by_class] += inner_back
     return found, back
 
@@ -275,12 +266,13 @@ def gradients(w: Weights, given, fresh, targets, h, real=None) -> tuple[Weights,
     grads = Weights(*[np.zeros_like(p) for p in w.parts()])
     keep: list = []
     states, last = advance(w, given, fresh, h, keep)
+    bounded = _bounded(w)
     if real is None:
-        found, back = _outputs(w, states.reshape(-1, size), targets.ravel(), False, grads)
+        found, back = _outputs(w, states.reshape(-1, size), targets.ravel(), bounded, grads)
         back = back.reshape(states.shape)
     else:
         back = np.zeros_like(states)
-        found, back[real] = _outputs(w, states[real], targets[real], False, grads)
+        found, back[real] = _outputs(w, states[real], targets[real], bounded, grads)
     gate_grads = retreat(w, keep, fresh, back, grads.state)
     ids = given.ravel()
     order = np.argsort(ids, kind="stable")

@@ -236,7 +236,7 @@ def _scores(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     end_log = float(np.log10(ends + 0.5))
     for group in _groups(batches, lookup, model):
         tokens, bounds = _flat(group)
-        found = gru.score(model.weights, gru.Lanes.of(tokens, bounds, 512), model.end)
+        found = gru.score(model.weights, gru.Lanes.of(tokens, bounds, 256), model.end)
         at = 0
         for batch, chunk, _, _, h, ranks, words in group:
             docs = chunk.docs
