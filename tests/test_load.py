@@ -221,8 +221,11 @@ def test_backfill_is_one_landing_with_an_entry_per_batch(spark, folder, ctx):
     run_load(warehouse, messages(spark, 0, 2), PRODUCT_EVENTS, TOPIC, "live", ctx)
     drain_backfill(warehouse, log, PRODUCT_EVENTS, TOPIC, "b", ctx, max_records=3)
     held = warehouse.ledger().where("dag_run_id <> 'live'").collect()
-    assert {(r["dag_run_id"], r["partition_id"], r["start_offset"], r["end_offset"], r["row_count"]) for r in held} == {
-        (f"b-batch{k}", p, 2 + 3 * k, min(5 + 3 * k, 10), min(3, 8 - 3 * k)) for k in range(3) for p in (0, 1)
+    names = ("dag_run_id", "partition_id", "start_offset", "end_offset", "row_count")
+    assert {tuple(r[n] for n in names) for r in held} == {
+        (f"b-batch{k}", p, 2 + 3 * k, min(5 + 3 * k, 10), min(3, 8 - 3 * k))
+        for k in range(3)
+        for p in (0, 1)
     }
     assert len({r["batch"] for r in held}) == 1
     assert drain_backfill(warehouse, log, PRODUCT_EVENTS, TOPIC, "b", ctx, max_records=3) == 0
