@@ -27,15 +27,11 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.with_number(inputs.in_utc(files))
 
 
-def _in_parts(messages: DataFrame, folder: str, parts: int = 3) -> DataFrame:
-    """A log as a stream over files, each a further stretch of all partitions, one per trigger."""
-    spark = messages.sparkSession
+def _parts(messages: DataFrame, parts: int = 3) -> list[DataFrame]:
+    """A log in further and further stretches of all its partitions."""
     ends = messages.agg((F.max("offset") + 1).alias("n")).first()["n"]
-    for k in range(parts):
-        near = (F.col("offset") >= k * ends // parts) & (F.col("offset") < (k + 1) * ends // parts)
-        messages.where(near).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1)
-    return stream.parquet(folder)
+    at, cuts = F.col("offset"), [k * ends // parts for k in range(parts + 1)]
+    return [messages.where((at >= lo) & (at < hi)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
 def _folder(spark: SparkSession) -> str:
@@ -49,17 +45,17 @@ SELECT partition AS partition_id, "offset" AS kafka_offset, event_uid AS event_i
     ts="event_time",
 )
 def streamed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event topic loaded as a stream of several micro-batches, read back through the ledger."""
+    """The event topic loaded as a stream that goes on as the log grows, a micro-batch for each of
+    three stretches in as many files as tasks wrote, read back through the ledger."""
     folder = _folder(spark)
     warehouse = Warehouse(spark, f"{folder}/warehouse")
-    stream_load(
-        warehouse,
-        _in_parts(logs.event_log(spark, sf_dir), f"{folder}/log"),
-        PRODUCT_EVENTS,
-        "events",
-        f"{folder}/checkpoint",
-        CTX,
-    ).awaitTermination()
+    messages = logs.event_log(spark, sf_dir)
+    for part in _parts(messages):
+        part.write.mode("append").parquet(f"{folder}/log")
+        arrived = spark.readStream.schema(messages.schema).parquet(f"{folder}/log")
+        stream_load(
+            warehouse, arrived, PRODUCT_EVENTS, "events", f"{folder}/checkpoint", CTX
+        ).awaitTermination()
     return warehouse.raw(PRODUCT_EVENTS).select(
         "partition_id", "kafka_offset", "event_id", "account_id", "event_type", "event_time"
     )

@@ -48,7 +48,7 @@ def load_micro_batch(
 
     def placed(parsed: DataFrame) -> DataFrame:
         date = F.coalesce("_first_date", F.lit(ctx.today))
-        return parsed.join(earlier, SLOT, "left").withColumns({"_run": F.lit(run_id), "_date": date})
+        return parsed.join(F.broadcast(earlier), SLOT, "left").withColumns({"_run": F.lit(run_id), "_date": date})
 
     def covered(landed: DataFrame) -> DataFrame | None:
         found = (
