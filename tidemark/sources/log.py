@@ -49,10 +49,10 @@ def kafka_range(spark: SparkSession, servers: str, claims: DataFrame) -> DataFra
 def read_range(log: DataFrame, ranges: DataFrame) -> DataFrame:
     """Records with start <= offset < end of their topic partition.
 
-    Ranges are one row per topic partition and claimed range: bookkeeping, far below any broadcast
-    limit, yet left to Spark's own size check.
+    Ranges are one row per topic partition and claimed range. They often come as rows, whose size
+    Spark does not know: without the hint it shuffles and sorts the whole log by its few partitions.
     """
-    held = ranges.select(*SLOT, "start_offset", "end_offset")
+    held = F.broadcast(ranges.select(*SLOT, "start_offset", "end_offset"))
     inside = (F.col("offset") >= F.col("start_offset")) & (F.col("offset") < F.col("end_offset"))
     return log.join(held, SLOT).where(inside).drop("start_offset", "end_offset")
 
