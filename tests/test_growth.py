@@ -80,3 +80,19 @@ def test_stretches_of_a_log_are_written_by_its_tasks(spark):
     parts = live._parts(log)
     assert sum(p.count() for p in parts) == log.count()
     assert all(p.rdd.getNumPartitions() == 3 for p in parts)
+
+
+def test_a_start_is_shown_once_per_version(spark):
+    plan = plan_of(__spark_entry__.queries()["fct_subscription_daily"](spark, FOLDER))
+    assert "explode" in plan and "version_started_at" in plan
+    per_day = plan.split("Generate explode")[0]
+    assert "cast(version_started_at" not in per_day and "cast(valid_from" not in per_day
+
+
+def test_events_are_staged_once_for_health(spark):
+    plan = plan_of(__spark_entry__.queries()["mart_account_health"](spark, FOLDER))
+    assert plan.count("events.parquet") == 1  # tickets; the daily fact has been written
+
+
+def test_a_check_run_scores_accounts_once(spark):
+    assert "l_discount" not in plan_of(__spark_entry__.queries()["check_run"](spark, FOLDER))
