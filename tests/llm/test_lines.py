@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import token_files, unit_dedup
+from tidemark.llm import catalog, token_files, unit_dedup
 from tidemark.llm.line_suffixes import kept_text, repeated_lines, suffix_depths
-from tidemark.llm.unit_dedup import deduplicated, repeated_units
+from tidemark.llm.unit_dedup import deduplicated, repeated_passages, repeated_units
 
 
 def plain_lines(rows, min_lines=2, min_words=8):
@@ -126,6 +126,94 @@ def test_units_equal_plain_version(table, words):
     assert repeated_units(table(rows).where("false")).count() == 0
 
 
+def plain_passages(rows, size=50):
+    """Words of later and of shared passages, by looking at every passage of every text."""
+    texts = [
+        (doc, [unit_dedup.normalised(w) for w in (text or "").split()])
+        for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0]))
+    ]
+    places = {}
+    for k, (_, seq) in enumerate(texts):
+        for i in range(len(seq) - size + 1):
+            places.setdefault(tuple(seq[i : i + size]), []).append((k, i))
+    later, shared = ([set() for _ in texts] for _ in range(2))
+    for found in places.values():
+        for k, i in found:
+            if any(x < k or (x == k and at + size <= i) for x, at in found):
+                later[k] |= set(range(i, i + size))
+            if any(x != k for x, _ in found):
+                shared[k] |= set(range(i, i + size))
+    return {doc: (later[k], shared[k]) for k, (doc, _) in enumerate(texts)}
+
+
+def passage_rows(words):
+    """Texts that share passages of 49 to 120 words amid others, cut into other lines."""
+    one, two, long = words(50), words(49), words(400)
+    own = lambda n: words(n)
+    near = [w if k % 70 else "changed" for k, w in enumerate(long)]
+    return [
+        (5, " ".join([*own(30), *one, *own(9)])),
+        (3, "\n".join([*own(7), *[w.upper() for w in one], *own(80)])),
+        (8, "  ".join(own(3) + two + own(60))),
+        (6, "\n\n".join([" ".join(two), " ".join(own(40))])),
+        (1, " ".join(long)),
+        (2, "\n".join(" ".join(near[k : k + 4]) for k in range(0, 400, 4))),
+        (9, " ".join(long[100:160] + long[20:75] + one + one)),
+        (10, " ".join(long)),
+        (11, "La " * 130),
+        (12, "la " * 70 + " ".join(one[:30])),
+        (13, " ".join(one[1:] + own(1) + one[:49])),
+        (14, None),
+        (15, ""),
+        (16, " ".join(own(55))),
+        (None, " ".join(own(5) + long[300:] + own(5))),
+    ]
+
+
+def test_passages_equal_plain_version(table, words):
+    rows = passage_rows(words)
+    want = plain_passages(rows)
+    found = repeated_passages(table(rows)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        got = [{at for s in spans for at in range(s.start, s.end)} for spans in (r.removed, r.shared)]
+        assert got == list(want[r.doc_id]), r.doc_id
+    assert all(want[k][0] for k in (5, 2, 9, 10, 12, None)) and not any(want[k][0] for k in (3, 6, 8, 13))
+    assert repeated_passages(table(rows).where("false")).count() == 0
+
+
+def test_passages_of_random_texts_equal_plain_version(table, words):
+    """Few kinds of words and many pieces, so that passages meet in every way."""
+    rng = np.random.default_rng(3)
+    pieces = [words(int(n)) for n in rng.integers(20, 90, 12)] + [["a"] * 60, ["a", "b"] * 40]
+    rows = [
+        (k, " ".join(w for p in rng.integers(0, len(pieces), rng.integers(1, 7)) for w in pieces[p]))
+        for k in range(60)
+    ]
+    want = plain_passages(rows)
+    for r in repeated_passages(table(rows)).collect():
+        got = [{at for s in spans for at in range(s.start, s.end)} for spans in (r.removed, r.shared)]
+        assert got == list(want[r.doc_id]), r.doc_id
+
+
+def test_of_rows_equal_in_id_and_text_one_stays(table, words):
+    text = " ".join(words(64))
+    found = repeated_passages(table([(4, text), (4, text), (4, "short"), (4, "short")])).collect()
+    spans = sorted([(s.start, s.end) for s in r.removed] for r in found)
+    assert spans == [[], [], [], [(0, 64)]]
+
+
+def test_op3_has_a_row_for_every_document(spark):
+    folder = "/root/testdata/sf0.001"
+    found = catalog.op3_unit_dedup(spark, folder).collect()
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = plain_passages([(r.doc_id, r.text) for r in texts])
+    assert len(found) == len(texts)
+    assert {r.doc_id: (r.n_removed, r.n_shared) for r in found} == {
+        k: tuple(len(x) for x in v) for k, v in want.items()
+    }
+
+
 def test_token_counts_over_any_blocks(spark, table, words, folder):
     rows = [(k, " ".join(words(k * 7))) for k in range(9)] + [(20, None), (21, ""), (None, "été <|endoftext|>")]
     encoding = token_files.encoder(token_files.RANKS)

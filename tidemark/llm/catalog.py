@@ -22,7 +22,7 @@ from tidemark.llm.secret_crf import scan
 from tidemark.llm.shared import lower_ascii, written
 from tidemark.llm.token_files import document_tokens
 from tidemark.llm.toxicity import toxicity
-from tidemark.llm.unit_dedup import repeated_units
+from tidemark.llm.unit_dedup import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of ten words or more that occur earlier in the corpus, with their offsets."""
-    return repeated_units(_table(spark, sf_dir, "documents"))
+    """Words of every document in passages of 50 words that occur earlier in the corpus, or in
+    another document at all."""
+    found = repeated_passages(_table(spark, sf_dir, "documents"))
+
+    def words(name: str) -> Column:
+        sizes = F.transform(name, lambda s: s["end"] - s["start"])
+        return F.aggregate(sizes, F.lit(0).cast("long"), lambda n, size: n + size)
+
+    def shown(span: Column) -> Column:
+        return F.concat_ws(":", span["start"], span["end"])
+
+    return found.select(
+        "doc_id",
+        words("removed").alias("n_removed"),
+        words("shared").alias("n_shared"),
+        F.array_join(F.transform("removed", shown), ",").alias("removed"),
+    )
 
 
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
