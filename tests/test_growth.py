@@ -96,3 +96,9 @@ def test_events_are_staged_once_for_health(spark):
 
 def test_a_check_run_scores_accounts_once(spark):
     assert "l_discount" not in plan_of(__spark_entry__.queries()["check_run"](spark, FOLDER))
+
+
+def test_versions_alike_are_summed_before_they_are_laid_on_days(spark):
+    plan = plan_of(__spark_entry__.queries()["revenue_from_daily_fact"](spark, FOLDER))
+    days = plan.index("Generate explode")
+    assert "Aggregate(keys=[plan_code" in plan[days:]

@@ -304,3 +304,25 @@ def test_versions_of_other_tables(spark, ctx):
         rows, "id INT, op STRING, lsn BIGINT, at TIMESTAMP, name STRING"
     )
     assert scd2(df, "id", "lsn", "at", ["name"]).count() == 2
+
+
+def test_revenue_through_days_equals_the_daily_fact(spark, ctx):
+    """Versions alike, days shared, business time running backwards, nulls and deletes."""
+    rows = []
+    for key in range(40):
+        plan = ("pro", "free", None)[key % 3]
+        rows += [
+            change(10 * key, utc(2026, 2, 1, 9), op="r" if key % 4 else "c", key=key, plan=plan),
+            change(10 * key + 1, utc(2026, 3, 1 + key % 3), status="past_due", key=key, plan=plan),
+            change(10 * key + 2, utc(2026, 3, 1 + key % 3, 7), status="trial", key=key, mrr=None),
+        ]
+        if key % 5 == 0:
+            rows.append(change(10 * key + 3, utc(2026, 2, 20), status="active", key=key, seats=None))
+        if key % 7 == 0:
+            rows.append(change(10 * key + 4, utc(2026, 3, 6), op="d", key=key))
+    dim = core.dim_subscription(spark.createDataFrame(rows, CHANGES))
+    each = ctx.with_(spine_start=date(2026, 2, 10))
+    want = marts.mart_revenue_mrr(core.fct_subscription_daily(dim, each))
+    found = marts.revenue_through_days(dim, each)
+    assert found.columns == want.columns and found.dtypes == want.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
