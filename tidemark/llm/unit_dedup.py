@@ -290,14 +290,19 @@ def repeated_passages(
             _marked, "doc long, tid long, at long, end long, unit long, around long"
         )
     )
-    # Units that occur once are no part of a repetition; the cheap count sorts them out.
-    twice = marked.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
+    # Units that occur once are no part of a repetition; the cheap count sorts them out. What is met
+    # is written first: Spark splits a hot key only where both sides of a join come from a shuffle.
+    twice = written(
+        marked.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
+    )
     held = written(marked.join(twice, "unit"))
     place = F.struct(*identity, "at")
     kinds = written(
         held.groupBy("unit", "around").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     )
-    differing = kinds.groupBy("unit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    differing = written(
+        kinds.groupBy("unit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    )
 
     def same_text(one: str, other: str) -> Column:
         return (F.col(f"{one}doc") == F.col(f"{other}doc")) & (
@@ -305,9 +310,9 @@ def repeated_passages(
         )
 
     apart = ~same_text("first.", "") | (F.col("at") >= F.col("first.at") + PASSAGE)
+    known = written(kinds.join(differing, "unit", "left"))
     placed = written(
-        held.join(kinds, ["unit", "around"])
-        .join(differing, "unit", "left")
+        held.join(known, ["unit", "around"])
         .select(
             *identity,
             "at",
@@ -328,8 +333,12 @@ def repeated_passages(
         .join(open_marks, identity)
         .mapInArrow(_passages, "doc long, tid long, at long, passage long")
     )
-    met = single.groupBy("passage").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    matched = single.join(met.where("first <> last"), "passage").select(
+    met = written(
+        single.groupBy("passage")
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where("first <> last")
+    )
+    matched = single.join(met, "passage").select(
         *identity,
         F.col("at").alias("start"),
         (F.col("at") + PASSAGE).alias("end"),
