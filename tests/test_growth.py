@@ -89,6 +89,24 @@ def test_a_start_is_shown_once_per_version(spark):
     assert "cast(version_started_at" not in per_day and "cast(valid_from" not in per_day
 
 
+def test_a_day_is_shown_once_per_day_of_the_spine(spark):
+    daily = __spark_entry__.queries()["fct_subscription_daily"](spark, FOLDER)
+    assert dict(daily.dtypes)["date_day"] == "string"
+    assert "cast(date_day" not in plan_of(daily).split("Generate explode")[0]
+
+
+def test_days_are_laid_out_by_several_tasks_a_core(spark):
+    plan = plan_of(__spark_entry__.queries()["fct_subscription_daily"](spark, FOLDER))
+    dealt = plan.split("Generate explode", 1)[1].splitlines()[1]
+    assert "REPARTITION_BY_NUM" in dealt and f", {8 * spark.sparkContext.defaultParallelism})" in dealt
+
+
+def test_versions_of_small_keys_take_one_pass(spark):
+    """Positions are sparse here, so slices by position would have a row each."""
+    plan = plan_of(__spark_entry__.queries()["dim_subscription"](spark, FOLDER))
+    assert "Join" not in plan and "parquet" in plan
+
+
 def test_events_are_staged_once_for_health(spark):
     plan = plan_of(__spark_entry__.queries()["mart_account_health"](spark, FOLDER))
     assert plan.count("events.parquet") == 1  # tickets; the daily fact has been written

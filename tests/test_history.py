@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import utc
-from tidemark.operators.history import as_of_join, scd2
+from tidemark.operators.history import as_of_join, day_stretches, flatten_intervals, scd2
 from tidemark.operators import ordered
 from tidemark.operators.ordered import Sliced
 from tidemark.plans import core, marts
@@ -326,3 +326,66 @@ def test_revenue_through_days_equals_the_daily_fact(spark, ctx):
     found = marts.revenue_through_days(dim, each)
     assert found.columns == want.columns and found.dtypes == want.dtypes
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+VERSIONS = "k INT, n BIGINT, valid_from TIMESTAMP, valid_to TIMESTAMP"
+
+
+def laid_out(stretches):
+    return [
+        (r["k"], r["first_day"] + timedelta(days=i), r["n"])
+        for r in stretches.collect()
+        for i in range((r["last_day"] - r["first_day"]).days + 1)
+    ]
+
+
+@pytest.mark.parametrize("rows_per_key", [100_000, 12])
+def test_shared_days_go_to_the_latest_start(spark, monkeypatch, rows_per_key):
+    """Versions nested and overlapping, alike in start, of no day, out of the spine, with gaps between
+    them; keys whole or cut, with more rows in the first."""
+    monkeypatch.setattr(ordered, "ROWS_PER_KEY", rows_per_key)
+    rng = random.Random(7)
+    rows = []
+    for key in range(12):
+        for i in range(60 if key == 0 else 8):
+            at = utc(2026, 1, 1) + timedelta(hours=rng.randint(0, 24 * 90))
+            days = rng.choice([0, 0, 1, 3, 9, 40, 200] if key % 3 else [1, 2, 80])
+            rows.append((key, i, at, at + timedelta(days=days, hours=rng.randint(-30, 5))))
+    rows.append((99, 1, utc(2026, 2, 1), utc(9999, 12, 31)))
+    start, end = date(2026, 1, 15), date(2026, 5, 1)
+    want = {}
+    for key, n, since, until in rows:
+        day = max(since.date(), start)
+        while day < until.date() and day <= end:
+            want[key, day] = max(want.get((key, day), (since, n)), (since, n))
+            day += timedelta(days=1)
+    versions = spark.createDataFrame(rows, VERSIONS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = laid_out(day_stretches(versions, "k", "n", start, end))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == len(want)
+    assert {(k, day): n for k, day, n in found} == {at: n for at, (_, n) in want.items()}
+    for as_text in (False, True):
+        daily = flatten_intervals(versions, "k", "n", start, end, as_text=as_text).collect()
+        assert sorted((r["k"], str(r["date_day"]), r["n"]) for r in daily) == sorted(
+            (k, str(day), n) for k, day, n in found
+        )
+
+
+def test_days_are_compared_only_where_a_start_leaves_them_open(spark):
+    """The second begins in the first and ends after it; the fourth lies in the third, which has the days
+    after it too."""
+    rows = [
+        (1, 1, utc(2026, 1, 1), utc(2026, 12, 1)),
+        (1, 2, utc(2026, 6, 1), utc(2027, 1, 1)),
+        (2, 3, utc(2026, 1, 1), utc(2026, 12, 1)),
+        (2, 4, utc(2026, 6, 1), utc(2026, 11, 26)),
+    ]
+    stretches = day_stretches(
+        spark.createDataFrame(rows, VERSIONS), "k", "n", date(2025, 1, 1), date(2028, 1, 1)
+    )
+    assert stretches.count() == 4 + 5
+    found = laid_out(stretches)
+    assert len(found) == len(set(found)) == 365 + 334
